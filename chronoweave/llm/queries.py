@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoweave.llm import oracles
 from chronoweave.llm.exact_dedup import exact_dedup
+from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
 from chronoweave.llm.secret_scan import secret_scan
 from chronoweave.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_near_dedup": op4_near_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
