@@ -58,5 +58,39 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
+def _words(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"list_filter(string_split_regex({lowered}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def _shingles(words: str) -> str:
+    return f"CASE WHEN len({words}) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len({words}) - 4, 1) + 1), lambda i: array_to_string({words}[i:i + 4], ' '))) END"
+
+
+CONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, {_words('text')} AS w FROM documents), iw AS (SELECT DISTINCT item_id, {_words('text')} AS w FROM benchmark),
+i AS (SELECT item_id, len(w) AS n_words, unnest({_shingles('w')}) AS s FROM iw),
+d AS (SELECT doc_id, len(w) AS n_words, unnest({_shingles('w')}) AS s FROM dw),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+b AS (SELECT d.doc_id, i.item_id, count(*) AS shared_shingles FROM d JOIN i ON d.s = i.s AND (i.n_words >= 5 OR d.n_words < 5) GROUP BY d.doc_id, i.item_id)
+SELECT doc_id, item_id, item_shingles, shared_shingles FROM b JOIN n USING (item_id) WHERE 100 * shared_shingles >= 80 * item_shingles
+"""
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(md5(lines[i]), 1, 6))::BIGINT AS v FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+e AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS last_line FROM l),
+c AS (SELECT *, coalesce(sum(last_line::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM e),
+k AS (SELECT doc_id, chunk_no, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, chunk_no),
+m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS seen FROM k
+  WHERE last > first AND len(list_filter(string_split_regex(chunk, '[ 	-]+'), lambda w: w <> '')) >= 10),
+kept AS (SELECT c.doc_id, string_agg(line, chr(10) ORDER BY i) AS clean FROM c LEFT JOIN m ON c.doc_id = m.doc_id AND c.chunk_no = m.chunk_no AND m.seen > 1
+  WHERE m.seen IS NULL GROUP BY c.doc_id),
+gone AS (SELECT doc_id, sum(last - first + 1)::BIGINT AS n FROM m WHERE seen > 1 GROUP BY doc_id)
+SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.clean, '')) AS clean_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op8_secret_scan": secret_scan()}
+    return {"op3_exact_dedup": EXACT_DEDUP, "op5_decontaminate": CONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_secret_scan": secret_scan()}
