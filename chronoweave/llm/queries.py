@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import oracles
+from chronoweave.llm import langid, oracles, quality, toxicity
+from chronoweave.llm.common import doc_bucket
 from chronoweave.llm.decontaminate import contamination
 from chronoweave.llm.exact_dedup import exact_dedup
 from chronoweave.llm.line_dedup import line_dedup
@@ -25,6 +26,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, remainder: int):
+    """Whether crc32(doc_id) modulo ``parts`` is ``remainder``; null ids are not held out."""
+    return F.coalesce(doc_bucket("doc_id", parts) == remainder, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, _read(spark, sf_dir, "labels"), doc_bucket("doc_id", 5) != 0)
+    return toxicity.score(docs, weights).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -47,6 +59,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    weights = quality.train(docs, _read(spark, sf_dir, "labels"), doc_bucket("doc_id", 5) != 0)
+    return quality.score(docs, weights).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_read(spark, sf_dir, "documents"))
 
@@ -55,15 +73,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs, doc_bucket("doc_id", 4) != 2)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_line_dedup": op6_line_dedup,
+        "op7_quality": op7_quality,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_language_id": op10_language_id,
     }
 
 
