@@ -42,9 +42,12 @@ _EDGES = b".,;:!?\"'()[]{}<>*#$%&|_-"
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word without punctuation at its ends: the word and its first four, five and six bytes."""
+    """Buckets of a word without punctuation at its ends: the word, its first four, five and six bytes, and each lexicon that lists it."""
     word = word.strip(_EDGES)
-    return tuple({xxhash.xxh3_64_intdigest(word[:n], seed=n) >> (64 - BITS) for n in (4, 5, 6, 99) if n == 99 or len(word) > n}) if word else ()
+    if not word:
+        return ()
+    found = {xxhash.xxh3_64_intdigest(word[:n], seed=n) >> (64 - BITS) for n in (4, 5, 6, 99) if n == 99 or len(word) > n}
+    return tuple(found | {xxhash.xxh3_64_intdigest(str(i), seed=1000) >> (64 - BITS) for i, lexicon in enumerate(_LEXICON) if word in lexicon})
 
 
 class _Cached(dict):
@@ -169,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     mined = mine_voters(rows, gold)
     votes = np.concatenate([np.stack(_lists(got["votes"])).astype(float), np.stack([np.isin(mined, r) for r in rows]).astype(float)], axis=1)
     _, q, _ = fit_label_model(votes, gold, weight)
-    w = ftrl([(r.astype(np.int64), np.ones(len(r))) for r in rows], q, weight, 1 << BITS, epochs=5, alpha=0.3, l1=1.0, l2=1.0)
+    w = ftrl([(r.astype(np.int64), np.ones(len(r))) for r in rows], q, weight, 1 << BITS, epochs=10, alpha=2.0, l1=5.0, l2=0.1)
     return {int(i): float(w[i]) for i in np.flatnonzero(w[:-1])} | {-1: float(w[-1])}
 
 
