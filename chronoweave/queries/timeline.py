@@ -22,6 +22,6 @@ def timeline_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"timeline_kpis": timeline_kpis}
 ORACLES = {
     "timeline_kpis": """
-SELECT event_type, count(*) AS total, count_if(value / 500 >= 0.82) AS auto_accepted, count_if(value / 500 < 0.78) AS needs_review,
+SELECT event_type, count(*) AS total, count_if(value / 500 >= 0.82)::BIGINT AS auto_accepted, count_if(value / 500 < 0.78)::BIGINT AS needs_review,
   round(avg(value / 500), 6) AS avg_confidence FROM events GROUP BY event_type"""
 }
