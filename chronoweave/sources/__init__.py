@@ -1 +1 @@
-
+"""Readers of subtitles, manifests, drafts and project files."""

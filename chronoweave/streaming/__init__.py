@@ -1 +1 @@
-
+"""Streaming twins of the batch windows."""

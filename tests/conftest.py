@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from chronoweave.session import build_session
 
-    session = build_session("tests", "local[8]", 8)
+    session = build_session("tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
