@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import clean_ass, clean_srt
-from chronoweave.functions.timecode import parse_clock
+from chronoweave.functions.timecode import parse_clock, srt
 
 #: Encodings tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "big5", "latin-1")
@@ -14,8 +15,6 @@ ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "big5", "latin-1")
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of whole files; bytes that aren't UTF-8 fall back to the other encodings, one Arrow batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
@@ -50,15 +49,11 @@ def parse_ass(files: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     return rows.withColumn("index", F.row_number().over(Window.partitionBy("path").orderBy("start", "at"))).select("path", "index", "start", "end", "text")
 
 
 def write_srt(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, content): rows (key, order, start, end, text) of a key as one SRT text."""
-    from chronoweave.functions.timecode import srt
-
     rows = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "start", "end", "text"))).alias("r"))
     block = F.transform("r", lambda x, i: F.concat_ws("\n", (i + 1).cast("string"), F.concat(srt(x["start"]), F.lit(" --> "), srt(x["end"])), x["text"], F.lit("")))
     return rows.select(key, F.array_join(block, "\n").alias("content"))
