@@ -183,3 +183,39 @@ def warp_speed(df: DataFrame, key: str, query: str, source: str, window: int = 1
         return pd.DataFrame({key: [pdf[key].iloc[0]], "speed": [round(speed, 6)], "confidence": [round(confidence, 6)], "changed": [abs(speed - 1) > 0.05]})
 
     return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, speed double, confidence double, changed boolean")
+
+
+def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str, most: int = 24) -> DataFrame:
+    """The line y = speed * x + intercept with the best weighted inliers among a group's heaviest anchors.
+
+    Candidates are single anchors at speed one and pairs with a speed in [0.55, 1.85]; the intercept is the weighted
+    median of the inliers'. A fit needs two inliers, or one where there is one anchor, and a score of 0.75, or 1.4 with three anchors.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [key, "speed", "intercept", "inliers", "score"]
+        pdf = pdf.sort_values([weight, row_id], ascending=[False, True], kind="stable").head(most)
+        a, b, w = (pdf[k].to_numpy(float) for k in (x, y, weight))
+        tolerance = float(np.clip(0.16 * (a.max() - a.min()), 0.45, 1.8))
+        options = [(1.0, b[i] - a[i]) for i in range(len(a))]
+        for i in range(len(a)):
+            for j in range(i + 1, len(a)):
+                if abs(a[j] - a[i]) > 1e-9 and 0.55 <= (speed := (b[j] - b[i]) / (a[j] - a[i])) <= 1.85:
+                    options.append((speed, b[i] - speed * a[i]))
+        best = None
+        for speed, intercept in options:
+            off = np.abs(b - (speed * a + intercept))
+            near = off <= tolerance
+            score = float((w * (1 - off / tolerance))[near].sum() - 0.30 * abs(speed - 1))
+            if near.sum() >= (1 if len(a) == 1 else 2) and (best is None or score > best[0] + 1e-12):
+                best = (score, speed, near)
+        if best is None or best[0] < (1.4 if len(a) >= 3 else 0.75):
+            return pd.DataFrame(columns=columns)
+        score, speed, near = best
+        offsets = b[near] - speed * a[near]
+        order = np.argsort(offsets, kind="stable")
+        reach = np.cumsum(w[near][order])
+        intercept = offsets[order][int(np.searchsorted(reach, reach[-1] / 2))]
+        return pd.DataFrame([[pdf[key].iloc[0], round(speed, 6), round(float(intercept), 6), int(near.sum()), round(score, 6)]], columns=columns)
+
+    return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("timeline", "scoring", "intervals", "aggregates", "joins", "texts", "sequences")
+MODULES: tuple[str, ...] = ("timeline", "scoring", "intervals", "aggregates", "joins", "texts", "sequences", "decisions")
 
 
 def _each():
