@@ -76,6 +76,17 @@ b AS (SELECT d.doc_id, i.item_id, count(*) AS shared_shingles FROM d JOIN i ON d
 SELECT doc_id, item_id, item_shingles, shared_shingles FROM b JOIN n USING (item_id) WHERE 100 * shared_shingles >= 80 * item_shingles
 """
 
+NEAR_DEDUP = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, {_words('text')} AS w FROM documents), s AS (SELECT doc_id, unnest({_shingles('w')}) AS s FROM dw),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents AS d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(md5(lines[i]), 1, 6))::BIGINT AS v FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
@@ -83,7 +94,8 @@ e AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i),
 c AS (SELECT *, coalesce(sum(last_line::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM e),
 k AS (SELECT doc_id, chunk_no, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, chunk_no),
 m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS seen FROM k
-  WHERE last > first AND len(list_filter(string_split_regex(chunk, '[ 	-]+'), lambda w: w <> '')) >= 10),
+  WHERE last > first AND len(list_filter(string_split_regex(chunk, '[ 	-
+]+'), lambda w: w <> '')) >= 10),
 kept AS (SELECT c.doc_id, string_agg(line, chr(10) ORDER BY i) AS clean FROM c LEFT JOIN m ON c.doc_id = m.doc_id AND c.chunk_no = m.chunk_no AND m.seen > 1
   WHERE m.seen IS NULL GROUP BY c.doc_id),
 gone AS (SELECT doc_id, sum(last - first + 1)::BIGINT AS n FROM m WHERE seen > 1 GROUP BY doc_id)
@@ -93,4 +105,4 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gon
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op5_decontaminate": CONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_secret_scan": secret_scan()}
+    return {"op3_exact_dedup": EXACT_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op5_decontaminate": CONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_secret_scan": secret_scan()}
