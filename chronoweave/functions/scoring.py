@@ -154,3 +154,15 @@ def hint_window(duration: Column, strict: bool, relaxed: bool) -> Column:
     if strict:
         return F.greatest(3 * duration, F.when(duration <= 3.5, num(45)).otherwise(num(60))) * (1.35 if relaxed else 1.0)
     return F.greatest(6 * duration, num(90)) if relaxed else F.greatest(8 * duration, num(180))
+
+
+def colour_similarity(parts: list[Column], shift: Column) -> Column:
+    """Five component similarities (hue, saturation, value, lightness, layout) weighted by how far the colours have shifted."""
+    bands = ((0.2, (0.30, 0.20, 0.20, 0.15, 0.15)), (0.5, (0.20, 0.15, 0.20, 0.20, 0.25)), (None, (0.10, 0.10, 0.20, 0.25, 0.35)))
+    by_band = [sum((w * p for w, p in zip(weights, parts, strict=True)), num(0)) for _, weights in bands]
+    return F.when(shift < bands[0][0], by_band[0]).when(shift < bands[1][0], by_band[1]).otherwise(by_band[2])
+
+
+def prefilter(colour_distance: Column, edge_similarity: Column, most: float = 0.35, least: float = 0.55) -> Column:
+    """The stage that a pair fails at, or pass: colours first, edges after."""
+    return F.when(colour_distance > most, "colour").when(edge_similarity < least, "edge").otherwise("pass")

@@ -68,3 +68,18 @@ def file_size(n: Column) -> Column:
         .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
         .otherwise(F.format_string("%.2f GB", n / 1024.0**3))
     )
+
+
+def fit_words(text: Column, budget: int) -> Column:
+    """The most whole sentences from the start within ``budget`` words; the first ``budget`` words where not even one fits."""
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+    count = lambda s: F.size(words(F.regexp_replace(s, r"\s+", " ")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        fits = state["open"] & (state["n"] + count(s) <= budget)
+        return F.struct(F.when(fits, state["n"] + count(s)).otherwise(state["n"]).alias("n"), fits.alias("open"), F.when(fits, F.concat(state["out"], F.array(s))).otherwise(state["out"]).alias("out"))
+
+    kept = F.aggregate(sentences, start, step)["out"]
+    first = F.array_join(F.slice(words(F.regexp_replace(text, r"\s+", " ")), 1, budget), " ")
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(first)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import text as X
 from chronoweave.functions import vectors as V
+from chronoweave.functions.fuzzy import block_ratio
+from chronoweave.functions.scoring import fuzzy_confidence
 from chronoweave.operators import similarity as M
 from chronoweave.tables import table
 
@@ -94,6 +96,27 @@ def ngram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
 
+def line_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark lines against document lines: the five with most shared word 4-grams, then similarity and confidence.
+
+    Equal lines are one candidate. Only lines of at most three times the query's words are compared.
+    """
+
+    def lines(df: DataFrame, *keys: str) -> DataFrame:
+        one = df.select(*keys, F.explode(F.split("text", "\n")).alias("line")).withColumn("t", X.words(X.normalized(c("line"))))
+        return one.where(F.size("t") >= 4).withColumn("norm", F.array_join("t", " "))
+
+    q = lines(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id").select("item_id", c("norm").alias("query"), c("t").alias("qt")).distinct()
+    d = lines(table(spark, sf_dir, "documents", "text")).select("norm", "t").distinct()
+    grams = lambda df, t, *keep: df.select(*keep, F.explode(F.array_distinct(X.ngrams(c(t), 4))).alias("g"))
+    hits = grams(d, "t", "norm").join(grams(q, "qt", "item_id", "query"), "g").groupBy("item_id", "query", "norm").agg(F.count("*").alias("shared"))
+    hits = hits.where(F.length("norm") <= 3 * F.length("query"))
+    w = Window.partitionBy("item_id", "query").orderBy(F.desc("shared"), "norm")
+    top = hits.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("ratio", F.round(block_ratio("query", "norm"), 9))
+    best = top.groupBy("item_id", "query").agg(F.max(F.struct("ratio", "norm")).alias("m"))
+    return best.select("item_id", F.md5("query").alias("query_md5"), F.md5("m.norm").alias("line_md5"), F.round("m.ratio", 6).alias("ratio"), F.round(fuzzy_confidence(c("m.ratio")), 6).alias("confidence"))
+
+
 def entity_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations by turn bucket: frequency times ln(N / (1 + buckets that hold it)); the best bucket of each word."""
     t = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select((c("conv_id") * 10 + F.floor(c("turn") / 3)).alias("bucket"), F.explode(X.words(X.normalized(c("text")))).alias("word"))
@@ -125,7 +148,7 @@ def manifest_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(a, "by_id", "left").join(b, "by_index", "left").select("by_index", F.coalesce("p1", "p2").alias("price"), F.when(c("p1").isNotNull(), "id").when(c("p2").isNotNull(), "index").otherwise("none").alias("found_by"))
 
 
-QUERIES = {f.__name__: f for f in (hamming_radius, lsh_bucket_join, knn_topk, bucket_vote, roundtrip_validate, duplicate_runs, cycle_detect, ngram_match, entity_tfidf, shared_entities, manifest_resolve)}
+QUERIES = {f.__name__: f for f in (hamming_radius, lsh_bucket_join, knn_topk, bucket_vote, roundtrip_validate, duplicate_runs, cycle_detect, ngram_match, line_match, entity_tfidf, shared_entities, manifest_resolve)}
 
 _BITS = "b AS (SELECT vec_id, label, list_sum(list_transform(range(0, 60), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT AS h FROM embeddings)"
 _DOT = "list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"

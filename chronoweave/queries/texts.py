@@ -65,6 +65,12 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", X.safe_name(c("url"), 40).alias("name"), X.file_size(F.octet_length("html").cast("long") * (c("page_id") % 5 * 900 + 1)).alias("size"), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"))
 
 
+def compressed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("t", F.regexp_replace("text", r"\s+", " "))
+    fit = X.fit_words(c("t"), 40)
+    return d.select("doc_id", F.size(X.words(fit)).alias("n_words"), F.md5(fit).alias("text_md5"))
+
+
 def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against its label's first one."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
@@ -88,7 +94,7 @@ def edit_list_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("record_in"))
 
 
-QUERIES = {f.__name__: f for f in (timecodes, frame_numbers, parsed_times, duration_estimate, text_cleanup, english_share, normalized_ngrams, safe_names, vector_similarity, cache_signatures, edit_list_frames)}
+QUERIES = {f.__name__: f for f in (timecodes, frame_numbers, parsed_times, duration_estimate, text_cleanup, english_share, normalized_ngrams, safe_names, compressed_text, vector_similarity, cache_signatures, edit_list_frames)}
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s'']', ' ', 'g'), '\\s+', ' ', 'g'))"
 _N = f"len(list_filter(string_split({_NORM}, ' '), lambda w: w <> ''))"
@@ -114,6 +120,11 @@ g AS (SELECT unnest(list_transform(range(1, greatest(len(t) - 2, 1) + 1), lambda
 SELECT page_id, substr(regexp_replace(trim(regexp_replace(url, '[^\p{L}\p{N}._ -]', '_', 'g')), '\s+', '_', 'g'), 1, 40) AS name,
  CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024e0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576e0) ELSE printf('%.2f GB', n / 1073741824e0) END AS size,
  lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS extension FROM p""",
+    "compressed_text": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS s FROM d),
+k AS (SELECT doc_id, t, s, len(list_filter(range(1, len(s) + 1), lambda i: len(list_filter(string_split(array_to_string(s[:i], ' '), ' '), lambda w: w <> '')) <= 40)) AS k FROM s),
+f AS (SELECT doc_id, CASE WHEN k > 0 THEN array_to_string(s[:k], ' ') ELSE array_to_string(list_filter(string_split(t, ' '), lambda w: w <> '')[:40], ' ') END AS f FROM k)
+SELECT doc_id, len(list_filter(string_split(f, ' '), lambda w: w <> ''))::INT AS n_words, md5(f) AS text_md5 FROM f""",
     "vector_similarity": """WITH f AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS h FROM embeddings GROUP BY label), j AS (SELECT vec_id, embedding::DOUBLE[] AS e, h FROM embeddings JOIN f USING (label)),
 s AS (SELECT vec_id, e, h, list_dot_product(e, h) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(h, h))) AS cs, list_sum(list_transform(range(1, len(e) + 1), lambda i: sqrt(abs(e[i]) * abs(h[i])))) AS bc,
  list_sum(list_transform(e, lambda x: abs(x))) AS se, list_sum(list_transform(h, lambda x: abs(x))) AS sh FROM j)
