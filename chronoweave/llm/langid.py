@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import small_batches
-from chronoweave.llm.learning import WordRows, bounded_sample, byte_ngrams
+from chronoweave.llm.learning import WordRows, bounded_sample, byte_ngrams, list_views
 
 #: Hash buckets of subwords, length of an embedding, sizes of the subwords in bytes, and labelled rows to learn from.
-BUCKETS, DIMENSION, SIZES, SAMPLE = 1 << 16, 16, (2, 3, 4, 5), 4_000
+BUCKETS, DIMENSION, SIZES, SAMPLE = 1 << 16, 16, (2, 3, 4, 5), 2_000
 #: Share of right answers on validation rows that the rejection threshold may give up.
 GIVE_UP = 0.001
 UNKNOWN = "und"
@@ -95,9 +95,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     found = chosen.mapInArrow(_bags, "lang string, check boolean, at array<int>, n array<int>").toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
     number = {lang: i for i, lang in enumerate(languages)}
-    bags = [(np.array(a, np.int64), np.array(n, float)) for a, n in zip(found["at"].to_pylist(), found["n"].to_pylist(), strict=True)]
-    order = sorted(range(len(bags)), key=lambda i: (found["lang"][i].as_py(), bags[i][0].tolist()[:20], bags[i][1].sum()))  # the same model in whatever order rows come
-    return fit([bags[i] for i in order], np.array([number[found["lang"][i].as_py()] for i in order], dtype=np.int64), languages, np.array([found["check"][i].as_py() for i in order], dtype=bool))
+    bags, lang, check = list(zip(list_views(found["at"]), list_views(found["n"]), strict=True)), found["lang"].to_pylist(), found["check"].to_pylist()
+    order = sorted(range(len(bags)), key=lambda i: (lang[i], bags[i][0][:20].tolist(), int(bags[i][1].sum())))  # the same model in whatever order rows come
+    return fit([bags[i] for i in order], np.array([number[lang[i]] for i in order], dtype=np.int64), languages, np.array([check[i] for i in order], dtype=bool))
 
 
 def _word_parts(model: LanguageModel):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ def bounded_sample(rows: DataFrame, by: str, bound: int, key: str = "doc_id") ->
     return rows.where(F.col(key).isNotNull() & chosen)
 
 
+def list_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row of a list column as a view of Arrow's memory."""
+    out = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
 def byte_ngrams(words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the byte n-grams of each word, with marks for its two ends, and the index of the word each is from."""
     marked = b"".join(b"\x01" + w + b"\x02" for w in words)
@@ -55,7 +65,7 @@ def ftrl(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weig
         w = np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
         return w
 
-    rows = [(np.append(i, buckets), np.append(v, 1.0)) for i, v in features]
+    rows = [(np.append(i, np.int32(buckets)).astype(np.int32), np.append(v, np.float32(1)).astype(np.float32)) for i, v in features]
     for _ in range(epochs):
         for r in order.permutation(len(rows)):
             at, v = rows[r]

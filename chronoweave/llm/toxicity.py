@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import small_batches
-from chronoweave.llm.learning import bounded_sample, ftrl, sigmoid
+from chronoweave.llm.learning import bounded_sample, ftrl, list_views, sigmoid
 
 #: log2 of the hash buckets, labelled rows to learn from, unlabelled ones beside them, and voters mined from the labelled ones.
 BITS, SAMPLE, UNLABELLED, MINED = 20, 6_000, 1_500, 200
@@ -132,14 +132,6 @@ def mine_voters(rows: list[np.ndarray], gold: np.ndarray, limit: int = MINED) ->
     return np.sort(best[lift[best] > 2])
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> dict[int, float]:
     """Weights of buckets other than 0, and under -1 the intercept, from about ``sample`` labelled rows at most and ``unlabelled`` others among those that ``learn`` (over the id) marks."""
     small_batches(docs.sparkSession)
@@ -163,14 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     got = joined.mapInArrow(describe, f"doc_id {kind}, label int, at array<int>, votes array<tinyint>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not got.num_rows:
         return {-1: 0.0}
-    gold, rows = got["label"].to_numpy(), _lists(got["at"])
+    gold, rows = got["label"].to_numpy(), list_views(got["at"])
     share = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     have = {y: max(1, int((gold == y).sum())) for y in (-1, 0, 1)}
     total = sum(share.values()) or 1
     # The sample holds the labels in equal number; weights give them back their shares.
     weight = np.array([1.0 if y < 0 else share[int(y)] / total / have[int(y)] * (have[0] + have[1]) for y in gold])
     mined = mine_voters(rows, gold)
-    votes = np.concatenate([np.stack(_lists(got["votes"])).astype(float), np.stack([np.isin(mined, r) for r in rows]).astype(float)], axis=1)
+    votes = np.concatenate([np.stack(list_views(got["votes"])).astype(float), np.stack([np.isin(mined, r) for r in rows]).astype(float)], axis=1)
     _, q, _ = fit_label_model(votes, gold, weight)
     w = ftrl([(r.astype(np.int64), np.ones(len(r))) for r in rows], q, weight, 1 << BITS, epochs=10, alpha=2.0, l1=5.0, l2=0.1)
     return {int(i): float(w[i]) for i in np.flatnonzero(w[:-1])} | {-1: float(w[-1])}
