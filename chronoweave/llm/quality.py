@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import mix64, small_batches
-from chronoweave.llm.learning import WordRows, bounded_sample, ftrl, sigmoid
+from chronoweave.llm.learning import WordRows, bounded_sample, ftrl, list_views, sigmoid
 
 #: log2 of the hash buckets, and labelled rows to learn from.
-BITS, SAMPLE = 18, 8_000
+BITS, SAMPLE = 18, 6_000
 
 _CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     kind = docs.schema[id_col].dataType.simpleString()
     got = joined.mapInArrow(rows, f"doc_id {kind}, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     label = got["label"].to_numpy().astype(float) if got.num_rows else np.empty(0)
-    pairs = [(np.array(a, np.int64), np.array(v, float)) for a, v in zip(got["at"].to_pylist(), got["value"].to_pylist(), strict=True)]
+    pairs = list(zip(list_views(got["at"]), list_views(got["value"]), strict=True))
     # The sample holds the labels in equal number; weights give them back their shares, so that scores are probabilities.
     share = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     total, have = sum(share.values()), {k: max(1, int((label == k).sum())) for k in share}
