@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions.scoring import clip
+from chronoweave.functions.scoring import clip, colour_similarity, prefilter
 from chronoweave.operators.intervals import overlap
 from chronoweave.operators.sequence import fit_line
 from chronoweave.plans.bindings import SEGMENT_SQL, segments
@@ -155,6 +155,29 @@ def shot_line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_line(s, "shot", "start", "movie", "weight", "id")
 
 
+def shot_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a shot moved to its line where that changes their source by more than 0.18."""
+    line = shot_line_fit(spark, sf_dir)
+    s = segments(spark, sf_dir).where("movie_start is not null").select((c("project") * 1000 + F.floor(c("idx") / 12)).alias("shot"), "id", "start", (c("movie_start") / 3).alias("movie"))
+    out = s.join(line, "shot").withColumn("planned", F.greatest(F.lit(0.0), c("speed") * c("start") + c("intercept")))
+    return out.select("id", "shot", E6(c("planned")).alias("planned"), (F.abs(c("planned") - c("movie")) > 0.18).alias("moved"))
+
+
+def sequential_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row is expected in a strictly forward pass: no earlier than the last accepted start before it."""
+    w = Window.partitionBy("project").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = segments(spark, sf_dir)
+    accepted = F.max(F.when(c("movie_start").isNotNull() & (c("visual") >= 0.5), c("movie_start"))).over(w)
+    expected = F.greatest(c("start") * 3, F.coalesce(accepted, F.lit(0.0)))
+    return s.select("id", E6(expected).alias("expected"), E6(c("movie_start") - expected).alias("off"))
+
+
+def colour_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir)
+    alike = colour_similarity([c("visual"), c("stability"), c("temporal"), c("audio"), c("verify")], c("rank_gap") * 10)
+    return s.select("id", E6(alike).alias("alike"), prefilter(1 - c("visual"), c("stability")).alias("stage"))
+
+
 def phase_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best offset of each row on a grid, taken when it gains enough."""
     s = segments(spark, sf_dir).where("movie_start is not null and dur between 0.5 and 3.2")
@@ -167,7 +190,7 @@ def phase_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("id", c("m.offset").alias("offset"), E6(c("m.score")).alias("best"), taken.alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (anchor_predicate, second_pass, validation_gate, sampling_grid, cut_predicate, shot_windows, export_speed, verify_scores, resolution_profile, hash_threshold, review_tags, rescore_with_audio, capped_reruns, sequence_bias, manual_edits_kept, targets_by_score, shot_line_fit, phase_grid)}
+QUERIES = {f.__name__: f for f in (anchor_predicate, second_pass, validation_gate, sampling_grid, cut_predicate, shot_windows, export_speed, verify_scores, resolution_profile, hash_threshold, review_tags, rescore_with_audio, capped_reruns, sequence_bias, manual_edits_kept, targets_by_score, shot_line_fit, shot_continuity, sequential_expectation, colour_prefilter, phase_grid)}
 
 ORACLES = {
     "anchor_predicate": f"WITH {SEGMENT_SQL} SELECT id, round(visual + 1e-9, 6) AS confidence FROM seg WHERE movie_start IS NOT NULL AND kind = 'has_narration' AND visual >= CASE WHEN id % 2 = 0 THEN 0.82 ELSE 0.85 END AND stability >= 0.45",
@@ -206,6 +229,11 @@ j AS (SELECT n.id, o.id AS old_id, round(greatest(0e0, least(n.b, o.b) - greates
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, old_id) AS rn FROM j WHERE share >= 0.45) SELECT id, old_id, round(share + 1e-9, 6) AS share FROM r WHERE rn = 1""",
     "targets_by_score": f"""WITH {SEGMENT_SQL}, u AS (SELECT id % 1000 AS key, visual FROM seg WHERE visual < 0.66 UNION ALL SELECT id % 1000, stability + 0.05 FROM seg WHERE stability < 0.1)
 SELECT key, round(min(visual) + 1e-9, 6) AS least FROM u GROUP BY key ORDER BY least, key LIMIT 50""",
+    "sequential_expectation": f"""WITH {SEGMENT_SQL}, x AS (SELECT *, greatest(start * 3, coalesce(max(CASE WHEN visual >= 0.5 THEN movie_start END) OVER (PARTITION BY project ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM seg)
+SELECT id, round(e + 1e-9, 6) AS expected, round(movie_start - e + 1e-9, 6) AS off FROM x""",
+    "colour_prefilter": f"""WITH {SEGMENT_SQL} SELECT id, round(CASE WHEN rank_gap * 10 < 0.2 THEN 0.3 * visual + 0.2 * stability + 0.2 * temporal + 0.15 * audio + 0.15 * verify
+ WHEN rank_gap * 10 < 0.5 THEN 0.2 * visual + 0.15 * stability + 0.2 * temporal + 0.2 * audio + 0.25 * verify ELSE 0.1 * visual + 0.1 * stability + 0.2 * temporal + 0.25 * audio + 0.35 * verify END + 1e-9, 6) AS alike,
+ CASE WHEN 1 - visual > 0.35 THEN 'colour' WHEN stability < 0.55 THEN 'edge' ELSE 'pass' END AS stage FROM seg""",
     "phase_grid": f"""WITH {SEGMENT_SQL}, g AS (SELECT id, visual, gap, unnest([-1.4e0, -1.05e0, -0.7e0, -0.35e0, -0.18e0, 0e0, 0.18e0, 0.35e0, 0.7e0, 1.05e0, 1.4e0]) AS o FROM seg WHERE movie_start IS NOT NULL AND dur BETWEEN 0.5 AND 3.2),
 s AS (SELECT *, round(greatest(0e0, least(1e0, visual + 0.3 - abs(o - (gap % 2 - 1)) * 0.2)), 9) AS sc FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sc DESC, abs(o), o DESC) AS rn, max(sc) FILTER (o = 0) OVER (PARTITION BY id) AS now FROM s)
 SELECT id, o AS "offset", round(sc + 1e-9, 6) AS best, abs(o) >= 0.08 AND sc >= 0.7 AND sc - now >= CASE WHEN now < 0.7 THEN 0.038 ELSE 0.05 END AS taken FROM r WHERE rn = 1""",
