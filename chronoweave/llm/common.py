@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,29 +48,57 @@ def doc_bucket(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for up to ``limit`` words; later ones are hashed anew."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at runs of space and \\x09-\\x0D (what ``bytes`` methods do)."""
     return text.lower().split() if text else []
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_BYTE = np.random.Generator(np.random.PCG64(20240909)).integers(0, 2**64, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text that are hashed at a time; a part ends at white space.
+_PART = 1 << 18
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if len(_powers.get("up", ())) < n:
+        size = max(1 << 12, 1 << int(n - 1).bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"], _powers["down"]
+
+
+def hash_words(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash for each word of ``words_of(text)``, in order, without making the words.
+
+    Sums of byte values times powers of a base, as prefix sums over the text: a word's hash is a difference of two of
+    them, shifted to the word's start. Long texts are hashed in parts that end at white space.
+    """
+    if not text:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(text.lower(), np.uint8)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + _PART)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end = min(len(raw), end + 1)
+        part = raw[at:end]
+        up, down = _power_tables(len(part) + 1)
+        gap = np.ones(len(part) + 2, np.int8)
+        gap[1:-1] = _SPACE[part]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        start, stop = edges[0::2], edges[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        out.append(mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
+        at = end
+    return np.concatenate(out)
+
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -90,11 +120,38 @@ def shingle_hashes(word_hashes: np.ndarray, size: int = 5) -> np.ndarray:
     return mix64(out + np.uint64(width))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task contracts at most.
+LOCAL_EDGES = 400_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a partition's edges: each id with the least id that it reaches here."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    rows = [(find(x), x) for x in list(parent)]
+    rows = [(a, b) for a, b in rows if a != b]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for each id in ``edges`` (columns a, b), component being the least id reachable.
 
-    Alternating large-star and small-star contraction: each round is two grouped minima and two joins, work stays
-    linear in the edges, and the number of rounds is logarithmic. No component is ever gathered in one place.
+    Each round first contracts the edges of each partition, at most about ``local_edges`` of them, to stars; edges that
+    fit one partition are then done. More go on with alternating large-star and small-star contraction: two grouped minima
+    and two joins a round, linear in the edges, in a logarithmic number of rounds. No component is ever gathered.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -110,19 +167,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
         return out.where("a <> b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether all edges lead from a least id to one that has no other edge."""
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("v").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 or (up = 1 and down > 0)").isEmpty()
 
-    current = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = mark(current)
+    current = materialize(edges.select("a", "b").where("a <> b"), "edges")
     for _ in range(max_rounds):
-        if before[0] == 0:
+        parts = -(-current.count() // local_edges)
+        if parts == 0:
             break
-        current = materialize(star(star(current, True), False), "edges")
-        now = mark(current)
-        if now == before:
+        current = materialize(current.repartition(parts).mapInArrow(_contract, "a bigint, b bigint"), "edges")
+        if parts == 1 or settled(current):
             break
-        before = now
+        current = materialize(star(star(current, True), False), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return current.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(current.select(F.col("a").alias("id"), F.col("a").alias("component"))).distinct()
+    return current.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(current.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import WordHashes, mix64, shingle_hashes, small_batches, words_of
+from chronoweave.llm.common import hash_words, shingle_hashes, small_batches
 
 #: Hash functions of a signature, and items in one broadcast block.
 WIDTH, BLOCK = 64, 20_000
@@ -27,32 +27,34 @@ def _values(shingles: np.ndarray) -> np.ndarray:
 
 @dataclass
 class SizeClass:
-    """Items of between ``size / 2`` and ``size`` shingles: for each hash function, their least hashes, sorted, and whose they are."""
+    """Items of between ``size / 2`` and ``size`` shingles: (hash function, least hash) of each as one sorted number, and whose it is."""
 
     size: int
-    least: np.ndarray
+    keys: np.ndarray
     owner: np.ndarray
 
 
+_FUNCTION = np.arange(WIDTH, dtype=np.uint64)[:, None] << np.uint64(32)
+
+
 class Items:
     """A block of test items, of bounded number, as signatures by size class and as full shingle sets."""
 
     def __init__(self, ids: list[int], texts: list[bytes | None]):
-        hashes = WordHashes()
-        words = [words_of(t) for t in texts]
-        keep = [i for i, w in enumerate(words) if w]
+        words = [hash_words(t) for t in texts]
+        keep = [i for i, w in enumerate(words) if len(w)]
         self.ids = [ids[i] for i in keep]
         self.short = [len(words[i]) < 5 for i in keep]
-        self.sets = [np.unique(shingle_hashes(hashes.array(words[i]))) for i in keep]
+        self.sets = [np.unique(shingle_hashes(words[i])) for i in keep]
         by_class: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             by_class.setdefault(1 << max(3, int(len(s) - 1).bit_length()), []).append(i)
         self.classes, wanted = [], []
         for size, own in sorted(by_class.items()):
-            least = np.stack([_values(self.sets[i]).min(axis=1) for i in own], axis=1)
+            keys = np.stack([_values(self.sets[i]).min(axis=1) for i in own], axis=1) | _FUNCTION
             wanted += [self.sets[i][_values(self.sets[i]).argmin(axis=1)] for i in own]
-            order = np.argsort(least, axis=1, kind="stable")
-            self.classes.append(SizeClass(size, np.take_along_axis(least, order, axis=1), np.array(own)[order]))
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.classes.append(SizeClass(size, keys.ravel()[order], np.tile(np.array(own), WIDTH)[order]))
         # Shingles that are least in some item: a window without any of them has no signature value in common with an item.
         self.least_shingles = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
         bits = max(16, int(len(self.least_shingles) * 16).bit_length())
@@ -65,25 +67,26 @@ class Items:
 
         Windows of 2 * size shingles start at each multiple of size, so any run of ``size`` shingles lies in one.
         """
-        if not len(self.least_shingles) or not self.filter[(shingles >> self.shift).astype(np.int64)].any():
+        if not len(self.least_shingles):
             return np.empty(0, np.int64)
-        found = []
         place = np.flatnonzero(self.filter[(shingles >> self.shift).astype(np.int64)])
-        for c in self.classes:
+        at = np.searchsorted(self.least_shingles, shingles[place])
+        place = place[self.least_shingles[np.minimum(at, len(self.least_shingles) - 1)] == shingles[place]]
+        found = []
+        for c in self.classes if len(place) else ():
             starts = np.unique(np.concatenate([place // c.size, place // c.size - 1]))
             starts = starts[(starts >= 0) & ((starts == 0) | (starts * c.size < len(shingles)))]
             for i in range(0, len(starts), 256):
-                windows = np.stack([_values(shingles[s * c.size : (s + 2) * c.size]).min(axis=1) for s in starts[i : i + 256]], axis=1)
-                for k in range(WIDTH):
-                    lo, hi = np.searchsorted(c.least[k], windows[k], "left"), np.searchsorted(c.least[k], windows[k], "right")
-                    for x, y in {(int(x), int(y)) for x, y in zip(lo, hi, strict=True) if y > x}:
-                        found.append(c.owner[k, x:y])
+                windows = np.stack([_values(shingles[s * c.size : (s + 2) * c.size]).min(axis=1) for s in starts[i : i + 256]], axis=1) | _FUNCTION
+                lo, hi = np.searchsorted(c.keys, windows.ravel(), "left"), np.searchsorted(c.keys, windows.ravel(), "right")
+                for x, y in {(int(lo[j]), int(hi[j])) for j in np.flatnonzero(hi > lo)}:
+                    found.append(c.owner[x:y])
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
-    def contained(self, text: bytes | None, hashes: WordHashes, percent: int) -> list[tuple[int, int, int]]:
+    def contained(self, text: bytes | None, percent: int) -> list[tuple[int, int, int]]:
         """(item id, its shingles, how many of them the text holds) for each item of which the text holds enough: candidates, verified on full sets."""
-        words = words_of(text)
-        shingles = shingle_hashes(hashes.array(words))
+        words = hash_words(text)
+        shingles = shingle_hashes(words)
         near = self.candidates(shingles) if len(shingles) else ()
         if not len(near):
             return []
@@ -97,9 +100,8 @@ class Items:
 
 def _search(items: Items, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            rows = [(at, *hit) for at, text in enumerate(batch.column(1).to_pylist()) for hit in items.contained(text, hashes, percent)]
+            rows = [(at, *hit) for at, text in enumerate(batch.column(1).to_pylist()) for hit in items.contained(text, percent)]
             if rows:
                 at, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "item_id", "item_shingles", "shared_shingles"])
@@ -109,9 +111,8 @@ def _search(items: Items, percent: int):
 
 def _without(items: Items, percent: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            clean = [not items.contained(t.encode() if isinstance(t, str) else t, hashes, percent) for t in batch.column(text_at).to_pylist()]
+            clean = [not items.contained(t.encode() if isinstance(t, str) else t, percent) for t in batch.column(text_at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
