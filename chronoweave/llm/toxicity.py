@@ -16,7 +16,7 @@ from chronoweave.llm.common import small_batches
 from chronoweave.llm.learning import bounded_sample, ftrl, list_views, sigmoid
 
 #: log2 of the hash buckets, labelled rows to learn from, unlabelled ones beside them, and voters mined from the labelled ones.
-BITS, SAMPLE, UNLABELLED, MINED = 20, 6_000, 1_500, 200
+BITS, SAMPLE, UNLABELLED, MINED = 20, 4_000, 1_000, 200
 
 #: Lexicon voters: each list is one voter.
 LEXICONS = {
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(votes, pa.list_(pa.int8()))], ["doc_id", "label", "at", "votes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = texts.join(chosen.unionByName(others), "doc_id").select("doc_id", "text", "label")
+    joined = texts.join(F.broadcast(chosen.unionByName(others)), "doc_id").select("doc_id", "text", "label")  # a bounded sample: no text is shuffled
     got = joined.mapInArrow(describe, f"doc_id {kind}, label int, at array<int>, votes array<tinyint>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     if not got.num_rows:
         return {-1: 0.0}
