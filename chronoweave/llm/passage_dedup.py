@@ -1,0 +1,107 @@
+"""Removal of passages: runs of lines that stand earlier elsewhere."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from chronoweave.llm.common import materialize, small_batches
+
+#: Repeated runs of lines that hold fewer words stay.
+MIN_WORDS = 50
+
+
+def windows(text: bytes | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, end line, digest) of the shortest run of at least ``min_words`` words from each line on, and up to each line.
+
+    A run of lines with that many words holds the window from its first line, the one up to its last line, and for each
+    line between them a window that covers it. What the windows hold depends on the run alone, so the runs that two
+    texts share are just the union of the windows that they share.
+    """
+    lines = text.split(b"\n") if text else []
+    words = np.concatenate([[0], np.cumsum([len(line.split()) for line in lines], dtype=np.int64)])
+    if words[-1] < min_words:
+        return
+    starts = np.concatenate([[0], np.cumsum([len(line) + 1 for line in lines])])
+    ends = np.searchsorted(words, words[:-1] + min_words)
+    firsts = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    spans = {(a, int(b)) for a, b in enumerate(ends) if b <= len(lines)} | {(int(a), b) for b, a in enumerate(firsts, 1) if a >= 0}
+    for a, b in sorted(spans):
+        yield a, b, blake2b(text[starts[a] : starts[b] - 1], digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = b"".join(d[:8] for t in batch.column(0).to_pylist() for _, _, d in windows(t, min_words))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(found, np.int64))], ["short"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, a, b, d) for i, t in enumerate(batch.column(2).to_pylist()) for a, b, d in windows(t, min_words)]
+        if rows:
+            at, first, end, digest = zip(*rows, strict=True)
+            take, short = pa.array(at), np.frombuffer(b"".join(d[:8] for d in digest), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.binary()), pa.array(short)], ["doc_id", "k", "first", "end", "digest", "short"])
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_removed", LongType())]))
+def _cut(texts: pd.Series, firsts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """Each text without the lines of its cuts, and how many those are."""
+    out = []
+    for text, first, end in zip(texts, firsts, ends, strict=True):
+        if text is None:
+            out.append((None, 0))
+            continue
+        lines = text.split("\n")
+        depth = np.zeros(len(lines) + 1, np.int64)
+        np.add.at(depth, first, 1)
+        np.add.at(depth, end, -1)
+        keep = np.cumsum(depth[:-1]) == 0
+        out.append(("\n".join(line for line, stays in zip(lines, keep, strict=True) if stays), int((~keep).sum())))
+    return pd.DataFrame(out, columns=["text", "n_removed"])
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the text cleaned, and n_lines (of the text as read) and n_removed (lines taken out) behind its columns.
+
+    Lines end at a line feed. A line goes if it is part of a run of lines of at least ``min_words`` words that also
+    stands at an earlier place by (doc_id, text's digest, line), be that in another text or in its own. Every line taken
+    out thus has an equal one at an earlier place, and the first place of each passage keeps it. The rule is exact:
+    nothing depends on where boundaries fall or on what surrounds a passage. Runs count as equal when their 128-bit
+    BLAKE2 digests are.
+
+    First, half digests of windows are counted with map-side sums; only windows whose half digest repeats then shuffle,
+    without their text. The winner of each is a minimum, again with map-side sums. Texts with nothing to remove don't
+    shuffle at all if the list of others is small, else they are joined by row.
+
+    Null text stays null and has no lines. An emptied text is the empty string. Null ids come last. Rows that repeat id
+    and text are one document and are cleaned alike. Other columns pass through; ones named n_lines or n_removed are
+    replaced. An empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+    read = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.col(text_col).cast("binary").alias("text"))
+    repeated = read.select("text").mapInArrow(lambda it: _digests(it, min_words), "short bigint").groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
+    found = read.mapInArrow(lambda it: _windows(it, min_words), f"doc_id {kind}, k binary, first int, end int, digest binary, short bigint")
+    seen = materialize(found.join(repeated, "short").drop("short"), "repeated-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "first")
+    winners = seen.groupBy("digest").agg(F.min(place).alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = seen.join(winners, "digest").where((F.col("k") != F.col("winner.k")) | (F.col("first") != F.col("winner.first")))
+    cuts = gone.groupBy(F.col("k").alias("__k")).agg(F.collect_set(F.struct("first", "end")).alias("__cuts"))
+    joined = docs.drop("n_lines", "n_removed").withColumn("__k", key).join(cuts, "__k", "left")
+    cut = F.col("__cuts").isNotNull()
+    # Only texts with cuts go to Python.
+    joined = joined.withColumn("__out", _cut(F.when(cut, F.col(text_col)), F.col("__cuts.first"), F.col("__cuts.end")))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.when(cut, F.col("__out.text")).otherwise(F.col(text_col))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n", -1))).cast("long")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n_lines.alias("n_lines"), F.coalesce("__out.n_removed", F.lit(0)).cast("long").alias("n_removed"))

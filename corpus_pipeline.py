@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in five stages.
+"""From raw documents to packed training sequences, in six stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents.
@@ -16,6 +16,7 @@ from chronoweave.llm.decontaminate import decontaminate
 from chronoweave.llm.line_dedup import line_dedup
 from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
+from chronoweave.llm.passage_dedup import passage_dedup
 from chronoweave.llm.queries import TOKENIZER
 
 
@@ -27,7 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines that stand earlier elsewhere. Every document stays, though its text may be shorter; n_chars follows the text."""
-    out = line_dedup(docs)
+    return _cleaned(docs, line_dedup(docs))
+
+
+def _cleaned(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``out``, n_chars following the text."""
     changed = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
     return changed.select(*docs.columns)
 
@@ -43,6 +48,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines of 50 words or more that stand earlier elsewhere, whatever their lines and surroundings; n_chars follows the text.
+
+    Whole near copies are gone by then: taken earlier, their passages would leave fragments that no longer look like copies.
+    """
+    return _cleaned(docs, passage_dedup(docs))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of 1024 tokens."""
     return best_fit_packing(docs, public_tokenizers.path(TOKENIZER))
@@ -53,6 +66,7 @@ STAGES = [
     ("line_dedup", line_dedup_stage),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("passage_dedup", passage_dedup_stage),
     ("packing", packing),
 ]
 
