@@ -16,14 +16,20 @@ from chronoweave.llm.common import connected_components, hash_words, materialize
 WIDTH, TREES, LEVELS, SMALL = 64, 10, 4, 512
 #: Queries, and members, that one comparison of a large leaf holds.
 BLOCK = 1_024
-#: A pair goes to the exact test if this share of its sketch agrees. At a similarity of 0.85 the standard error is 0.045.
-MAYBE = 0.60
+#: A pair goes to the exact test if the share of its sketch that agrees is at most so many standard errors below the threshold.
+ERRORS = 5.6
 
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _MULTIPLY = (_RNG.integers(0, 2**32, WIDTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 2**32, WIDTH, dtype=np.uint64).astype(np.uint32)
 
 
+def maybe(percent: int) -> float:
+    """The share of a sketch that a pair at the threshold is bound to agree in: 0.60 for 85, 0.52 for 80."""
+    s = percent / 100
+    return s - ERRORS * (s * (1 - s) / WIDTH) ** 0.5
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The least hash of the set under each of ``WIDTH`` hash functions."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -102,11 +108,11 @@ def branch(similarity: float, trees: int = 0):
     return children
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches, cut to a byte a place, agree in ``MAYBE`` of their places."""
+def _agree(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches, cut to a byte a place, agree in ``least`` of their places."""
     for batch in batches:
         if batch.num_rows:
-            keep = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).mean(axis=1) >= MAYBE
+            keep = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).mean(axis=1) >= least
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -123,17 +129,17 @@ def _linked(percent: int):
     return check
 
 
-def _favoured(rid: np.ndarray, component: np.ndarray, marks: np.ndarray, asking: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _favoured(rid: np.ndarray, component: np.ndarray, marks: np.ndarray, asking: np.ndarray, asks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a query and a member of different components that the sketches favour; two that both ask meet once."""
     a, b, members = [], [], np.flatnonzero(~asking)
     for i in np.flatnonzero(asking):
         to = members[(component[members] != component[i]) & (~asks[members] | (rid[members] > rid[i]))]
-        to = to[(marks[to] == marks[i]).mean(axis=1) >= MAYBE]
+        to = to[(marks[to] == marks[i]).mean(axis=1) >= least]
         a.append(np.full(len(to), rid[i])), b.append(rid[to])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """For rows sorted by (node, block): the favoured pairs of each run. A run may go on in the next batch; its length has a bound."""
 
     def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
@@ -145,7 +151,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, component = table["rid"].to_numpy(), table["component"].to_numpy()
         asking, asks = table["asking"].to_numpy(zero_copy_only=False).astype(bool), table["asks"].to_numpy(zero_copy_only=False).astype(bool)
         marks = _matrix(table["short"].combine_chunks(), np.uint8)
-        found = [_favoured(rid[i:j], component[i:j], marks[i:j], asking[i:j], asks[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True) if asking[i:j].any()]
+        found = [_favoured(rid[i:j], component[i:j], marks[i:j], asking[i:j], asks[i:j], least) for i, j in zip([0, *ends[:-1]], ends, strict=True) if asking[i:j].any()]
         out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y"]), table.slice(ends[-1])
 
@@ -171,7 +177,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     2. Each representative walks ``trees`` trees. A node branches on one or two minwise tokens chosen by the node, so
        that a pair at the threshold is expected to share one child; nodes above ``SMALL`` members branch again, up to
        ``LEVELS`` times. A pair at similarity 0.85 shares no leaf of one tree with a chance of 0.13 after one level and
-       0.36 after four: with ten trees that is 1e-9 and 4e-5.
+       0.36 after four: with ten trees that is 1e-9 and 4e-5. At 0.80 it
+       is 0.16 and 0.42, with ten trees 1e-8 and 2e-4.
     3. Each leaf compares its members with its first one: as many pairs as members, however large the leaf. Pairs that
        the sketches favour are confirmed on full shingle sets.
     4. What remains in a leaf after that are members of different components. They are compared exhaustively; in a leaf
@@ -185,6 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
+    least = maybe(percent)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     each = materialize(texts.mapInArrow(_describe, f"doc_id {kind}, same binary, n_shingles bigint, sketch binary, short binary"), "described")
@@ -216,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     def favoured(pairs: DataFrame) -> DataFrame:
         both = pairs.join(short.select(F.col("rid").alias("x"), F.col("short").alias("sx")), "x").join(short.select(F.col("rid").alias("y"), F.col("short").alias("sy")), "y")
-        return both.select("x", "y", "sx", "sy").mapInArrow(_agree, "x bigint, y bigint")
+        return both.select("x", "y", "sx", "sy").mapInArrow(lambda it: _agree(it, least), "x bigint, y bigint")
 
     stars = leaves.where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y")).distinct()
     links = materialize(confirm(favoured(stars)).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
@@ -241,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     asked = todo.withColumn("asking", F.lit(False)).withColumn("other", F.explode(every)).withColumn("block", F.col("other") * F.col("blocks") + F.col("own"))
     columns = ("node", "block", "rid", "component", "asking", "asks", "short")
     both = asking.select(*columns).unionByName(asked.select(*columns))
-    more = both.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_within, "x bigint, y bigint").distinct()
+    more = both.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(lambda it: _within(it, least), "x bigint, y bigint").distinct()
     more = materialize(more, "more")
     if not more.isEmpty():
         found = materialize(confirm(more).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")

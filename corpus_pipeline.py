@@ -38,8 +38,8 @@ def _cleaned(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates, at a similarity of 0.8 of five-word shingles: the one with the least id."""
+    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
