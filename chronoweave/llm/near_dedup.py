@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import connected_components, hash_words, materialize, mix64, shingle_hashes, small_batches, words_of
 
-#: Minwise tokens in a sketch, independent trees, levels below the root, and the size up to which a node is compared exhaustively.
-WIDTH, TREES, LEVELS, SMALL = 64, 10, 4, 512
-#: Queries, and members, that one comparison of a large leaf holds.
-BLOCK = 1_024
+#: Minwise tokens in a sketch, independent trees, and levels below the root.
+WIDTH, TREES, LEVELS = 64, 10, 6
+#: Trees whose leaves are compared first; the leaves of the others then compare components only.
+FIRST = 3
+#: Members of a node, and shingles of all its members together, up to which a node is a leaf that is compared exhaustively.
+SMALL, WEIGHT = 1_024, 1 << 22
 #: A pair goes to the exact test if the share of its sketch that agrees is at most so many standard errors below the threshold.
 ERRORS = 5.6
+#: Columns of the incidence matrix that one product covers.
+COLUMNS = 8_192
 
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _MULTIPLY = (_RNG.integers(0, 2**32, WIDTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -72,7 +76,7 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), WIDTH)
 
 
-def _children(rid: np.ndarray, node: np.ndarray, marks: np.ndarray, extra: np.uint64) -> pa.RecordBatch:
+def _children(batch: pa.RecordBatch, tree: np.ndarray, node: np.ndarray, marks: np.ndarray, extra: np.uint64) -> pa.RecordBatch:
     """Children of members: each node picks one of the ``WIDTH`` minwise tokens, and with the chance that ``extra`` gives, another.
 
     The pick depends on the node alone, so all its members branch alike; members with the same token share a child.
@@ -81,14 +85,15 @@ def _children(rid: np.ndarray, node: np.ndarray, marks: np.ndarray, extra: np.ui
     one = (first % np.uint64(WIDTH)).astype(np.int64)
     two = (one + 1 + ((first >> np.uint64(32)) % np.uint64(WIDTH - 1)).astype(np.int64)) % WIDTH
     more = np.flatnonzero(mix64(node + np.uint64(0xA2BF8C13)) < extra)
-    at = np.concatenate([np.arange(len(rid)), more])
+    at = np.concatenate([np.arange(len(node)), more])
     pick = np.concatenate([one, two[more]])
     child = mix64(node[at] * np.uint64(0x9E3779B97F4A7C15) + (pick.astype(np.uint64) << np.uint64(32)) + marks[at, pick].astype(np.uint64))
-    return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(child.view(np.int64))], ["rid", "node"])
+    take = pa.array(at)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(tree[at].astype(np.int32)), pa.array(child.view(np.int64))], ["rid", "n", "tree", "node"])
 
 
 def branch(similarity: float, trees: int = 0):
-    """The next level: of rows (rid, sketch, node), or with ``trees`` of the roots of so many trees, for rows (rid, sketch).
+    """The next level: of rows (rid, n, sketch, tree, node), or with ``trees`` of the roots of so many trees, for rows (rid, n, sketch).
 
     Nodes branch into ``1 / similarity`` children on average, so a pair at that similarity expects to share one.
     """
@@ -96,74 +101,152 @@ def branch(similarity: float, trees: int = 0):
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            rid, marks = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), np.uint32)
+            marks = _matrix(batch.column(2), np.uint32)
             if trees:
                 for tree in range(trees):
-                    yield _children(rid, np.full(len(rid), tree + 1, np.uint64), marks, extra)
+                    yield _children(batch, np.full(n, tree), np.full(n, tree + 1, np.uint64), marks, extra)
             else:
-                yield _children(rid, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), marks, extra)
+                yield _children(batch, batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64), marks, extra)
 
     return children
 
 
-def _agree(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches, cut to a byte a place, agree in ``least`` of their places."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows sorted by their first two columns, tables of whole runs and where the runs start. A run's length has a bound."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        if batch.num_rows:
-            keep = (_matrix(batch.column(2), np.uint8) == _matrix(batch.column(3), np.uint8)).mean(axis=1) >= least
-            yield batch.select([0, 1]).filter(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = last is not None and (a[0], b[0]) != last
+        last = (a[-1], b[-1])
+        cuts = np.flatnonzero(new)
+        if not len(cuts):
+            held.append(batch)
+            continue
+        yield _cut([*held, batch.slice(0, cuts[-1])])
+        held = [batch.slice(cuts[-1])]
+    if held:
+        yield _cut(held)
+
+
+def _cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(parts).combine_chunks()
+    a, b = table.column(0).to_numpy(), table.column(1).to_numpy()
+    return table, np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]])
+
+
+def _contested(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, cell, rid, component, asks, short), sorted: those that the sketches favour as partner of a row of another component.
+
+    One of the two must ask. Rows of one cell are compared with those ``d`` places behind, for all ``d`` and all cells at a time.
+    """
+    for table, starts in _runs(batches):
+        size = np.diff(starts)
+        left = np.repeat(starts[1:], size) - np.arange(len(table))  # rows of the cell from here on
+        component, asks = table["component"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        marks = _matrix(table["short"].combine_chunks(), np.uint8)
+        found, need = np.zeros(len(table), bool), np.ceil(least * WIDTH)
+        for d in range(1, int(size.max())):
+            i = np.flatnonzero(left > d)
+            i = i[(component[i] != component[i + d]) & (asks[i] | asks[i + d])]
+            for block in range(0, len(i), 8_192):
+                x = i[block : block + 8_192]
+                x = x[np.count_nonzero(marks[x] == marks[x + d], axis=1) >= need]
+                found[x] = found[x + d] = True
+        yield from table.select([0, 1, 2, 3, 4]).filter(pa.array(found)).to_batches()
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share: products of the incidence matrix of the elements that more than one holds."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), size)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    several = np.bincount(column)[column] > 1
+    owner, new = owner[several], new[several]
+    column = np.cumsum(new) - 1
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        part = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
 
 
-def _linked(percent: int):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return check
-
-
-def _favoured(rid: np.ndarray, component: np.ndarray, marks: np.ndarray, asking: np.ndarray, asks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a query and a member of different components that the sketches favour; two that both ask meet once."""
-    a, b, members = [], [], np.flatnonzero(~asking)
-    for i in np.flatnonzero(asking):
-        to = members[(component[members] != component[i]) & (~asks[members] | (rid[members] > rid[i]))]
-        to = to[(marks[to] == marks[i]).mean(axis=1) >= least]
-        a.append(np.full(len(to), rid[i])), b.append(rid[to])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _within(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by (node, block): the favoured pairs of each run. A run may go on in the next batch; its length has a bound."""
-
-    def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-        node, block = table["node"].to_numpy(), table["block"].to_numpy()
-        cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
-        ends = [*cuts, len(node)] if last else list(cuts)
-        if not ends:
-            return None, table
-        rid, component = table["rid"].to_numpy(), table["component"].to_numpy()
-        asking, asks = table["asking"].to_numpy(zero_copy_only=False).astype(bool), table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        marks = _matrix(table["short"].combine_chunks(), np.uint8)
-        found = [_favoured(rid[i:j], component[i:j], marks[i:j], asking[i:j], asks[i:j], least) for i, j in zip([0, *ends[:-1]], ends, strict=True) if asking[i:j].any()]
-        out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["x", "y"]), table.slice(ends[-1])
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, cell, rid, component, asks, shingles), sorted: links between components, at most one fewer than a cell has components.
 
-    rest = None
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            out, rest = pairs(table if rest is None or not rest.num_rows else pa.concat_tables([rest, table]), False)
-            if out is not None:
-                yield out
-    if rest is not None and rest.num_rows:
-        yield pairs(rest, True)[0]
+    All pairs of a cell that may link are held against each other on full sets; the links that are written span them.
+    """
+    for table, starts in _runs(batches):
+        rid, component = table["rid"].to_numpy(), table["component"].to_numpy()
+        asks, packed = table["asks"].to_numpy(zero_copy_only=False).astype(bool), table["shingles"].combine_chunks()
+        a, b = [], []
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in packed[lo:hi]]
+            n, both = np.fromiter(map(len, sets), np.int64, hi - lo), _shared(sets)
+            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            linked &= (asks[lo:hi, None] | asks[None, lo:hi]) & (component[lo:hi, None] != component[None, lo:hi])
+            _, group = np.unique(component[lo:hi], return_inverse=True)
+            seen = np.zeros(hi - lo, bool)
+            for root in range(hi - lo):
+                if seen[root]:
+                    continue
+                todo = [root]
+                while todo:
+                    i = todo.pop()
+                    same = group == group[i]
+                    if not seen[i]:
+                        seen |= same
+                        todo.extend(np.flatnonzero(same))
+                        continue
+                    for j in np.flatnonzero(linked[i] & ~seen):
+                        if not seen[j]:
+                            a.append(rid[lo + i]), b.append(rid[lo + j])
+                            same = group == group[j]
+                            seen |= same
+                            todo.extend(np.flatnonzero(same))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _cells(leaves: DataFrame, fresh: bool) -> DataFrame:
+    """(node, cell, rid, component, asks) from rows (node, size, weight, first, rid, component), for leaves of more than one component.
+
+    A leaf within the bounds is one cell, in which all ask. A leaf that is still above them at the last level is cut
+    into blocks of members, and those who ask into blocks likewise; each cell holds one of either. While all is
+    ``fresh``, the leaf's first member asks; later, all outside that member's component do. So a large group of near
+    copies costs a multiple of its size once its first member has linked most of them.
+    """
+    large = (F.col("size") > SMALL) | (F.col("weight") > WEIGHT)
+    if fresh:
+        mixed = leaves.withColumn("asks", F.col("rid") == F.col("first"))
+    else:
+        head = F.max(F.when(F.col("rid") == F.col("first"), F.col("component"))).alias("head")
+        many = leaves.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo <> hi").select("node", "head")
+        mixed = leaves.join(many, "node").withColumn("asks", ~F.col("component").eqNullSafe(F.col("head")))
+    plain = mixed.where(~large).select("node", F.lit(0).cast("long").alias("cell"), "rid", "component", F.lit(True).alias("asks"))
+    rest = mixed.where(large).withColumn("blocks", F.ceil(F.greatest(F.col("size") / SMALL, F.col("weight") / WEIGHT)))
+    asked = rest.where("asks").groupBy("node").agg(F.ceil(F.count("*") / SMALL).alias("asked"))
+    rest = rest.join(asked, "node").withColumn("member", F.pmod(F.xxhash64("rid"), "blocks")).withColumn("query", F.pmod(F.xxhash64("rid", F.lit(1)), "asked"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = rest.where(~F.col("asks")).withColumn("q", each("asked")).withColumn("cell", F.col("q") * F.col("blocks") + F.col("member"))
+    queries = rest.where("asks").withColumn("m", each("blocks")).withColumn("cell", F.col("query") * F.col("blocks") + F.col("m"))
+    # Blocks of those who ask also meet each other.
+    among = rest.where("asks and asked > 1").withColumn("o", each("asked")).where("o <> query").withColumn("cell", -1 - (F.least("o", "query") * F.col("asked") + F.greatest("o", "query")))
+    columns = ("node", "cell", "rid", "component", "asks")
+    return plain.unionByName(members.select(*columns)).unionByName(queries.select(*columns)).unionByName(among.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
@@ -175,20 +258,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     1. Texts with one word sequence are one representative; copies never meet again until the end.
     2. Each representative walks ``trees`` trees. A node branches on one or two minwise tokens chosen by the node, so
-       that a pair at the threshold is expected to share one child; nodes above ``SMALL`` members branch again, up to
-       ``LEVELS`` times. A pair at similarity 0.85 shares no leaf of one tree with a chance of 0.13 after one level and
-       0.36 after four: with ten trees that is 1e-9 and 4e-5. At 0.80 it
-       is 0.16 and 0.42, with ten trees 1e-8 and 2e-4.
-    3. Each leaf compares its members with its first one: as many pairs as members, however large the leaf. Pairs that
-       the sketches favour are confirmed on full shingle sets.
-    4. What remains in a leaf after that are members of different components. They are compared exhaustively; in a leaf
-       above ``SMALL``, the members outside the first one's component are queries against the whole leaf, in blocks. So
-       a large group of near copies costs a multiple of its size, not its square, and no link between components is
-       passed over.
+       that a pair at the threshold is expected to share one child; nodes above ``SMALL`` members or ``WEIGHT`` shingles
+       branch again, up to ``LEVELS`` times. A pair at similarity 0.85 shares no leaf of one tree with a chance of 0.13
+       after one level, 0.36 after four and 0.44 after six: with ten trees that is 1e-9, 4e-5 and 3e-4. At 0.80 it is
+       0.16, 0.42 and 0.50, with ten trees 1e-8, 2e-4 and 1e-3.
+    3. Each leaf compares all its members by their sketches. Those with a favoured partner bring their full sets to the
+       leaf, where all of them are held against each other exactly. What a leaf writes is links that span its
+       components, fewer than it has members, and no pair is passed over.
+    4. First the leaves of ``FIRST`` trees do so. Their links make components, and leaves of the other trees compare
+       members of different components only.
 
     Null or blank text: an empty set, linked with nothing; component_id is the row's own id. Null ids lose to any other
     id; a group of null ids alone has a null component_id and is kept. Rows that repeat an id are all kept or none.
-    Other columns, whatever their names, are not read. An empty table gives no rows.
+    Other columns, whatever their names, are not read. Texts are read whole; a very long one needs memory for its words
+    and eight bytes for each of its shingles. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -196,68 +279,61 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     each = materialize(texts.mapInArrow(_describe, f"doc_id {kind}, same binary, n_shingles bigint, sketch binary, short binary"), "described")
-    groups = each.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    groups = each.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     reps = materialize(groups.withColumn("rid", F.monotonically_increasing_id()), "representatives")
-    marks, short = reps.select("rid", "sketch"), reps.select("rid", "short")
+    marks, short = reps.select("rid", "n", "sketch"), reps.select("rid", "short")
 
-    grown, leaves = marks.mapInArrow(branch(percent / 100, trees), "rid bigint, node bigint"), None
+    walked = "rid bigint, n bigint, tree int, node bigint"
+    grown, leaves = marks.mapInArrow(branch(percent / 100, trees), walked), None
     for depth in range(LEVELS):
-        sizes = grown.groupBy("node").agg(F.count("*").alias("size"), F.min("rid").alias("first")).where("size > 1")
+        sizes = grown.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("rid").alias("first")).where("size > 1")
         members = materialize(grown.join(sizes, "node"), "members")
-        large = members.where(F.col("size") > SMALL)
-        last = depth == LEVELS - 1 or large.isEmpty()
-        done = members if last else members.where(F.col("size") <= SMALL)
+        more = (F.col("size") > SMALL) | ((F.col("weight") > WEIGHT) & (F.col("size") > 2))
+        last = depth == LEVELS - 1 or members.where(more).isEmpty()
+        done = members if last else members.where(~more)
         leaves = done if leaves is None else leaves.unionByName(done)
         if last:
             break
-        grown = large.select("rid", "node").join(marks, "rid").select("rid", "sketch", "node").mapInArrow(branch(percent / 100), "rid bigint, node bigint")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The linked ones among (x, y), on full sets."""
-        pairs = materialize(pairs, "maybe")
-        asked = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
-        wanted = asked.join(reps.select("rid", "same"), "rid")
-        sets = texts.select("text").mapInArrow(_sets, "same binary, shingles binary")
-        sets = materialize(sets.join(wanted, "same").groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
-        full = pairs.join(sets.select(F.col("rid").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("rid").alias("y"), F.col("shingles").alias("sy")), "y")
-        return full.select("x", "y", "sx", "sy").mapInArrow(_linked(percent), "x bigint, y bigint")
-
-    def favoured(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(short.select(F.col("rid").alias("x"), F.col("short").alias("sx")), "x").join(short.select(F.col("rid").alias("y"), F.col("short").alias("sy")), "y")
-        return both.select("x", "y", "sx", "sy").mapInArrow(lambda it: _agree(it, least), "x bigint, y bigint")
-
-    stars = leaves.where("rid <> first").select(F.col("first").alias("x"), F.col("rid").alias("y")).distinct()
-    links = materialize(confirm(favoured(stars)).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-    components = connected_components(links)
+        grown = members.where(more).select("rid", "tree", "node").join(marks, "rid").select("rid", "n", "sketch", "tree", "node").mapInArrow(branch(percent / 100), walked)
+
+    row = "node bigint, cell bigint, rid bigint, component bigint, asks boolean"
+
+    def sorted_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition("node", "cell").sortWithinPartitions("node", "cell")
+
+    def contested(cells: DataFrame) -> DataFrame:
+        return sorted_cells(cells.join(short, "rid").select("node", "cell", "rid", "component", "asks", "short")).mapInArrow(lambda it: _contested(it, least), row)
+
+    def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        full = rows.join(sets, "rid").select("node", "cell", "rid", "component", "asks", "shingles")
+        return sorted_cells(full).mapInArrow(lambda it: _forest(it, percent), "a bigint, b bigint")
+
+    plain = leaves.select("node", "size", "weight", "first", "rid", "tree").withColumn("component", F.col("rid"))
+    large = (F.col("size") > SMALL) | (F.col("weight") > WEIGHT)
+    start = materialize(contested(_cells(plain, True)), "contested")
+    wanted = start.select("rid").union(leaves.where(large).select("rid")).distinct().join(reps.select("rid", "same", "first_id"), "rid")
+    # Texts are picked by id before their sets are made; of several texts under one id, the identity picks the right one.
+    picked = texts.join(wanted.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
+    sets = picked.mapInArrow(_sets, "same binary, shingles binary").join(wanted.select("rid", "same"), "same")
+    sets = materialize(sets.groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
+
+    by_tree = leaves.select("node", F.when(large, -1).otherwise(F.col("tree")).alias("tree")).distinct()
+    early = start.join(by_tree.where(F.col("tree") < FIRST).select("node"), "node", "left_semi")
+    components = connected_components(links(early, sets))
 
     def labelled(of: DataFrame, components: DataFrame) -> DataFrame:
         named = components.select(F.col("id").alias("rid"), F.col("component").alias("found"))
         return of.join(named, "rid", "left").withColumn("component", F.coalesce("found", "rid")).drop("found")
 
-    open_ = labelled(leaves, components)
-    head = labelled(leaves.select(F.col("first").alias("rid")).distinct(), components).select(F.col("rid").alias("first"), F.col("component").alias("head"))
-    open_ = open_.join(head, "first")
-    outside = F.col("component") != F.col("head")
-    others = open_.where("rid <> first").withColumn("asks", outside)
-    among = others.groupBy("node").agg(F.count_if("asks").alias("n_out"), F.count_if(~F.col("asks")).alias("n_in"), F.min(F.when(F.col("asks"), F.col("component"))).alias("lo"), F.max(F.when(F.col("asks"), F.col("component"))).alias("hi"))
-    todo = materialize(others.join(among.where("n_out > 0 and (n_in > 0 or lo <> hi)").select("node"), "node"), "open")
-    # Queries and members stand in blocks of their leaf; each block of queries meets each block of members.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    todo = todo.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("rid"), "blocks")).join(short, "rid")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asking = todo.where("asks").withColumn("asking", F.lit(True)).withColumn("other", F.explode(every)).withColumn("block", F.col("own") * F.col("blocks") + F.col("other"))
-    asked = todo.withColumn("asking", F.lit(False)).withColumn("other", F.explode(every)).withColumn("block", F.col("other") * F.col("blocks") + F.col("own"))
-    columns = ("node", "block", "rid", "component", "asking", "asks", "short")
-    both = asking.select(*columns).unionByName(asked.select(*columns))
-    more = both.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(lambda it: _within(it, least), "x bigint, y bigint").distinct()
-    more = materialize(more, "more")
-    if not more.isEmpty():
-        found = materialize(confirm(more).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-        if not found.isEmpty():
-            components = connected_components(links.unionByName(found))
+    asked = start.select("node", "rid").distinct()
+    later = plain.where((F.col("tree") >= FIRST) & ~large).join(asked, ["node", "rid"], "left_semi").unionByName(plain.where(large)).drop("component")
+    again = materialize(contested(_cells(labelled(later, components), False)), "contested")
+    found = materialize(links(again, sets), "links")
+    if not found.isEmpty():
+        components = connected_components(found.unionByName(components.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     lowest = labelled(reps.select("same", "rid", "first_id"), components)
-    least = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_text = lowest.join(least, "component").select("same", "component_id")
+    least_id = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_text = lowest.join(least_id, "component").select("same", "component_id")
     out = each.select("doc_id", "same", "n_shingles").join(by_text, "same", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

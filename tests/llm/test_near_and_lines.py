@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from .brute import near_components, shingle_set
 from .conftest import passage
 
@@ -28,15 +30,41 @@ def test_components_match_brute_force(spark):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingle_set(t)) for i, t in rows}
 
 
-def test_large_leaves_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 3])
+def test_large_leaves_lose_no_link(spark, monkeypatch, levels):
+    """Leaves cut into blocks, and nodes that branch several times."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
-    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
     rows = corpus(90)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows)
 
 
+def test_a_family_writes_fewer_links_than_it_has_members(spark, monkeypatch):
+    """400 copies of one text, most pairs between 0.5 and 0.9: links and contested rows stay linear."""
+    rng, rows = random.Random(3), []
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    written = {}
+    plain = near_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows)
+    leaves = written["members"]
+    assert leaves < 400 * 2 * near_dedup.TREES
+    assert written["contested"] <= leaves and written["links"] <= leaves
+
+
 def test_near_duplicates_on_nasty_rows(nasty, empty):
     got = near_duplicates(nasty).collect()
     assert len(got) == nasty.count()
