@@ -17,7 +17,7 @@ WIDTH, TREES, LEVELS = 64, 10, 6
 #: Trees whose leaves are compared first; the leaves of the others then compare components only.
 FIRST = 3
 #: Members of a node, and shingles of all its members together, up to which a node is a leaf that is compared exhaustively.
-SMALL, WEIGHT = 1_024, 1 << 22
+SMALL, WEIGHT = 2_048, 1 << 22
 #: A pair goes to the exact test if the share of its sketch that agrees is at most so many standard errors below the threshold.
 ERRORS = 5.6
 #: Columns of the incidence matrix that one product covers.
@@ -143,7 +143,7 @@ def _cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
 
 
 def _contested(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, cell, rid, component, asks, short), sorted: those that the sketches favour as partner of a row of another component.
+    """Of rows (node, cell, rid, tree, component, asks, short), sorted: those that the sketches favour as partner of a row of another component.
 
     One of the two must ask. Rows of one cell are compared with those ``d`` places behind, for all ``d`` and all cells at a time.
     """
@@ -160,7 +160,7 @@ def _contested(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
                 x = i[block : block + 8_192]
                 x = x[np.count_nonzero(marks[x] == marks[x + d], axis=1) >= need]
                 found[x] = found[x + d] = True
-        yield from table.select([0, 1, 2, 3, 4]).filter(pa.array(found)).to_batches()
+        yield from table.select([0, 1, 2, 3, 4, 5]).filter(pa.array(found)).to_batches()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -186,7 +186,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, cell, rid, component, asks, shingles), sorted: links between components, at most one fewer than a cell has components.
+    """Of rows (node, cell, rid, tree, component, asks, shingles), sorted: links between components, at most one fewer than a cell has components.
 
     All pairs of a cell that may link are held against each other on full sets; the links that are written span them.
     """
@@ -221,23 +221,29 @@ def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _cells(leaves: DataFrame, fresh: bool) -> DataFrame:
-    """(node, cell, rid, component, asks) from rows (node, size, weight, first, rid, component), for leaves of more than one component.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (node, rid, component, ...) of nodes of more than one component."""
+    return rows.join(rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node"), "node")
 
-    A leaf within the bounds is one cell, in which all ask. A leaf that is still above them at the last level is cut
-    into blocks of members, and those who ask into blocks likewise; each cell holds one of either. While all is
-    ``fresh``, the leaf's first member asks; later, all outside that member's component do. So a large group of near
-    copies costs a multiple of its size once its first member has linked most of them.
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Each leaf within the bounds is one cell, in which all ask."""
+    return rows.select("node", F.lit(0).cast("long").alias("cell"), "rid", "tree", "component", F.lit(True).alias("asks"))
+
+
+def _blocks(leaves: DataFrame, fresh: bool) -> DataFrame:
+    """Cells of leaves that are still above the bounds at the last level, from rows (node, size, weight, first, rid, component).
+
+    Members stand in blocks, those who ask in blocks too; each cell holds one of either. While all is ``fresh``, the
+    leaf's first member asks; later, all outside that member's component do. So a large group of near copies costs a
+    multiple of its size once its first member has linked most of them.
     """
-    large = (F.col("size") > SMALL) | (F.col("weight") > WEIGHT)
     if fresh:
-        mixed = leaves.withColumn("asks", F.col("rid") == F.col("first"))
+        rest = leaves.withColumn("asks", F.col("rid") == F.col("first"))
     else:
-        head = F.max(F.when(F.col("rid") == F.col("first"), F.col("component"))).alias("head")
-        many = leaves.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).where("lo <> hi").select("node", "head")
-        mixed = leaves.join(many, "node").withColumn("asks", ~F.col("component").eqNullSafe(F.col("head")))
-    plain = mixed.where(~large).select("node", F.lit(0).cast("long").alias("cell"), "rid", "component", F.lit(True).alias("asks"))
-    rest = mixed.where(large).withColumn("blocks", F.ceil(F.greatest(F.col("size") / SMALL, F.col("weight") / WEIGHT)))
+        head = leaves.where("rid = first").select("node", F.col("component").alias("head"))
+        rest = _mixed(leaves).join(head, "node").withColumn("asks", F.col("component") != F.col("head"))
+    rest = rest.withColumn("blocks", F.ceil(F.greatest(F.col("size") / SMALL, F.col("weight") / WEIGHT)))
     asked = rest.where("asks").groupBy("node").agg(F.ceil(F.count("*") / SMALL).alias("asked"))
     rest = rest.join(asked, "node").withColumn("member", F.pmod(F.xxhash64("rid"), "blocks")).withColumn("query", F.pmod(F.xxhash64("rid", F.lit(1)), "asked"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -245,8 +251,8 @@ def _cells(leaves: DataFrame, fresh: bool) -> DataFrame:
     queries = rest.where("asks").withColumn("m", each("blocks")).withColumn("cell", F.col("query") * F.col("blocks") + F.col("m"))
     # Blocks of those who ask also meet each other.
     among = rest.where("asks and asked > 1").withColumn("o", each("asked")).where("o <> query").withColumn("cell", -1 - (F.least("o", "query") * F.col("asked") + F.greatest("o", "query")))
-    columns = ("node", "cell", "rid", "component", "asks")
-    return plain.unionByName(members.select(*columns)).unionByName(queries.select(*columns)).unionByName(among.select(*columns))
+    columns = ("node", "cell", "rid", F.lit(-1).alias("tree"), "component", "asks")
+    return members.select(*columns).unionByName(queries.select(*columns)).unionByName(among.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
@@ -284,53 +290,51 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     marks, short = reps.select("rid", "n", "sketch"), reps.select("rid", "short")
 
     walked = "rid bigint, n bigint, tree int, node bigint"
-    grown, leaves = marks.mapInArrow(branch(percent / 100, trees), walked), None
+    above = (F.col("size") > SMALL) | ((F.col("weight") > WEIGHT) & (F.col("size") > 2))
+    grown, leaves, large = marks.mapInArrow(branch(percent / 100, trees), walked), None, None
     for depth in range(LEVELS):
         sizes = grown.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("rid").alias("first")).where("size > 1")
         members = materialize(grown.join(sizes, "node"), "members")
-        more = (F.col("size") > SMALL) | ((F.col("weight") > WEIGHT) & (F.col("size") > 2))
-        last = depth == LEVELS - 1 or members.where(more).isEmpty()
-        done = members if last else members.where(~more)
+        done = members.where(~above).select("node", "rid", "tree")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if last:
+        if members.where(above).isEmpty():
             break
-        grown = members.where(more).select("rid", "tree", "node").join(marks, "rid").select("rid", "n", "sketch", "tree", "node").mapInArrow(branch(percent / 100), walked)
+        if depth == LEVELS - 1:
+            large = members.where(above).select("node", "size", "weight", "first", "rid")
+        else:
+            grown = members.where(above).select("rid", "tree", "node").join(marks, "rid").select("rid", "n", "sketch", "tree", "node").mapInArrow(branch(percent / 100), walked)
 
-    row = "node bigint, cell bigint, rid bigint, component bigint, asks boolean"
+    row = "node bigint, cell bigint, rid bigint, tree int, component bigint, asks boolean"
 
     def sorted_cells(rows: DataFrame) -> DataFrame:
         return rows.repartition("node", "cell").sortWithinPartitions("node", "cell")
 
     def contested(cells: DataFrame) -> DataFrame:
-        return sorted_cells(cells.join(short, "rid").select("node", "cell", "rid", "component", "asks", "short")).mapInArrow(lambda it: _contested(it, least), row)
+        full = cells.join(short, "rid").select("node", "cell", "rid", "tree", "component", "asks", "short")
+        return materialize(sorted_cells(full).mapInArrow(lambda it: _contested(it, least), row), "contested")
 
-    def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-        full = rows.join(sets, "rid").select("node", "cell", "rid", "component", "asks", "shingles")
+    def links(rows: DataFrame) -> DataFrame:
+        full = rows.join(sets, "rid").select("node", "cell", "rid", "tree", "component", "asks", "shingles")
         return sorted_cells(full).mapInArrow(lambda it: _forest(it, percent), "a bigint, b bigint")
 
-    plain = leaves.select("node", "size", "weight", "first", "rid", "tree").withColumn("component", F.col("rid"))
-    large = (F.col("size") > SMALL) | (F.col("weight") > WEIGHT)
-    start = materialize(contested(_cells(plain, True)), "contested")
-    wanted = start.select("rid").union(leaves.where(large).select("rid")).distinct().join(reps.select("rid", "same", "first_id"), "rid")
+    def labelled(of: DataFrame, components: DataFrame) -> DataFrame:
+        named = components.select(F.col("id").alias("rid"), F.col("component").alias("found"))
+        return of.join(named, "rid", "left").withColumn("component", F.coalesce("found", "rid")).drop("found")
+
+    cells = _plain(leaves.withColumn("component", F.col("rid")))
+    start = contested(cells if large is None else cells.unionByName(_blocks(large.withColumn("component", F.col("rid")), True)))
+    wanted = start.select("rid") if large is None else start.select("rid").union(large.select("rid"))
+    wanted = wanted.distinct().join(reps.select("rid", "same", "first_id"), "rid")
     # Texts are picked by id before their sets are made; of several texts under one id, the identity picks the right one.
     picked = texts.join(wanted.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
     sets = picked.mapInArrow(_sets, "same binary, shingles binary").join(wanted.select("rid", "same"), "same")
     sets = materialize(sets.groupBy("rid").agg(F.first("shingles").alias("shingles")), "sets")
 
-    by_tree = leaves.select("node", F.when(large, -1).otherwise(F.col("tree")).alias("tree")).distinct()
-    early = start.join(by_tree.where(F.col("tree") < FIRST).select("node"), "node", "left_semi")
-    components = connected_components(links(early, sets))
-
-    def labelled(of: DataFrame, components: DataFrame) -> DataFrame:
-        named = components.select(F.col("id").alias("rid"), F.col("component").alias("found"))
-        return of.join(named, "rid", "left").withColumn("component", F.coalesce("found", "rid")).drop("found")
-
-    asked = start.select("node", "rid").distinct()
-    later = plain.where((F.col("tree") >= FIRST) & ~large).join(asked, ["node", "rid"], "left_semi").unionByName(plain.where(large)).drop("component")
-    again = materialize(contested(_cells(labelled(later, components), False)), "contested")
-    found = materialize(links(again, sets), "links")
-    if not found.isEmpty():
-        components = connected_components(found.unionByName(components.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    components = connected_components(links(start.where(F.col("tree") < FIRST)))
+    cells = _plain(_mixed(labelled(start.where(F.col("tree") >= FIRST).select("node", "rid", "tree"), components)))
+    again = contested(cells if large is None else cells.unionByName(_blocks(labelled(large, components), False)))
+    known = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    components = connected_components(links(again).unionByName(known))
 
     lowest = labelled(reps.select("same", "rid", "first_id"), components)
     least_id = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
