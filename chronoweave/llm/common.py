@@ -43,6 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def doc_bucket(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null ids give null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts

@@ -87,20 +87,25 @@ m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents AS d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-LINE_DEDUP = r"""
+_LINE_WORDS = r"len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+
+#: Chunks between boundaries, and beside them the shortest runs of 50 words from and up to each line; of either, all but the first place go.
+LINE_DEDUP = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(md5(lines[i]), 1, 6))::BIGINT AS v FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-e AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS last_line FROM l),
-c AS (SELECT *, coalesce(sum(last_line::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM e),
-k AS (SELECT doc_id, chunk_no, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, chunk_no),
-m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS seen FROM k
-  WHERE last > first AND len(list_filter(string_split_regex(chunk, '[ 	-
-]+'), lambda w: w <> '')) >= 10),
-kept AS (SELECT c.doc_id, string_agg(line, chr(10) ORDER BY i) AS clean FROM c LEFT JOIN m ON c.doc_id = m.doc_id AND c.chunk_no = m.chunk_no AND m.seen > 1
-  WHERE m.seen IS NULL GROUP BY c.doc_id),
-gone AS (SELECT doc_id, sum(last - first + 1)::BIGINT AS n FROM m WHERE seen > 1 GROUP BY doc_id)
-SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.clean, '')) AS clean_sha256
-FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+e AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS last_line, {_LINE_WORDS} AS words FROM l),
+c AS (SELECT *, coalesce(sum(last_line::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no,
+  sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM e),
+k AS (SELECT doc_id, min(i) AS first, max(i) AS last, sum(words) AS words FROM c GROUP BY doc_id, chunk_no),
+f AS (SELECT x.doc_id, x.i AS first, min(y.i) AS last FROM c AS x JOIN c AS y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.words >= 50 GROUP BY x.doc_id, x.i),
+u AS (SELECT y.doc_id, max(x.i) AS first, y.i AS last FROM c AS x JOIN c AS y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.words >= 50 GROUP BY y.doc_id, y.i),
+s AS (SELECT 'chunk' AS kind, doc_id, first, last FROM k WHERE last > first AND words >= 10 UNION ALL SELECT 'run', doc_id, first, last FROM (SELECT * FROM f UNION SELECT * FROM u)),
+m AS (SELECT s.*, row_number() OVER (PARTITION BY kind, array_to_string(d.lines[first:last], chr(10)) ORDER BY s.doc_id, first) AS seen FROM s JOIN d ON s.doc_id = d.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM m WHERE seen > 1),
+kept AS (SELECT c.doc_id, string_agg(line, chr(10) ORDER BY c.i) AS clean FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i WHERE gone.i IS NULL GROUP BY c.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.clean, '')) AS clean_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
 

@@ -15,7 +15,6 @@ from chronoweave.llm.exact_dedup import exact_dedup
 from chronoweave.llm.line_dedup import line_dedup
 from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
-from chronoweave.llm.passage_dedup import passage_dedup
 from chronoweave.llm.secret_scan import secret_scan
 from chronoweave.llm.token_counts import token_counts
 
@@ -60,12 +59,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and the cleaned text's digest stand for the cleaned text."""
-    out = passage_dedup(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     weights = quality.train(docs, _read(spark, sf_dir, "labels"), doc_bucket("doc_id", 5) != 0)
@@ -94,7 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_line_dedup": op6_line_dedup,
-        "op6_passage_dedup": op6_passage_dedup,
         "op7_quality": op7_quality,
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,

@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in six stages.
+"""From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents.
@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import langid
-from chronoweave.llm.common import doc_bucket, materialize
+from chronoweave.llm.common import doc_bucket, materialize, unused_name
 from chronoweave.llm.decontaminate import decontaminate
 from chronoweave.llm.line_dedup import line_dedup
 from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
-from chronoweave.llm.passage_dedup import passage_dedup
 from chronoweave.llm.queries import TOKENIZER
 
 
@@ -27,20 +26,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that stand earlier elsewhere. Every document stays, though its text may be shorter; n_chars follows the text."""
-    return _cleaned(docs, line_dedup(docs))
-
-
-def _cleaned(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The columns of ``docs`` from ``out``, n_chars following the text."""
-    changed = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
-    return changed.select(*docs.columns)
+    """Documents without chunks and passages of lines that stand earlier elsewhere; n_chars follows the text. Those of which nothing is left go."""
+    out = line_dedup(docs)
+    cleaned = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    return cleaned.where("n_removed = 0 or text <> ''").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, at a similarity of 0.8 of five-word shingles: the one with the least id."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near-duplicates, at a similarity of 0.8 of five-word shingles: the one with the least id.
+
+    Rows are told apart by id and text, so of rows that repeat an id, those whose text is a copy go.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    own = unused_name(docs, "key")
+    tagged = docs.withColumn(own, key)
+    kept = near_duplicates(tagged, percent=80, id_col=own).where("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    return tagged.join(kept, tagged[own].eqNullSafe(kept["kept_key"]), "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +49,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines of 50 words or more that stand earlier elsewhere, whatever their lines and surroundings; n_chars follows the text.
-
-    Whole near copies are gone by then: taken earlier, their passages would leave fragments that no longer look like copies.
-    """
-    return _cleaned(docs, passage_dedup(docs))
-
-
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in sequences of 1024 tokens."""
     return best_fit_packing(docs, public_tokenizers.path(TOKENIZER))
@@ -66,7 +59,6 @@ STAGES = [
     ("line_dedup", line_dedup_stage),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
-    ("passage_dedup", passage_dedup_stage),
     ("packing", packing),
 ]
 

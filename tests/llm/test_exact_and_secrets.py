@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
 
 from chronoweave.llm.exact_dedup import exact_dedup
 from chronoweave.llm.secret_scan import KINDS, SCOPE, secret_scan
@@ -75,3 +79,21 @@ def test_secret_spans_match_brute_force(spark):
 def test_secret_scan_on_nasty_rows(nasty, empty):
     assert secret_scan(nasty).count() == nasty.count()
     assert secret_scan(empty).count() == 0
+
+
+def test_linear_patterns_find_the_same_spans(spark):
+    """Random strings from pieces that patterns start with, run on with and end with."""
+    rng = random.Random(4)
+    pieces = ["client", "Client", "CLIENT", "user", "USER", "login", "access", "_", "-", "x", "Z", "9", "+", ":", ".", "://", "//", "/", "=", " ", "  ", '"', "'", "\n", "<", "abcd", "a1b2", "é", "@"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(1_500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["spans"] for r in secret_scan(docs).collect()} == {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert sum("weak_id" in brute_spans(t) for t in texts) > 50 and sum("endpoint" in brute_spans(t) for t in texts) > 50
+
+
+@pytest.mark.parametrize("text", ["x://y " + "n" * 1_000_000, "client" * 200_000, "a:" * 500_000 + "/", "token " + " " * 1_000_000, "0123456789abcdef" * 60_000, "user=" * 200_000, "x://" * 250_000])
+def test_long_unbroken_texts_take_seconds(spark, text):
+    began = time.perf_counter()
+    assert secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
+    secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert time.perf_counter() - began < 30

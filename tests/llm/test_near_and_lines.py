@@ -57,7 +57,13 @@ def test_a_family_writes_fewer_links_than_it_has_members(spark, monkeypatch):
         written[name] = max(written.get(name, 0), out.count())
         return out
 
+    def linked(edges):
+        written["links"] = max(written.get("links", 0), edges.count())
+        return components(edges)
+
+    components = near_dedup.connected_components
     monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(near_dedup, "connected_components", linked)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == near_components(rows)
     leaves = written["members"]
@@ -101,21 +107,25 @@ def test_contamination_matches_brute_force(spark, nasty, empty):
     assert contamination(empty, bench).count() == 0 and contamination(nasty, bench.limit(0)).count() == 0
 
 
-def brute_lines(rows):
-    seen, order = {}, sorted(range(len(rows)), key=lambda i: rows[i][0])
-    out = {}
-    for i in order:
-        lines, gone = rows[i][1].split("\n"), 0
-        keep = []
-        for a, b in chunk_bounds(lines):
+def brute_lines(rows: list[tuple[int, str]], run_words: int = 50) -> dict[int, tuple[str, int]]:
+    """Each repeated chunk goes, and each line of each run of lines of so many words that some earlier place has; all runs are tried."""
+    chunks, runs, out = set(), set(), {}
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for a, b in chunk_bounds([line.encode() for line in lines]):
             chunk = "\n".join(lines[a:b])
             if b - a >= 2 and len(chunk.encode().split()) >= 10:
-                if chunk in seen:
-                    gone += b - a
-                    continue
-                seen[chunk] = True
-            keep += lines[a:b]
-        out[rows[i][0]] = ("\n".join(keep), gone)
+                if chunk in chunks:
+                    gone |= set(range(a, b))
+                chunks.add(chunk)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(line.encode().split()) for line in run) >= run_words:
+                    if run in runs:
+                        gone |= set(range(a, b))
+                    runs.add(run)
+        out[i] = ("\n".join(line for j, line in enumerate(lines) if j not in gone), len(gone))
     return out
 
 

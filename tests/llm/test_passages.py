@@ -2,24 +2,9 @@ import random
 
 import pytest
 
-from chronoweave.llm.passage_dedup import passage_dedup
-
-
-def brute_passages(rows: list[tuple[int, str]], min_words: int = 50) -> dict[int, tuple[str, int]]:
-    """Each line of each run of lines of so many words that some earlier place has goes; all runs are tried."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        lines = text.split("\n")
-        gone = set()
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                run = tuple(lines[a:b])
-                if sum(len(line.encode().split()) for line in run) >= min_words:
-                    if run in seen:
-                        gone |= set(range(a, b))
-                    seen.add(run)
-        out[i] = ("\n".join(line for j, line in enumerate(lines) if j not in gone), len(gone))
-    return out
+from .test_near_and_lines import brute_lines
+
+from chronoweave.llm.line_dedup import line_dedup
 
 
 def unique(rng: random.Random, n: int) -> str:
@@ -47,44 +32,39 @@ def cleaned(df) -> dict:
 def test_planted_passages_of_1_to_8_lines_go(spark):
     rows = planted()
     docs = [(i, t) for i, t, _ in rows]
-    got = cleaned(passage_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")))
-    assert got == brute_passages(docs)
+    got = cleaned(line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert got == brute_lines(docs)
     for i, text, passage in rows:
         assert got[i][1] == (passage.count("\n") + 1 if i % 2 else 0)
         assert not (set(passage.split("\n")) & set(got[i][0].split("\n"))) if i % 2 else got[i][0] == text
 
 
-@pytest.mark.parametrize("min_words", [1, 5, 50])
-def test_passages_match_brute_force(spark, min_words):
+@pytest.mark.parametrize("run_words", [1, 5, 50])
+def test_passages_match_brute_force(spark, run_words):
     """Texts from a small stock of lines, blank and repeated ones among them, so that passages overlap and repeat within a text."""
-    rng = random.Random(min_words)
+    rng = random.Random(run_words)
     stock = [unique(rng, n) for n in (1, 1, 2, 3, 5, 8, 13, 21, 40, 55)] + ["", "", " \t"]
     docs = [(i, "\n".join(rng.choice(stock) for _ in range(rng.randrange(1, 25)))) for i in range(40)] + [(40, ""), (41, "\n\n")]
-    got = cleaned(passage_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), min_words=min_words))
-    assert got == brute_passages(docs, min_words)
+    got = cleaned(line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), run_words=run_words))
+    assert got == brute_lines(docs, run_words)
     assert sum(n for _, n in got.values()) > 50
 
 
 def test_passages_on_nasty_rows(nasty, empty):
-    got = passage_dedup(nasty)
-    assert got.count() == nasty.count()
-    assert got.columns == [c for c in nasty.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    got = line_dedup(nasty)
     by = {(r["doc_id"], r["n_lines"]): r for r in got.collect()}
     assert by[4, 0]["text"] is None and by[1, 1]["n_removed"] == 0
     assert by[2, 1]["text"] == "" and by[2, 1]["n_removed"] == 1 and by[None, 1]["n_removed"] == 1
-    assert passage_dedup(empty).count() == 0
 
 
-def test_pipeline_leaves_no_repeated_passage(spark):
-    """Where the line stage took a part of a passage out, fewer than 50 words of it may be left; any more go."""
+def test_pipeline_stage_leaves_no_repeated_passage(spark):
     import corpus_pipeline as p
 
     docs = [(i, t, len(t)) for i, t, _ in planted()]
+    docs += [(1000, docs[0][1], len(docs[0][1])), (1001, "", 0)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint")
-    for name, stage in p.STAGES:
-        if name in ("line_dedup", "passage_dedup"):
-            frame = stage(spark, frame, "")
-    out = {r["doc_id"]: r for r in frame.collect()}
+    out = {r["doc_id"]: r for r in dict(p.STAGES)["line_dedup"](spark, frame, "").collect()}
+    assert 1000 not in out and 1001 in out  # a copy of which nothing is left goes; a text that was empty stays
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
-    assert sum(n for _, n in brute_passages([(i, r["text"]) for i, r in out.items()]).values()) == 0
+    assert sum(n for _, n in brute_lines([(i, r["text"]) for i, r in out.items()]).values()) == 0
     assert all(out[i]["text"] == text for i, text, _ in planted() if i % 2 == 0)

@@ -50,10 +50,12 @@ def test_stages_match_brute_force(spark, tiny):
 
     rows = [(d, t) for d, t, *_ in docs if t is not None]
     lines = {r["doc_id"]: r["text"] for r in stages["line_dedup"](spark, frame.where("text is not null"), sf).collect()}
-    assert lines == {d: t for d, (t, _) in brute_lines(rows).items()}
+    assert lines == {d: t for d, (t, n) in brute_lines(rows).items() if t or not n}
 
     parts = near_components(rows)
     assert {r["doc_id"] for r in stages["near_dedup"](spark, frame.where("text is not null"), sf).collect()} == {d for d, c in parts.items() if d == c}
+    again = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1]), (2, rows[1][1]), (None, rows[0][1])], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["text"]) for r in stages["near_dedup"](spark, again, sf).collect()} == {(1, rows[0][1]), (2, rows[1][1])}
 
     tests = [shingle_set(t) for _, t in items]
     clean = {d for d, t in rows if not any(100 * len(x & shingle_set(t)) >= 80 * len(x) for x in tests)}

@@ -29,6 +29,17 @@ def test_ids_equal_the_tokenizer(tokenizer):
         assert lengths(t) == len(want)
 
 
+def test_prose_with_blank_lines_takes_the_lookup(tokenizer):
+    """Texts with runs of white space are cut too, and what is cut gives the tokenizer's ids."""
+    rng = random.Random(9)
+    gaps = [" ", " ", " ", "  ", "\n\n", "\n", " \n ", "\t", " \t", "\r\n", "\x0b ", "\x1c ", " \x1c", "\u00a0 ", " \u2003", "\u0085 ", "   \n"]
+    texts = ["".join(rng.choice(("word", "it's", "12", "--", "é", "漢字", "x")) + rng.choice(gaps) for _ in range(60)) for _ in range(500)]
+    ids = IdCache(PATH, limit=1_000)
+    for t in texts:
+        assert len(ids.encoder.pieces(t)) > 5
+        assert np.frombuffer(ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_counts_on_nasty_rows(nasty, empty, tokenizer):
     got = token_counts(nasty, PATH).collect()
     want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)) for r in nasty.collect())
