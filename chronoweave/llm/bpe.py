@@ -16,8 +16,10 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Groups that a worker's cache keeps at most.
 CACHE = 250_000
 
-#: Two characters of white space in a row: only then can a pre-token reach across a space.
-_RUN = re.compile(r"\s\s")
+#: A space before white space: only there does a pre-token reach across a space.
+_INSIDE = re.compile(r" (?=\s)")
+#: A space before anything else, where a pre-token always starts.
+_CUT = re.compile(r" (?=\S)")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -30,9 +32,10 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of texts, equal to those of the tokenizer file (tests hold them side by side).
 
-    A text is cut at single spaces; where no white space run crosses a cut, each piece with its leading space is a
-    group of whole pre-tokens, so its ids don't depend on what stands around it. Other texts are encoded whole. Texts
-    with an added special token's string go to the tokenizer itself.
+    A text is cut before each space that something else than white space follows: a pre-token starts there, whatever
+    stands before, as runs of white space leave their last space to the word behind them. So each piece is a group of
+    whole pre-tokens, whose ids don't depend on what stands around it. Texts with an added special token's string go to
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -52,10 +55,10 @@ class Encoder:
         return self._whole.encode(text, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str] | None:
-        """The text's groups of pre-tokens without their leading spaces, or None where only the whole text will do."""
-        if _RUN.search(text) or any(s in text for s in self.special):
+        """The text's groups of pre-tokens without their leading spaces, or None where only the tokenizer itself will do."""
+        if any(s in text for s in self.special):
             return None
-        return text.split(" ")
+        return _CUT.split(text) if _INSIDE.search(text) else text.split(" ")
 
     def whole(self, text: str) -> list[int]:
         return self._tokenizer(text) if any(s in text for s in self.special) else self.core.encode_ordinary(text)
