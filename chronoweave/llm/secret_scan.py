@@ -13,7 +13,12 @@ SCOPE = 256
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of span. ``group`` is the group whose match ``keep`` (an SQL pattern) must accept; ``hint``: lower-case strings of which a text must hold one."""
+    """A kind of span. ``group`` is the group whose match ``keep`` (an SQL pattern) must accept; ``hint``: lower-case strings of which a text must hold one.
+
+    ``pattern`` defines the spans. Where it would read on from each of many starts in one long run, ``linear`` finds the
+    same ones in one pass: it starts with the run, its group 1 is what comes before the span, and the number of the
+    group to keep is one higher.
+    """
 
     name: str
     role: str
@@ -22,6 +27,7 @@ class Kind:
     keep: str
     hint: tuple[str, ...]
     weak: bool
+    linear: str = ""
 
 
 #: In the order in which kinds of one start are listed. The first three are the base kinds.
@@ -37,9 +43,15 @@ KINDS = (
         "weak_id", "id",
         "([Cc]lient|CLIENT|[Aa]ccess|ACCESS|[Aa]ccount|ACCOUNT|[Uu]ser|USER|[Ll]ogin|LOGIN)[A-Za-z_-]*[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)",
         2, "^.{4,}$", ("client", "access", "account", "user", "login"), True,
+        # A run of these letters goes on as far for each name in it, so its first name decides.
+        "(?<![A-Za-z_-])(?>([A-Za-z_-]*?)([Cc]lient|CLIENT|[Aa]ccess|ACCESS|[Aa]ccount|ACCOUNT|[Uu]ser|USER|[Ll]ogin|LOGIN))[A-Za-z_-]*+[\"']?\\x20*+[:=]\\x20*+[\"']?([A-Za-z0-9_.@-]++)",
     ),
     Kind("weak_secret", "secret", "[A-Za-z0-9+/_=-]{20,}", 0, "[0-9]", (), True),
-    Kind("endpoint", "endpoint", "[A-Za-z][A-Za-z0-9+:.]*://[^\\x00-\\x20\"'<>]+", 0, "^.{8,}$", ("://",), True),
+    Kind(
+        "endpoint", "endpoint", "[A-Za-z][A-Za-z0-9+:.]*://[^\\x00-\\x20\"'<>]+", 0, "^.{8,}$", ("://",), True,
+        # The run before // starts with its first letter and ends with a colon.
+        "(?<![A-Za-z0-9+:.])([0-9+:.]*+)([A-Za-z][A-Za-z0-9+:.]*+(?<=:)//[^\\x00-\\x20\"'<>]++)",
+    ),
 )
 
 
@@ -54,17 +66,20 @@ def _hinted(kind: Kind, lowered: Column, text: Column) -> Column:
 
 def _matches(kind: Kind, rank: int, text: Column) -> Column:
     """An array with a struct for each match: kind, place among the kind's matches, characters before it since the last match, its length, whether it holds."""
-    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    part = whole if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
-    between = F.split(text, kind.pattern, -1)
+    pattern, group = (kind.linear, kind.group + 1 + (kind.group == 0)) if kind.linear else (kind.pattern, kind.group)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind.linear else F.transform(whole, lambda _: F.lit(""))
+    between = F.split(text, pattern, -1)
 
     def row(pair: Column, i: Column) -> Column:
         holds = pair["p"].rlike(kind.keep)
         if kind.name == "weak_secret":
             holds = holds & pair["p"].rlike("[a-z]") & pair["p"].rlike("[A-Z]")
-        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(F.coalesce(pair["b"], F.lit(""))).alias("gap"), F.length(pair["m"]).alias("len"), holds.alias("holds"))
+        before = F.length(pair["l"])
+        return F.struct(F.lit(rank).alias("rank"), i.alias("i"), (F.length(F.coalesce(pair["b"], F.lit(""))) + before).alias("gap"), (F.length(pair["m"]) - before).alias("len"), holds.alias("holds"))
 
-    zipped = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(whole), F.lit(1))).alias("b"), whole.alias("m"), part.alias("p"))
+    zipped = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(whole), F.lit(1))).alias("b"), whole.alias("m"), part.alias("p"), lead.alias("l"))
     return F.filter(F.transform(zipped, row), lambda r: r["len"].isNotNull())
 
 
@@ -110,7 +125,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` lists kind:start:end of all spans, comma-joined, by start and then kind in the order of ``KINDS``; the
     digest is of the base spans alone. Null text counts as empty; a text without spans has zero counts, an empty list
     and the digest of the empty string. Rows are told apart by id and text, so rows that repeat both share their
-    result and null ids are rows like others. Other columns, whatever their names, are not read.
+    result and null ids are rows like others. Other columns, whatever their names, are not read. Texts are read whole,
+    in time that grows with their length, be they one unbroken run of letters. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = base.withColumn("k", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.col("text")), 256))
