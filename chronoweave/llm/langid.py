@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import small_batches
+from chronoweave.llm.common import small_batches, unused_name
 from chronoweave.llm.learning import WordRows, bounded_sample, byte_ngrams, list_views
 
 #: Hash buckets of subwords, length of an embedding, sizes of the subwords in bytes, and labelled rows to learn from.
@@ -88,10 +88,15 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, languages
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """A model from at most about ``sample`` rows with a language among those that ``learn`` marks, equally many of each language; a fifth of them calibrates."""
+    """A model from at most about ``sample`` rows with a language among those that ``learn`` marks, equally many of each language and one at least; a fifth of them calibrates.
+
+    Of rows that repeat id and language, one is learned from. Null ids are not.
+    """
     small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = bounded_sample(rows, "lang", sample).select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("check"))
+    keys = F.broadcast(bounded_sample(rows.select("doc_id", "lang"), "lang", sample))  # bounded: no text but those of the sample moves
+    chosen = rows.join(keys, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    chosen = chosen.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("check"))
     found = chosen.mapInArrow(_bags, "lang string, check boolean, at array<int>, n array<int>").toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
     number = {lang: i for i, lang in enumerate(languages)}
@@ -121,7 +126,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*names, F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("__letter"))
+    docs = docs.select(*names, F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias(unused_name(docs, "letter")))
     at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
 

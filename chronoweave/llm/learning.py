@@ -7,24 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import mix64
+from chronoweave.llm.common import materialize, mix64
 
 
 def bounded_sample(rows: DataFrame, by: str, bound: int, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` of ``rows``, the same number of each value of ``by`` where there are enough, chosen by a hash of ``key``.
+    """About ``bound`` of the distinct (key, by) of ``rows``, the same number of each value of ``by`` where there are enough, chosen by a hash of ``key``.
 
-    One small aggregation gives the share of each value (at most 64 values, the most frequent); the choice itself is a
-    filter, so no row is sorted or moved. Null keys are left out.
+    Each value has one row at least, so with more values than ``bound`` the sample is as large as their number. One
+    small aggregation gives the share of each value; the choice itself is a filter. Null keys are left out.
     """
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(64).collect()
-    if not counts:
-        return rows.limit(0)
-    each = bound / len(counts)
     part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | (F.col(by).eqNullSafe(F.lit(r[by])) & (part < each / r["count"]))
-    return rows.where(F.col(key).isNotNull() & chosen)
+    keyed = rows.where(F.col(key).isNotNull()).select(key, by, part.alias("part"))
+    counts = materialize(keyed.groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"), F.min("part").alias("least")), "shares")
+    values = counts.count()
+    share = max(1.0, bound / max(values, 1)) / F.col("n")
+    chosen = keyed.join(counts, F.col(by).eqNullSafe(F.col("value"))).where((F.col("part") < share) | (F.col("part") == F.col("least")))
+    return chosen.select(key, by).distinct()
 
 
 def list_views(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -81,10 +79,16 @@ def ftrl(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weig
 class WordRows:
     """A row of numbers for each word, from ``compute`` over a list of new words; rows of up to ``limit`` words are kept."""
 
+    #: New words that are worked out at a time, so that a batch of long texts needs little memory.
+    PART = 4_096
+
     def __init__(self, compute, limit: int = 200_000):
-        self.compute, self.limit, self.at = compute, limit, {}
+        self.one, self.limit, self.at = compute, limit, {}
         self.rows: np.ndarray | None = None
 
+    def compute(self, words: list[bytes]) -> np.ndarray:
+        return np.concatenate([self.one(words[i : i + self.PART]) for i in range(0, len(words), self.PART)])
+
     def look(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The rows, and for each text the places of its words in them. New words of all the texts are worked out together."""
         at = self.at

@@ -70,7 +70,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             found = list(feature_rows(batch.column(1).to_pylist(), words, bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # a bounded sample: no text is shuffled
+    # A bounded sample: no text but its own moves. Of rows that repeat an id, one is learned from.
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     kind = docs.schema[id_col].dataType.simpleString()
     got = joined.mapInArrow(rows, f"doc_id {kind}, label int, at array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     label = got["label"].to_numpy().astype(float) if got.num_rows else np.empty(0)
