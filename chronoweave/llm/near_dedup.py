@@ -20,7 +20,7 @@ FIRST = 3
 SMALL, WEIGHT = 2_048, 1 << 22
 #: A pair goes to the exact test if the share of its sketch that agrees is at most so many standard errors below the threshold.
 ERRORS = 5.6
-#: Columns of the incidence matrix that one product covers.
+#: Columns of the incidence matrix that are held at a time.
 COLUMNS = 8_192
 
 _RNG = np.random.Generator(np.random.PCG64(20240101))
@@ -164,7 +164,7 @@ def _contested(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share: products of the incidence matrix of the elements that more than one holds."""
+    """How many elements each two of the sets share: set bits in common, a bit for each element that more than one holds."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     owner = np.repeat(np.arange(len(sets)), size)
     values = np.concatenate(sets)
@@ -176,13 +176,16 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     several = np.bincount(column)[column] > 1
     owner, new = owner[several], new[several]
     column = np.cumsum(new) - 1
-    out = np.zeros((len(sets), len(sets)), np.int64)
+    out = np.zeros((len(sets), len(sets)), np.int32)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-        part = np.zeros((len(sets), int(column[b - 1]) - lo + 1), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        out += (part @ part.T).astype(np.int64)
-    return out
+        width = -(-(int(column[b - 1]) - lo + 1) // 64) * 64
+        held = np.zeros((len(sets), width), bool)
+        held[owner[a:b], column[a:b] - lo] = True
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for i in range(len(sets)):
+            out[i, i:] += np.bitwise_count(bits[i:] & bits[i]).sum(axis=1, dtype=np.int32)
+    return out + np.triu(out, 1).T
 
 
 def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -197,8 +200,9 @@ def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in packed[lo:hi]]
             n, both = np.fromiter(map(len, sets), np.int64, hi - lo), _shared(sets)
-            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-            linked &= (asks[lo:hi, None] | asks[None, lo:hi]) & (component[lo:hi, None] != component[None, lo:hi])
+            linked = np.zeros(both.shape, bool)
+            for i, row in enumerate(both):
+                linked[i] = (100 * row.astype(np.int64) >= percent * (n[i] + n - row)) & (asks[lo + i] | asks[lo:hi]) & (component[lo:hi] != component[lo + i])
             _, group = np.unique(component[lo:hi], return_inverse=True)
             seen = np.zeros(hi - lo, bool)
             for root in range(hi - lo):

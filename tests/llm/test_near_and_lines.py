@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from .brute import near_components, shingle_set
@@ -71,6 +72,15 @@ def test_a_family_writes_fewer_links_than_it_has_members(spark, monkeypatch):
     assert written["contested"] <= leaves and written["links"] <= leaves
 
 
+def test_shared_elements_match_set_intersections(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 70)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(2**55 + 1)) for _ in range(23)]
+    want = [[len(np.intersect1d(x, y)) if i != j else None for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    got = near_dedup._shared(sets)
+    assert all(want[i][j] == got[i, j] for i in range(23) for j in range(23) if i != j)
+
+
 def test_near_duplicates_on_nasty_rows(nasty, empty):
     got = near_duplicates(nasty).collect()
     assert len(got) == nasty.count()
