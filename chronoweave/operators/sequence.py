@@ -1,155 +1,169 @@
 """Recurrences over one group's ordered rows: grouped Arrow functions with numpy inside.
 
 A group is one project or one query sequence; groups are spread over the cluster and each is worked out in one task.
+Inside a group, rows of a table or anti-diagonals are one array operation each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def increasing_subset(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str) -> DataFrame:
-    """The heaviest strictly increasing run of ``value``: each further row scores 1 + 0.1 * its confidence, the first scores 1."""
+def _best_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, first: Callable, gain: Callable, follows: Callable, least: int) -> DataFrame:
+    """The chain of rows with the highest sum: ``first(c)`` for its first row, ``gain(c)`` for each further one, where ``follows(before, value)``. Ties go to the earlier row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, row_id], kind="stable")
         v, c = pdf[value].to_numpy(float), pdf[confidence].to_numpy(float)
-        best, back = np.ones(len(v)), np.full(len(v), -1)
+        best, back, more = np.array(first(c), dtype=float), np.full(len(v), -1), gain(c)
         for i in range(1, len(v)):
-            before = np.where(v[:i] < v[i], best[:i] + 1 + 0.1 * c[i], -np.inf)
-            j = int(before.argmax())
-            if before[j] > best[i]:
-                best[i], back[i] = before[j], j
-        at, chain = int(best.argmax()), []
-        while at >= 0:
-            chain.append(at)
-            at = back[at]
-        return pdf.iloc[chain[::-1]][[key, row_id, order, value]].assign(score=round(float(best.max()), 6))
+            reach = np.where(follows(v[:i], v[i]), best[:i] + more[i], -np.inf)
+            j = int(reach.argmax())
+            if reach[j] > best[i]:
+                best[i], back[i] = reach[j], j
+        chain = [int(best.argmax())]
+        while back[chain[-1]] >= 0:
+            chain.append(int(back[chain[-1]]))
+        chain = chain[::-1] if len(chain) >= least else []
+        return pdf.iloc[chain][[key, row_id, order, value]].assign(score=round(float(best.max()), 6))
 
     kinds = dict(df.dtypes)
     return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, {order} {kinds[order]}, {value} {kinds[value]}, score double")
 
 
+def increasing_subset(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str) -> DataFrame:
+    """The heaviest strictly increasing run of ``value``: each further row scores 1 + 0.1 * its confidence, the first scores 1."""
+    return _best_chain(df, key, order, value, confidence, row_id, np.ones_like, lambda c: 1 + 0.1 * c, lambda before, v: before < v, 1)
+
+
 def anchor_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, slack: float = 5.0, least: int = 3) -> DataFrame:
     """The chain of most confidence in which no value falls more than ``slack`` below the one before; shorter chains than ``least`` are dropped."""
+    return _best_chain(df, key, order, value, confidence, row_id, lambda c: c, lambda c: c, lambda before, v: before - slack <= v, least)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, row_id], kind="stable")
-        v, c = pdf[value].to_numpy(float), pdf[confidence].to_numpy(float)
-        best, back = c.copy(), np.full(len(v), -1)
-        for i in range(1, len(v)):
-            before = np.where(v[:i] - slack <= v[i], best[:i] + c[i], -np.inf)
-            j = int(before.argmax())
-            if before[j] > best[i]:
-                best[i], back[i] = before[j], j
-        at, chain = int(best.argmax()), []
-        while at >= 0:
-            chain.append(at)
-            at = back[at]
-        chain = chain[::-1] if len(chain) >= least else []
-        return pdf.iloc[chain][[key, row_id, order, value]].assign(score=round(float(best.max()), 6))
 
-    kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, {order} {kinds[order]}, {value} {kinds[value]}, score double")
+#: Costs and limits of one matched row after another: fixed values. Pairs are (for any order, for a kept order).
+COSTS = {"back": 1.2, "again": 0.55, "stall": 0.2, "jump": 0.15}
+BACK_SECONDS, BACK_CAP, DRIFT_SECONDS, DRIFT_CAP = 45.0, 2.0, (120.0, 50.0), (0.8, 1.5)
+PACE, PACE_CAP, MOVING, GAP_CAP, NEXT_BONUS, NONE_COST = (0.38, (2.6, 1.8)), 1.2, 0.75, 0.45, 0.08, 0.05
 
 
-def edge_score(prev: tuple | None, cur: tuple | None, back_penalty: float = 1.2, overlap_penalty: float = 0.55, free_order: bool = True) -> float:
-    """How well one matched row follows another; rows are (narration start, narration end, source start, source end)."""
-    if prev is None or cur is None:
-        return -0.05 if cur is None else 0.0
-    narration, source = max(0.0, cur[0] - prev[0]), cur[2] - prev[2]
-    s = 0.0
-    back = max(0.0, prev[2] - cur[2])
-    if back > 0:
-        s -= back_penalty * (1 + min(back / 45, 2.0))
-    over = max(0.0, min(prev[3], cur[3]) - max(prev[2], cur[2]))
-    if over > 0:
-        s -= overlap_penalty * (1 + over / max(1.0, cur[3] - cur[2]))
-    error = abs(source - narration)
-    s -= min(0.8, error / 120) if free_order else min(1.5, error / 50)
-    if narration > 0.75:
-        pace, most = source / max(0.25, narration), 2.6 if free_order else 1.8
-        if pace < 0.38:
-            s -= 0.2 * min(1.2, (0.38 - pace) / 0.38 * 1.2)
-        elif pace > most:
-            s -= 0.15 * min(1.2, (pace - most) / most * 1.2)
-        s -= min(0.45, abs((cur[2] - prev[3]) - (cur[0] - prev[1])) / max(8.0, 1.8 * narration))
-    return s + (0.08 if cur[2] >= prev[3] else 0.0)
+def edges(before: np.ndarray, after: np.ndarray, free_order: bool = True) -> np.ndarray:
+    """How well each row of ``after`` follows each of ``before``: arrays (..., n, 4) and (..., m, 4) give (..., m, n).
+
+    Rows hold narration start and end, source start and end; a row of NaN stands for no match. What counts against a
+    pair: going back in the source, showing the same source twice, drifting from the narration's clock, and, where the
+    narration moves on, a pace out of range and gaps of different lengths. Source that goes on behind the last one
+    counts for it.
+    """
+    n_from, n_to, s_from, s_to = (before[..., None, :, k] for k in range(4))
+    told, told_end, shown, shown_end = (after[..., :, None, k] for k in range(4))
+    way = 0 if free_order else 1
+    over = lambda x: np.maximum(x, 0)
+    with np.errstate(invalid="ignore"):
+        step, source_step = told - n_from, shown - s_from
+        twice = over(np.minimum(s_to, shown_end) - np.maximum(s_from, shown))
+        pace = source_step / np.maximum(step, 0.25)
+        slow, fast = PACE[0], PACE[1][way]
+        gaps = np.abs(over(shown - s_to) - over(told - n_to))
+        against = [
+            COSTS["back"] * (source_step < 0) * (1 + np.minimum(-source_step / BACK_SECONDS, BACK_CAP)),
+            COSTS["again"] * (twice > 0) * (1 + twice / np.maximum(shown_end - shown, 1)),
+            np.minimum(np.abs(source_step - step) / DRIFT_SECONDS[way], DRIFT_CAP[way]),
+            (step > MOVING) * COSTS["stall"] * np.minimum(PACE_CAP * over(1 - pace / slow), PACE_CAP),
+            (step > MOVING) * COSTS["jump"] * np.minimum(PACE_CAP * over(pace / fast - 1), PACE_CAP),
+            (step > MOVING) * np.minimum(gaps / np.maximum(1.8 * step, 8), GAP_CAP),
+        ]
+        score = NEXT_BONUS * (shown >= s_to) - sum(against)
+    return np.where(np.isnan(shown), -NONE_COST, np.where(np.isnan(s_from), 0.0, score))
 
 
 def viterbi(df: DataFrame, key: str, segment: str, free_order: bool = True) -> DataFrame:
     """The best choice of a candidate, or none, for each segment of a key.
 
     Rows: key, segment (its order), cand (its order in the segment; null for none), n_start, n_end, s_start, s_end, node (score).
-    Ties go to the earlier candidate; the choice of none comes last.
+    Ties go to the earlier candidate; the choice of none comes last. All edges of a key are one array, padded to its
+    largest number of candidates; only the running maximum goes segment by segment.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([segment, "cand"], kind="stable", na_position="last")
-        steps = [g for _, g in pdf.groupby(segment, sort=True)]
-        options = [[(None if pd.isna(c) else int(c), tuple(v)) for c, v in zip(g["cand"], g[["n_start", "n_end", "s_start", "s_end"]].to_numpy(float), strict=True)] for g in steps]
-        score, back = steps[0]["node"].to_numpy(float), []
-        for t in range(1, len(steps)):
-            edge = np.array([[edge_score(None if a is None else x, None if b is None else y, free_order=free_order) for a, x in options[t - 1]] for b, y in options[t]])
-            total = score[None, :] + edge
-            back.append(total.argmax(axis=1))
-            score = total.max(axis=1) + steps[t]["node"].to_numpy(float)
-        at, chosen = int(score.argmax()), []
-        for t in range(len(steps) - 1, -1, -1):
-            chosen.append(at)
-            at = int(back[t - 1][at]) if t else at
-        picked = [options[t][i][0] for t, i in enumerate(chosen[::-1])]
-        return pd.DataFrame({key: pdf[key].iloc[0], segment: [g[segment].iloc[0] for g in steps], "cand": pd.array(picked, "Int64"), "total": round(float(score.max()), 6)})
+        place, step = pdf.groupby(segment, sort=True).cumcount().to_numpy(), pd.factorize(pdf[segment])[0]
+        steps, width = int(step.max()) + 1, int(place.max()) + 1
+        node, where = np.full((steps, width), -np.inf), np.full((steps, width, 4), np.nan)
+        node[step, place] = pdf["node"].to_numpy(float)
+        where[step, place] = pdf[["n_start", "n_end", "s_start", "s_end"]].to_numpy(float)
+        where[np.isnan(where[:, :, 2])] = np.nan
+        follow, score, back = edges(where[:-1], where[1:], free_order), node[0], np.zeros((steps, width), int)
+        for t in range(1, steps):
+            total = score[None, :] + follow[t - 1]
+            back[t] = total.argmax(axis=1)
+            score = total[np.arange(width), back[t]] + node[t]
+        chosen = np.zeros(steps, int)
+        chosen[-1] = score.argmax()
+        for t in range(steps - 1, 0, -1):
+            chosen[t - 1] = back[t, chosen[t]]
+        rows = pdf.iloc[np.flatnonzero(place == chosen[step])]
+        return pd.DataFrame({key: rows[key], segment: rows[segment], "cand": rows["cand"].astype("Int64"), "total": round(float(score.max()), 6)})
 
     kinds = dict(df.dtypes)
     return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {segment} {kinds[segment]}, cand bigint, total double")
 
 
+def _diagonals(n: int, m: int):
+    """Cells (i, j) of each anti-diagonal of a table, from 1 on both sides."""
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        yield i, d - i
+
+
 def local_alignment(queries: DataFrame, rows: DataFrame, key: str, place: str, value: str, close: int = 5, near: int = 10, scores: tuple = (5.0, 2.0, -3.0), gaps: tuple = (-10.0, -0.5)) -> DataFrame:
     """Local alignment of two sequences of 60-bit hashes for each key: best score, length, extents and confidence.
 
     Pairs within ``close`` bits match, within ``near`` are similar; a gap opens at ``gaps[0]`` and grows by ``gaps[1]``.
+    A gap on either side may follow the other. Keys of one side alone give no row.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [key, "score", "pairs", "q_from", "q_to", "r_from", "r_to", "confidence"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        left, right = left.sort_values(place, kind="stable"), right.sort_values(place, kind="stable")
-        a, b = left[value].to_numpy(np.int64), right[value].to_numpy(np.int64)
-        distance = np.bitwise_count(a[:, None] ^ b[None, :]).astype(int)
-        sub = np.where(distance <= close, scores[0], np.where(distance <= near, scores[1], scores[2]))
-        n, m = len(a), len(b)
-        h, e, f = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-        came = np.zeros((n + 1, m + 1), int)
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                e[i, j] = max(h[i, j - 1] + gaps[0], e[i, j - 1] + gaps[1])
-                f[i, j] = max(h[i - 1, j] + gaps[0], f[i - 1, j] + gaps[1])
-                options = (0.0, h[i - 1, j - 1] + sub[i - 1, j - 1], e[i, j], f[i, j])
-                h[i, j] = max(options)
-                came[i, j] = 3 if options[3] == h[i, j] and h[i, j] > 0 else 2 if options[2] == h[i, j] and h[i, j] > 0 else 1 if h[i, j] > 0 else 0
-        i, j = np.unravel_index(int(h.argmax()), h.shape)
-        top, pairs = float(h[i, j]), []
+        left, right = left.sort_values("q_place", kind="stable"), right.sort_values("r_place", kind="stable")
+        distance = np.bitwise_count(left["q_value"].to_numpy(np.int64)[:, None] ^ right["r_value"].to_numpy(np.int64)[None, :]).astype(int)
+        sub = np.select([distance <= close, distance <= near], scores[:2], scores[2])
+        n, m = sub.shape
+        # Best scores of what ends in a pair, in a gap of the query, in a gap of the rows.
+        best, across, down = np.zeros((n + 1, m + 1)), np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
+        came = np.zeros((n + 1, m + 1), np.int8)
+        for i, j in _diagonals(n, m):
+            across[i, j] = np.maximum(best[i, j - 1] + gaps[0], across[i, j - 1] + gaps[1])
+            down[i, j] = np.maximum(best[i - 1, j] + gaps[0], down[i - 1, j] + gaps[1])
+            ways = np.stack([np.zeros(len(i)), best[i - 1, j - 1] + sub[i - 1, j - 1], across[i, j], down[i, j]])
+            best[i, j] = ways.max(axis=0)
+            came[i, j] = ways.argmax(axis=0)
+        i, j = (int(k) for k in np.unravel_index(int(best.argmax()), best.shape))
+        top, pairs = float(best[i, j]), []
         while came[i, j]:
-            if came[i, j] == 1:
+            move = came[i, j]
+            if move == 1:
                 pairs.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif came[i, j] == 2:
-                j -= 1
-            else:
-                i -= 1
+            i, j = i - (move != 2), j - (move != 3)
         if not pairs:
             return pd.DataFrame(columns=columns)
         mean = np.mean([distance[p] for p in pairs])
         confidence = np.clip(0.3 * len(pairs) / n + 0.4 * max(0.0, 1 - mean / 20) + 0.3 * top / (5 * n), 0, 1)
-        q, r = left[place].to_numpy(), right[place].to_numpy()
-        return pd.DataFrame([[left[key].iloc[0], top, len(pairs), q[pairs[-1][0]], q[pairs[0][0]], r[pairs[-1][1]], r[pairs[0][1]], round(float(confidence), 6)]], columns=columns)
+        q, r = left["q_place"].to_numpy(), right["r_place"].to_numpy()
+        return pd.DataFrame([[left["q_key"].iloc[0], top, len(pairs), q[pairs[-1][0]], q[pairs[0][0]], r[pairs[-1][1]], r[pairs[0][1]], round(float(confidence), 6)]], columns=columns)
 
     kind, at = dict(queries.dtypes)[key], dict(queries.dtypes)[place]
-    return queries.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(run, f"{key} {kind}, score double, pairs bigint, q_from {at}, q_to {at}, r_from {at}, r_to {at}, confidence double")
+    # Names of their own on either side: both may come from one table.
+    left = queries.select(F.col(key).alias("q_key"), F.col(place).alias("q_place"), F.col(value).alias("q_value"))
+    right = rows.select(F.col(key).alias("r_key"), F.col(place).alias("r_place"), F.col(value).alias("r_value"))
+    return left.groupBy("q_key").cogroup(right.groupBy("r_key")).applyInPandas(run, f"{key} {kind}, score double, pairs bigint, q_from {at}, q_to {at}, r_from {at}, r_to {at}, confidence double")
 
 
 def warp_speed(df: DataFrame, key: str, query: str, source: str, window: int = 10) -> DataFrame:
@@ -164,17 +178,16 @@ def warp_speed(df: DataFrame, key: str, query: str, source: str, window: int = 1
         band = max(window, abs(n - m))
         d = np.full((n, m), np.inf)
         d[:, 0], d[0, :] = np.cumsum(cost[:, 0]), np.cumsum(cost[0, :])
-        for i in range(1, n):
-            for j in range(max(1, i - band), min(m, i + band)):
-                d[i, j] = cost[i, j] + min(d[i - 1, j], d[i, j - 1], d[i - 1, j - 1])
-        i, j, path = n - 1, m - 1, []
+        for i, j in _diagonals(n - 1, m - 1):
+            i, j = i[(j >= i - band) & (j < i + band)], j[(j >= i - band) & (j < i + band)]
+            d[i, j] = cost[i, j] + np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]), d[i - 1, j - 1])
+        i, j, first = n - 1, m - 1, {}
         while i > 0 or j > 0:
-            path.append((i, j))
-            moves = [(d[i - 1, j - 1], i - 1, j - 1) if i and j else (np.inf, 0, 0), (d[i - 1, j], i - 1, j) if i else (np.inf, 0, 0), (d[i, j - 1], i, j - 1) if j else (np.inf, 0, 0)]
+            first[i] = j  # walking back, so the least stays
+            moves = [(d[i - 1, j - 1], i - 1, j - 1)] if i and j else []
+            moves += [(d[i - 1, j], i - 1, j)] if i else []
+            moves += [(d[i, j - 1], i, j - 1)] if j else []
             _, i, j = min(moves, key=lambda z: z[0])
-        first = {}
-        for i, j in path[::-1]:
-            first.setdefault(i, j)
         at = sorted(first)
         dq, ds = np.diff(q[at]), np.diff(s[[first[i] for i in at]])
         local = (ds / np.maximum(dq, 1e-9))[dq > 0]
@@ -185,37 +198,45 @@ def warp_speed(df: DataFrame, key: str, query: str, source: str, window: int = 1
     return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, speed double, confidence double, changed boolean")
 
 
-def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str, most: int = 24) -> DataFrame:
+#: Limits of a line through anchors: fixed values. Tolerance is a share of the group's duration between two bounds.
+LINE_ANCHORS, LINE_APART, LINE_SPEEDS, LINE_TOLERANCE, SPEED_COST, LINE_LEAST = 24, 0.65, (0.55, 1.85), (0.16, 0.45, 1.8), 0.30, {1: 0.75, 2: 0.75, 3: 1.4}
+
+
+def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str, duration: str, source_end: str) -> DataFrame:
     """The line y = speed * x + intercept with the best weighted inliers among a group's heaviest anchors.
 
-    Candidates are single anchors at speed one and pairs with a speed in [0.55, 1.85]; the intercept is the weighted
-    median of the inliers'. A fit needs two inliers, or one where there is one anchor, and a score of 0.75, or 1.4 with three anchors.
+    Lines through one anchor have speed one; those through two have any speed in ``LINE_SPEEDS``, if the anchors are
+    ``LINE_APART`` or more apart. All are scored at once against all anchors: an anchor within the tolerance counts its
+    weight, less its share of the tolerance. The intercept then is the weighted median over the inliers, moved so that
+    the group's ``duration`` fits the source, which ends at ``source_end`` (0: unknown). A fit of one anchor may have
+    one inlier, others need two; all need the least score.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = [key, "speed", "intercept", "inliers", "score"]
-        pdf = pdf.sort_values([weight, row_id], ascending=[False, True], kind="stable").head(most)
+        pdf = pdf.sort_values([weight, row_id], ascending=[False, True], kind="stable").head(LINE_ANCHORS)
         a, b, w = (pdf[k].to_numpy(float) for k in (x, y, weight))
-        tolerance = float(np.clip(0.16 * (a.max() - a.min()), 0.45, 1.8))
-        options = [(1.0, b[i] - a[i]) for i in range(len(a))]
-        for i in range(len(a)):
-            for j in range(i + 1, len(a)):
-                if abs(a[j] - a[i]) > 1e-9 and 0.55 <= (speed := (b[j] - b[i]) / (a[j] - a[i])) <= 1.85:
-                    options.append((speed, b[i] - speed * a[i]))
-        best = None
-        for speed, intercept in options:
-            off = np.abs(b - (speed * a + intercept))
-            near = off <= tolerance
-            score = float((w * (1 - off / tolerance))[near].sum() - 0.30 * abs(speed - 1))
-            if near.sum() >= (1 if len(a) == 1 else 2) and (best is None or score > best[0] + 1e-12):
-                best = (score, speed, near)
-        if best is None or best[0] < (1.4 if len(a) >= 3 else 0.75):
+        length, end = float(pdf[duration].iloc[0]), float(pdf[source_end].iloc[0])
+        tolerance = float(np.clip(LINE_TOLERANCE[0] * length, *LINE_TOLERANCE[1:]))
+        i, j = np.triu_indices(len(a), 1)
+        apart = np.abs(a[j] - a[i]) >= LINE_APART
+        i, j = i[apart], j[apart]
+        slope = (b[j] - b[i]) / (a[j] - a[i])
+        ok = (slope >= LINE_SPEEDS[0]) & (slope <= LINE_SPEEDS[1])
+        speed = np.concatenate([np.ones(len(a)), slope[ok]])
+        through = np.concatenate([b - a, b[i[ok]] - slope[ok] * a[i[ok]]])
+        off = np.abs(through[:, None] + speed[:, None] * a[None, :] - b[None, :])
+        near = off <= tolerance
+        score = (near * w * (1 - off / tolerance)).sum(axis=1) - SPEED_COST * np.abs(speed - 1)
+        best = int(np.argmax(np.round(score, 12)))
+        inliers = near[best]
+        if inliers.sum() < min(len(a), 2) or score[best] < LINE_LEAST[min(len(a), 3)]:
             return pd.DataFrame(columns=columns)
-        score, speed, near = best
-        offsets = b[near] - speed * a[near]
-        order = np.argsort(offsets, kind="stable")
-        reach = np.cumsum(w[near][order])
-        intercept = offsets[order][int(np.searchsorted(reach, reach[-1] / 2))]
-        return pd.DataFrame([[pdf[key].iloc[0], round(speed, 6), round(float(intercept), 6), int(near.sum()), round(score, 6)]], columns=columns)
+        offsets = np.sort(b[inliers] - speed[best] * a[inliers])
+        reach = np.cumsum(w[inliers][np.argsort(b[inliers] - speed[best] * a[inliers], kind="stable")])
+        intercept = offsets[int(np.searchsorted(reach, reach[-1] / 2))]
+        if end > 0:
+            intercept = max(0.0, min(intercept, end - speed[best] * length))
+        return pd.DataFrame([[pdf[key].iloc[0], round(float(speed[best]), 6), round(float(intercept), 6), int(inliers.sum()), round(float(score[best]), 6)]], columns=columns)
 
     return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")

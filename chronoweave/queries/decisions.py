@@ -149,17 +149,26 @@ def targets_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("key").agg(E6(F.min("visual")).alias("least")).orderBy("least", "key").limit(50)
 
 
+def _shots(spark, sf_dir) -> DataFrame:
+    """Anchors with their shot (a new one after a day without a row), its duration and the end of the project's source."""
+    w = Window.partitionBy("project").orderBy("idx")
+    s = segments(spark, sf_dir).where("movie_start is not null").withColumn("movie", c("movie_start") / 3)
+    s = s.withColumn("cut", F.coalesce(c("start") - F.lag(c("start") + c("dur")).over(w) > 24, F.lit(False)).cast("int"))
+    s = s.withColumn("shot", c("project") * 10_000 + F.sum("cut").over(w))
+    whole = Window.partitionBy("shot")
+    s = s.withColumn("first", F.min("start").over(whole)).withColumn("duration", F.max(c("start") + c("dur")).over(whole) - c("first"))
+    s = s.withColumn("source_end", F.max(c("movie") + c("dur")).over(Window.partitionBy("project")))
+    return s.select("shot", "id", (c("start") - c("first")).alias("offset"), "movie", (1.5 * c("visual") + 1.4 * c("verify") + 0.7 * c("stability")).alias("weight"), "duration", "source_end")
+
+
 def shot_line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line through each shot's anchors, chosen by weighted inliers."""
-    s = segments(spark, sf_dir).where("movie_start is not null").select((c("project") * 1000 + F.floor(c("idx") / 12)).alias("shot"), "id", "start", (c("movie_start") / 3).alias("movie"), (1.5 * c("visual") + 1.4 * c("verify") + 0.7 * c("stability")).alias("weight"))
-    return fit_line(s, "shot", "start", "movie", "weight", "id")
+    return fit_line(_shots(spark, sf_dir), "shot", "offset", "movie", "weight", "id", "duration", "source_end")
 
 
 def shot_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of a shot moved to its line where that changes their source by more than 0.18."""
-    line = shot_line_fit(spark, sf_dir)
-    s = segments(spark, sf_dir).where("movie_start is not null").select((c("project") * 1000 + F.floor(c("idx") / 12)).alias("shot"), "id", "start", (c("movie_start") / 3).alias("movie"))
-    out = s.join(line, "shot").withColumn("planned", F.greatest(F.lit(0.0), c("speed") * c("start") + c("intercept")))
+    out = _shots(spark, sf_dir).join(shot_line_fit(spark, sf_dir), "shot").withColumn("planned", F.greatest(F.lit(0.0), c("speed") * c("offset") + c("intercept")))
     return out.select("id", "shot", E6(c("planned")).alias("planned"), (F.abs(c("planned") - c("movie")) > 0.18).alias("moved"))
 
 

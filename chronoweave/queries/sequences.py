@@ -15,55 +15,58 @@ c = F.col
 
 
 def _anchors(spark, sf_dir) -> DataFrame:
-    """A project's anchors in episodes of 24 rows."""
+    """All anchors of a project."""
     s = segments(spark, sf_dir).where("movie_start is not null")
-    return s.select((c("project") * 1000 + F.floor(c("idx") / 24)).alias("episode"), "id", "start", F.round("movie_start", 3).alias("movie"), "visual")
+    return s.select("project", "id", "start", F.round("movie_start", 3).alias("movie"), "visual")
 
 
 def lis_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.increasing_subset(_anchors(spark, sf_dir), "episode", "start", "movie", "visual", "id").groupBy("episode").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    return Q.increasing_subset(_anchors(spark, sf_dir), "project", "start", "movie", "visual", "id").groupBy("project").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
 
 def anchor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.anchor_chain(_anchors(spark, sf_dir), "episode", "start", "movie", "visual", "id").groupBy("episode").agg(F.max("score").alias("score"))
+    return Q.anchor_chain(_anchors(spark, sf_dir), "project", "start", "movie", "visual", "id").groupBy("project").agg(F.max("score").alias("score"))
 
 
 def viterbi_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes of six segments with three candidates each and the choice of none."""
-    s = segments(spark, sf_dir).withColumn("episode", c("project") * 1000 + F.floor(c("idx") / 6))
+    """All segments of a project, with three candidates each and the choice of none."""
+    s = segments(spark, sf_dir)
     cand = s.withColumn("cand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(None).cast("int"))))
     start = c("start") * 3 + F.element_at(F.array(F.lit(0.0), c("gap") * 8 - 20, c("temporal") * 60 - 30), F.coalesce("cand", F.lit(0)) + 1)
     node = F.when(c("cand").isNull(), S.skip_score(c("visual"), c("kind") == "non_movie")).otherwise(F.round(c("visual") - 0.1 * c("cand") + c("stability") / 10, 6))
-    rows = cand.select("episode", c("idx").cast("long").alias("segment"), c("cand").cast("long").alias("cand"), c("start").alias("n_start"), (c("start") + c("dur")).alias("n_end"), start.alias("s_start"), (start + c("dur")).alias("s_end"), node.alias("node"))
+    rows = cand.select("project", c("idx").cast("long").alias("segment"), c("cand").cast("long").alias("cand"), c("start").alias("n_start"), (c("start") + c("dur")).alias("n_end"), start.alias("s_start"), (start + c("dur")).alias("s_end"), node.alias("node"))
     rows = rows.withColumn("s_start", F.when(c("cand").isNotNull(), c("s_start"))).withColumn("s_end", F.when(c("cand").isNotNull(), c("s_end")))
-    return Q.viterbi(rows, "episode", "segment")
-
-
-def _hashes(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select((F.floor(c("vec_id") / 40)).alias("shot"), "vec_id", V.sign_bits(c("embedding")).alias("h"))
-    return e
+    return Q.viterbi(rows, "project", "segment")
 
 
 def smith_waterman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each shot of 40 rows against itself shifted and thinned."""
-    e = _hashes(spark, sf_dir)
-    return Q.local_alignment(e.where("vec_id % 3 <> 0"), e.where("vec_id % 5 <> 1"), "shot", "vec_id", "h")
+    """Each shot of 40 rows against the shot behind it."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.floor(c("vec_id") / 40).alias("shot"), "vec_id", V.sign_bits(c("embedding")).alias("h"))
+    return Q.local_alignment(e, e.withColumn("shot", c("shot") - 1), "shot", "vec_id", "h")
 
 
 def dtw_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).where("movie_start is not null").select((c("project") * 1000 + F.floor(c("idx") / 24)).alias("episode"), "start", (c("movie_start") / 3).alias("movie"))
-    return Q.warp_speed(s, "episode", "start", "movie")
+    s = segments(spark, sf_dir).where("movie_start is not null").select("project", "start", (c("movie_start") / 3).alias("movie"))
+    return Q.warp_speed(s, "project", "start", "movie")
 
 
 QUERIES = {f.__name__: f for f in (lis_filter, anchor_chain, viterbi_align, smith_waterman, dtw_speed)}
 
-_EP = f"{SEGMENT_SQL}, a AS (SELECT project * 1000 + idx // 24 AS episode, id, start, round(movie_start, 3) AS movie, visual FROM seg WHERE movie_start IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY start, id) AS rn FROM a)"
+_ROWS = f"{SEGMENT_SQL}, a AS (SELECT project, id, start, round(movie_start, 3) AS movie, visual FROM seg WHERE movie_start IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start, id) AS rn FROM a)"
+
+
+def _chain_sql(first: str, gain: str, follows: str, out: str, least: int) -> str:
+    """Row by row: the best sum that ends in each row so far, its value, and its length."""
+    reach = f"list_transform(range(1, len(f.best) + 1), lambda i: CASE WHEN {follows} THEN f.best[i] + {gain} ELSE -1e9 END)"
+    return f"""WITH RECURSIVE {_ROWS},
+f AS (SELECT project, 1::BIGINT AS rn, [({first})::DOUBLE] AS best, [movie] AS vals, [1::BIGINT] AS lens FROM o WHERE rn = 1
+ UNION ALL SELECT f.project, o.rn, list_append(f.best, greatest(({first})::DOUBLE, y.reach)), list_append(f.vals, o.movie), list_append(f.lens, CASE WHEN y.reach > {first} THEN f.lens[y.at] + 1 ELSE 1 END)
+ FROM f JOIN o ON o.project = f.project AND o.rn = f.rn + 1, LATERAL (SELECT {reach} AS r) AS x, LATERAL (SELECT list_max(x.r) AS reach, list_position(x.r, list_max(x.r)) AS at) AS y),
+l AS (SELECT project, arg_max(best, rn) AS best, arg_max(lens, rn) AS lens FROM f GROUP BY project)
+SELECT project, {out} FROM l WHERE lens[list_position(best, list_max(best))] >= {least}"""
+
+
 ORACLES = {
-    "anchor_chain": f"""WITH RECURSIVE {_EP},
-f AS (SELECT episode, 1::BIGINT AS rn, [visual] AS best, [movie] AS vals, [1::BIGINT] AS lens FROM o WHERE rn = 1
- UNION ALL SELECT f.episode, o.rn, list_append(f.best, x.top), list_append(f.vals, o.movie), list_append(f.lens, CASE WHEN x.top > o.visual THEN f.lens[x.at] + 1 ELSE 1 END) FROM f JOIN o ON o.episode = f.episode AND o.rn = f.rn + 1,
- LATERAL (SELECT list_max(list_transform(range(1, len(f.best) + 1), lambda i: CASE WHEN f.vals[i] - 5 <= o.movie THEN f.best[i] ELSE -1e9 END)) AS before) AS y,
- LATERAL (SELECT greatest(o.visual, y.before + o.visual) AS top, list_position(list_transform(range(1, len(f.best) + 1), lambda i: CASE WHEN f.vals[i] - 5 <= o.movie THEN f.best[i] ELSE -1e9 END), y.before) AS at) AS x),
-l AS (SELECT episode, arg_max(best, rn) AS best, arg_max(lens, rn) AS lens FROM f GROUP BY episode)
-SELECT episode, round(list_max(best), 6) AS score FROM l WHERE lens[list_position(best, list_max(best))] >= 3""",
+    "lis_filter": _chain_sql("1", "(1 + 0.1e0 * o.visual)", "f.vals[i] < o.movie", "lens[list_position(best, list_max(best))] AS n, round(list_max(best), 6) AS score", 1),
+    "anchor_chain": _chain_sql("visual", "o.visual", "f.vals[i] - 5 <= o.movie", "round(list_max(best), 6) AS score", 3),
 }
