@@ -16,13 +16,23 @@ E6 = lambda x: F.round(x + 1e-9, 6)
 def audit_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median, floor-index tenth percentile, least and counts below three thresholds by event type.
 
-    The percentile is the value at a rank, found by numbering rows; the median is exact. No group is gathered.
+    Ranks are looked up in two steps, so no type is sorted whole: counts of 1,024 ranges of the score tell the range
+    that a rank falls in, and the distinct scores of that range alone are counted up to it.
     """
-    e = table(spark, sf_dir, "events", "event_type", "event_id", "value").withColumn("s", F.least(c("value") / 100, F.lit(1.0)))
-    w = Window.partitionBy("event_type")
-    e = e.withColumn("rn", F.row_number().over(w.orderBy("s", "event_id")) - 1).withColumn("n", F.count("*").over(w))
-    at = F.least(F.floor(c("n") * 0.10), c("n") - 1)
-    return e.groupBy("event_type").agg(E6(F.avg("s")).alias("mean"), E6(F.percentile("s", F.lit(0.5))).alias("median"), E6(F.max(F.when(c("rn") == at, c("s")))).alias("p10"), E6(F.min("s")).alias("least"), *[F.count_if(c("s") < t).alias(f"below_{int(t * 100)}") for t in (0.66, 0.74, 0.82)])
+    e = table(spark, sf_dir, "events", "event_type", "value").select("event_type", F.least(c("value") / 100, F.lit(1.0)).alias("s"))
+    plain = e.groupBy("event_type").agg(F.count("s").alias("n"), E6(F.avg("s")).alias("mean"), E6(F.min("s")).alias("least"), *[F.count_if(c("s") < t).alias(f"below_{int(t * 100)}") for t in (0.66, 0.74, 0.82)])
+    e = e.withColumn("range", F.floor(c("s") * 1024))
+    counts = e.groupBy("event_type", "range").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("event_type").orderBy("range")
+    counts = counts.withColumn("before", F.sum("k").over(upto) - c("k"))
+    ranks = F.array(F.struct(F.lit("p10").alias("name"), F.least(F.floor(c("n") * 0.10), c("n") - 1).alias("rank")), F.struct(F.lit("low").alias("name"), F.floor((c("n") - 1) / 2).alias("rank")), F.struct(F.lit("high").alias("name"), F.ceil((c("n") - 1) / 2).alias("rank")))
+    wanted = counts.join(plain.select("event_type", F.explode(ranks).alias("r")), "event_type").where("r.rank >= before and r.rank < before + k").select("event_type", "range", "r.name", (c("r.rank") - c("before")).alias("left"))
+    inside = e.join(wanted.select("event_type", "range").distinct(), ["event_type", "range"]).groupBy("event_type", "range", "s").agg(F.count("*").alias("k"))
+    reach = Window.partitionBy("event_type", "range").orderBy("s")
+    at = inside.withColumn("upto", F.sum("k").over(reach)).join(wanted, ["event_type", "range"]).where("upto > left").groupBy("event_type", "name").agg(F.min("s").alias("s"))
+    value = lambda name: F.max(F.when(c("name") == name, c("s")))
+    found = at.groupBy("event_type").agg(E6((value("low") + value("high")) / 2).alias("median"), E6(value("p10")).alias("p10"))
+    return plain.drop("n").join(found, "event_type")
 
 
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +71,17 @@ def monotonic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event with the mean of its type's values over the minute up to it."""
+    """Each event with the mean of its type's values over the minute up to it.
+
+    A window holds ten minutes of a type and the minute before them, not all rows of the type.
+    """
+    minute = 60_000_000
     e = table(spark, sf_dir, "events", "event_id", "event_type", "ts", "value").withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-60_000_000, 0)
-    return e.select("event_id", E6(F.avg("value").over(w)).alias("avg_60s"), F.count("*").over(w).alias("n_60s"))
+    part = lambda us: F.floor(us / (10 * minute))
+    e = e.withColumn("part", F.explode(F.array_distinct(F.array(part(c("us")), part(c("us") + minute)))))
+    w = Window.partitionBy("event_type", "part").orderBy("us").rangeBetween(-minute, 0)
+    out = e.select("event_id", (c("part") == part(c("us"))).alias("own"), E6(F.avg("value").over(w)).alias("avg_60s"), F.count("*").over(w).alias("n_60s"))
+    return out.where("own").drop("own")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

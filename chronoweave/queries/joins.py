@@ -22,9 +22,11 @@ def _bits(spark, sf_dir) -> DataFrame:
 
 
 def hamming_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different 24-bit signatures at most three bits apart."""
-    short = _bits(spark, sf_dir).select(c("h").bitwiseAND(F.lit((1 << 24) - 1)).alias("h"))
-    return M.hamming_pairs(short, "h", 3, bits=24).select("a", "b", c("distance").cast("long").alias("distance"))
+    """Pairs of different 60-bit signatures at most three bits apart, among signatures as they are and as seen again with up to three bits changed."""
+    b = _bits(spark, sf_dir)
+    flip = lambda k: F.expr(f"shiftleft(1L, cast(vec_id * {k} % 60 as int))")
+    again = b.select(c("h").bitwiseXOR(flip(1)).bitwiseXOR(flip(7)).bitwiseXOR(flip(11)).alias("h"))
+    return M.hamming_pairs(b.select("h").union(again), "h", 3).select("a", "b", c("distance").cast("long").alias("distance"))
 
 
 def lsh_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,30 +70,53 @@ def duplicate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source", "run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).select("source", "first_id", "last_id", "n")
 
 
+#: Periods of a cycle, bits that two equal rows may differ in, and the share of a period that must be equal: fixed values.
+PERIODS, CYCLE_BITS, CYCLE_SHARE = range(3, 16), 3, 0.95
+#: Rows of a block of windows; each block sees a margin of the next one's rows.
+CYCLE_BLOCK = 1_024
+
+
 def cycle_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places where a row's label equals that of ``period`` rows on, and the share of such in the period from there."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "label").withColumn("block", F.floor(c("vec_id") / 100))
-    e = e.withColumn("period", F.explode(F.sequence(F.lit(3), F.lit(8))))
-    w = Window.partitionBy("block", "period").orderBy("vec_id")
-    ahead = F.lead("label", 3).over(w)
-    for p in range(4, 9):
-        ahead = F.when(c("period") == p, F.lead("label", p).over(w)).otherwise(ahead)
-    e = e.withColumn("same", (c("label") == ahead).cast("double"))
-    return e.where("same is not null").groupBy("block", "period").agg(F.count("*").alias("n"), F.round(F.avg("same"), 6).alias("share"))
+    """Rows of a second period that repeats the one before it, with the shortest such period.
+
+    Rows follow each other by id. Each block of ids takes along the rows that its windows look at, so no window spans
+    the table.
+    """
+    scene = F.floor(c("vec_id") / 60)
+    # Scenes of 60 rows go round with a period of their own; a few bits differ, and some rows show their label instead.
+    picture = F.when(c("vec_id") % 50 == 0, F.concat_ws(":", "label", "vec_id")).otherwise(F.concat_ws(":", scene, c("vec_id") % (3 + scene % 14)))
+    e = table(spark, sf_dir, "embeddings", "vec_id", "label").select("vec_id", F.conv(F.substring(F.md5(picture), 1, 15), 16, 10).cast("long").bitwiseXOR(c("vec_id") % 4).alias("h"))
+    reach = 2 * max(PERIODS)
+    block = F.floor(c("vec_id") / CYCLE_BLOCK)
+    earlier = F.floor((c("vec_id") - reach) / CYCLE_BLOCK)
+    e = e.withColumn("block", F.explode(F.array_distinct(F.array(block, F.greatest(earlier, F.lit(0).cast("long"))))))
+    w = Window.partitionBy("block").orderBy("vec_id")
+    found = []
+    for p in PERIODS:
+        same = F.coalesce(F.bit_count(c("h").bitwiseXOR(F.lead("h", p).over(w))) <= CYCLE_BITS, F.lit(False)).cast("int")
+        e = e.withColumn(f"same_{p}", same)
+        whole = (F.lead("vec_id", 2 * p).over(w)).isNotNull()
+        e = e.withColumn(f"cycle_{p}", whole & (F.sum(f"same_{p}").over(w.rowsBetween(0, p - 1)) >= CYCLE_SHARE * p))
+        found.append(F.when(c(f"cycle_{p}"), F.lit(p)))
+    starts = e.where(c("block") == F.floor(c("vec_id") / CYCLE_BLOCK)).select("vec_id", F.explode(F.array_compact(F.array(*found))).alias("period"))
+    marked = starts.select("period", F.explode(F.sequence(c("vec_id") + c("period"), c("vec_id") + 2 * c("period") - 1)).alias("vec_id"))
+    return marked.groupBy("vec_id").agg(F.min("period").cast("long").alias("period"))
 
 
 def ngram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against documents by shared word 5-, 4- and 3-grams, weighted 3, 2 and 1; the best five of each item."""
+    """Benchmark items against documents by shared word 5-, 4- and 3-grams, weighted 3, 2 and 1; the best five of each item.
 
-    def of_order(n: int):
-        return F.transform(F.array_distinct(X.ngrams(c("t"), n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    A gram is a 64-bit hash of its words' hashes, so that grams of documents are numbers, and only those that an item
+    has go on. Repeats within a document fall away among the hits.
+    """
 
     def grams(df: DataFrame, name: str) -> DataFrame:
-        words = df.select(name, X.words(X.normalized(c("text"))).alias("t")).where(F.size("t") > 0)
-        return words.select(name, F.explode(F.flatten(F.array(*[of_order(n) for n in (5, 4, 3)]))).alias("s")).select(name, "s.n", "s.g")
+        hashed = df.select(name, F.transform(X.words(X.normalized(c("text"))), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
+        of_order = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i, n)).alias("g")))
+        return hashed.select(name, F.explode(F.flatten(F.array(*[of_order(n) for n in (5, 4, 3)]))).alias("s")).select(name, "s.n", "s.g")
 
-    i, d = grams(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id"), grams(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    hits = d.join(i, ["n", "g"]).groupBy("item_id", "doc_id").agg(F.sum(c("n") - 2).cast("long").alias("score"))
+    i, d = grams(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id").distinct(), grams(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    hits = d.join(i, ["n", "g"]).distinct().groupBy("item_id", "doc_id").agg(F.sum(c("n") - 2).cast("long").alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
@@ -142,7 +167,7 @@ def shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows found by id, else by index."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
-    m = o.where("o_orderkey % 10 = 0").select(F.when(c("o_orderkey") % 20 == 0, c("o_orderkey")).alias("by_id"), (c("o_orderkey") - 1).alias("by_index"))
+    m = o.select(F.when(c("o_orderkey") % 2 == 0, c("o_orderkey")).alias("by_id"), (c("o_orderkey") - 1).alias("by_index"))
     a = o.select(c("o_orderkey").alias("by_id"), F.round("o_totalprice", 2).alias("p1"))
     b = o.select(c("o_orderkey").alias("by_index"), F.round("o_totalprice", 2).alias("p2"))
     return m.join(a, "by_id", "left").join(b, "by_index", "left").select("by_index", F.coalesce("p1", "p2").alias("price"), F.when(c("p1").isNotNull(), "id").when(c("p2").isNotNull(), "index").otherwise("none").alias("found_by"))
@@ -160,7 +185,8 @@ _GRAM = lambda n: f"list_transform(list_distinct(list_transform(range(1, greates
 _GRAMS = f"list_concat(list_concat({_GRAM(5)}, {_GRAM(4)}), {_GRAM(3)})"
 
 ORACLES = {
-    "hamming_radius": f"WITH {_BITS}, d AS (SELECT DISTINCT h & 16777215 AS h FROM b) SELECT x.h AS a, y.h AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM d x JOIN d y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 3",
+    "hamming_radius": f"""WITH {_BITS}, d AS (SELECT h FROM b UNION SELECT xor(xor(xor(h, 1::BIGINT << (vec_id % 60)::INT), 1::BIGINT << (vec_id * 7 % 60)::INT), 1::BIGINT << (vec_id * 11 % 60)::INT) FROM b)
+SELECT x.h AS a, y.h AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM d x JOIN d y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 3""",
     "lsh_bucket_join": f"WITH {_BITS} SELECT q.vec_id AS query, r.vec_id AS row, bit_count(xor(q.h, r.h))::BIGINT AS distance FROM b q JOIN b r ON q.vec_id % 50 = 0 AND bit_count(xor(q.h, r.h)) <= 12 AND ("
     + " OR ".join(f"(q.h & {sum(1 << b for b in m)}) = (r.h & {sum(1 << b for b in m)})" for m in MASKS) + ")",
     "knn_topk": f"WITH {_NEAR} SELECT query, row, round(round(sim, 9), 5) AS similarity, rank FROM n WHERE rank <= 10",
@@ -170,9 +196,11 @@ ORACLES = {
 f AS (SELECT *, CASE WHEN bit_count(xor(h, lag(h) OVER (PARTITION BY source ORDER BY doc_id))) <= 1 THEN 0 ELSE 1 END AS new FROM d),
 r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT source, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM r GROUP BY source, run""",
-    "cycle_detect": """WITH p AS (SELECT vec_id, label, vec_id // 100 AS block, unnest([3, 4, 5, 6, 7, 8]) AS period FROM embeddings),
-s AS (SELECT a.block, a.period, (a.label = b.label)::INT AS same FROM p a JOIN p b ON a.block = b.block AND a.period = b.period AND b.vec_id = a.vec_id + a.period)
-SELECT block, period, count(*) AS n, round(avg(same), 6) AS share FROM s GROUP BY block, period""",
+    "cycle_detect": """WITH e AS (SELECT vec_id, xor(('0x' || substr(md5(CASE WHEN vec_id % 50 = 0 THEN concat(label, ':', vec_id) ELSE concat(vec_id // 60, ':', vec_id % (3 + vec_id // 60 % 14)) END), 1, 15))::BIGINT, vec_id % 4) AS h FROM embeddings),
+p AS (SELECT *, unnest(range(3, 16)) AS period FROM e), s AS (SELECT p.vec_id, period, CASE WHEN bit_count(xor(p.h, e.h)) <= 3 THEN 1 ELSE 0 END AS same FROM p JOIN e ON e.vec_id = p.vec_id + period),
+k AS (SELECT vec_id, period, sum(same) OVER (PARTITION BY period ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND period - 1 FOLLOWING) AS n FROM s),
+g AS (SELECT k.* FROM k JOIN e ON e.vec_id = k.vec_id + 2 * period WHERE n >= 0.95 * period)
+SELECT vec_id, min(period) AS period FROM (SELECT period, unnest(range(vec_id + period, vec_id + 2 * period)) AS vec_id FROM g) GROUP BY vec_id""",
     "ngram_match": f"""WITH it AS (SELECT item_id, {_WORDS('text')} AS t FROM benchmark), dt AS (SELECT doc_id, {_WORDS('text')} AS t FROM documents),
 i AS (SELECT item_id, s.n AS n, s.g AS g FROM (SELECT item_id, unnest({_GRAMS}) AS s FROM it WHERE len(t) > 0)), d AS (SELECT doc_id, s.n AS n, s.g AS g FROM (SELECT doc_id, unnest({_GRAMS}) AS s FROM dt WHERE len(t) > 0)),
 h AS (SELECT item_id, doc_id, sum(n - 2)::BIGINT AS score FROM d JOIN i USING (n, g) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h)
@@ -183,7 +211,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, bucket
     "shared_entities": f"""WITH i AS (SELECT item_id, unnest(list_distinct(list_filter({_WORDS('text')}, lambda x: length(x) >= 9))) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter({_WORDS('text')}, lambda x: length(x) >= 9))) AS w FROM documents),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), s AS (SELECT item_id, doc_id, count(*) AS k FROM d JOIN i USING (w) GROUP BY ALL), x AS (SELECT * FROM s JOIN n USING (item_id) WHERE k >= 0.15 * n),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k / n DESC, doc_id) AS rank FROM x) SELECT item_id, doc_id, round(k / n, 6) AS share, rank FROM r WHERE rank <= 3""",
-    "manifest_resolve": """WITH m AS (SELECT CASE WHEN o_orderkey % 20 = 0 THEN o_orderkey END AS by_id, o_orderkey - 1 AS by_index FROM orders WHERE o_orderkey % 10 = 0)
+    "manifest_resolve": """WITH m AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS by_id, o_orderkey - 1 AS by_index FROM orders)
 SELECT m.by_index, coalesce(round(a.o_totalprice, 2), round(b.o_totalprice, 2)) AS price, CASE WHEN a.o_orderkey IS NOT NULL THEN 'id' WHEN b.o_orderkey IS NOT NULL THEN 'index' ELSE 'none' END AS found_by
 FROM m LEFT JOIN orders a ON a.o_orderkey = m.by_id LEFT JOIN orders b ON b.o_orderkey = m.by_index""",
 }
