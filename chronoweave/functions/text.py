@@ -64,6 +64,19 @@ def speech_seconds(text: Column, lang: Column, speed: float = 1.0) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), seconds).otherwise(F.lit(0.0))
 
 
+def polish_seconds(text: Column, lang: Column) -> Column:
+    """Speaking time by 4.1 dense characters a second in Chinese, Japanese and Korean, else by 2.6 words; a tenth at least, 0 for no text."""
+    dense = F.length(F.regexp_replace(text, r"\s+", "")) / 4.1
+    by_words = F.size(words(F.regexp_replace(text, r"\s+", " "))) / 2.6
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0.0)).otherwise(F.greatest(F.when(lang.isin("zh", "ja", "ko"), dense).otherwise(by_words), F.lit(0.1)))
+
+
+def client_seconds(text: Column) -> Column:
+    """Speaking time by four characters a second, and a fifth of a second for each full-width mark or quotation mark."""
+    marks = F.length(F.regexp_replace(text, "[^，。！？、；：（）\"]", ""))
+    return F.coalesce(F.round(F.length(text) / 4.0 + marks * 0.2 + 1e-9, 2), F.lit(0.0))
+
+
 def collapsed(text: Column) -> Column:
     """Repeated marks and white space reduced to one."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"([,.!?])\1+", "$1"), r"\s+", " "))

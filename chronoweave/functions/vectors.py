@@ -48,3 +48,39 @@ def z_normalized(values: Column) -> Column:
     off = F.transform(values, lambda x: x.cast("double") - mean)
     size = F.sqrt(F.aggregate(off, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(off, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a column that is worked out once: a lambda's argument, not a copy of the expression at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hex_bits(hexadecimal: Column) -> Column:
+    """The 64 bits of 16 hexadecimal digits, lowest first."""
+    digit = lambda i: F.conv(F.substring(hexadecimal, F.lit(16) - F.floor(i / 4).cast("int"), F.lit(1)), 16, 10).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (digit(i).bitwiseAND(F.pow(F.lit(2), i % 4).cast("int")) > 0).cast("int"))
+
+
+def bits_hex(bits: Column) -> Column:
+    """16 hexadecimal digits of 64 bits, lowest first."""
+
+    def digits(b: Column) -> Column:
+        at = lambda j, k: F.element_at(b, F.lit(64) - 4 * j - k) * (8 >> k)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.lower(F.hex(at(j, 0) + at(j, 1) + at(j, 2) + at(j, 3)))), "")
+
+    return bound(bits, digits)
+
+
+def fused_bits(scales: list[Column], variances: list[Column]) -> Column:
+    """Bits on which the scales vote, each with the softmax weight of its variance over the mean one; the second scale's where no scale varies."""
+    total = sum(variances[1:], variances[0])
+    mean = total / len(variances) + 1e-6
+    force = [F.exp(v / mean) for v in variances]
+    whole = sum(force[1:], force[0])
+    parts = F.struct(*[b.alias(f"b{k}") for k, b in enumerate(scales)], *[(w / whole).alias(f"w{k}") for k, w in enumerate(force)], total.alias("total"))
+
+    def vote(p: Column) -> Column:
+        at = lambda i: sum((F.element_at(p[f"b{k}"], i + 1) * p[f"w{k}"] for k in range(1, len(scales))), F.element_at(p["b0"], i + 1) * p["w0"])
+        return F.when(p["total"] < 1e-6, p["b1"]).otherwise(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (at(i) > 0.5).cast("int")))
+
+    return bound(parts, vote)
