@@ -114,8 +114,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal one at an earlier place, so the first place of each passage keeps it.
 
     First, half digests are counted with map-side sums, so a frequent passage costs a row for each task; only passages
-    whose half digest repeats then go on, without a shuffle of the others where the list of repeated ones is small. The
-    winner of each is a minimum, again with map-side sums. Texts with nothing to remove don't shuffle at all if the list
+    whose half digest repeats then go on. The winner of each is a minimum, again with map-side sums. Texts with nothing to remove don't shuffle at all if the list
     of others is small, else they are joined by row.
 
     Null text stays null and has no lines. An emptied text is the empty string. Null ids come last. Rows that repeat id
@@ -126,8 +125,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind, rule = docs.schema[id_col].dataType.simpleString(), (divisor, min_lines, min_words, run_words)
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
     read = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.col(text_col).cast("binary").alias("text"))
-    # Written, so that their size is known when the joins are planned.
-    repeated = materialize(read.select("text").mapInArrow(lambda it: _digests(it, rule), "short bigint").groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"), "repeated-digests")
+    repeated = read.select("text").mapInArrow(lambda it: _digests(it, rule), "short bigint").groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
     found = read.mapInArrow(lambda it: _passages(it, rule), f"doc_id {kind}, k binary, first int, end int, chunk binary, digest binary, short bigint")
     seen = materialize(found.join(repeated, "short").drop("short"), "repeated-passages")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "first")
@@ -136,7 +134,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = seen.alias("s").join(winners.alias("w"), same).where((F.col("s.k") != F.col("winner.k")) | (F.col("s.first") != F.col("winner.first")))
     own_key, cut_names = unused_name(docs, "key"), unused_name(docs, "cuts")
     cuts = gone.groupBy(F.col("s.k").alias(own_key)).agg(F.collect_set(F.struct(F.col("s.first").alias("first"), F.col("s.end").alias("end"))).alias(cut_names))
-    cuts = materialize(cuts, "cuts")
     out = unused_name(docs, "out")
     joined = docs.drop("n_lines", "n_removed").withColumn(own_key, key).join(cuts, own_key, "left")
     cut = F.col(cut_names).isNotNull()
