@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b, md5
+from zlib import compress
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,7 @@ def _passages(batches: Iterator[pa.RecordBatch], rule: tuple) -> Iterator[pa.Rec
         if rows:
             at, first, end, chunk, digest = zip(*rows, strict=True)
             take, short = pa.array(at), np.frombuffer(b"".join(d[:8] for d in digest), np.int64)
+            chunk = [None if c is None else compress(c, 1) for c in chunk]
             columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(chunk, pa.binary()), pa.array(digest, pa.binary()), pa.array(short)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "first", "end", "chunk", "digest", "short"])
 
@@ -108,7 +110,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at a line feed. Content-defined boundaries cut each text into chunks of lines. Of a chunk of at least
     ``min_lines`` lines and ``min_words`` words that occurs more than once in all texts, the occurrence first by
     (doc_id, text's digest, line) stays and the others are taken out. Digests only find candidates: chunks count as
-    equal when their bytes are. Boundaries miss the margins of a passage, and passages of a few long lines. So a line
+    equal when their bytes are, which travel deflated. Boundaries miss the margins of a passage, and passages of a few long lines. So a line
     also goes if it is part of a run of lines of at least ``run_words`` words that stands at an earlier place by the
     same order, in another text or its own; runs are equal when their 128-bit digests are. Every line taken out has an
     equal one at an earlier place, so the first place of each passage keeps it.
