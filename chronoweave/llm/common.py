@@ -65,7 +65,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _BYTE = np.random.Generator(np.random.PCG64(20240909)).integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Bytes of a text that are hashed at a time; a part ends at white space.
+#: Bytes of a text that are hashed at a time.
 _PART = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
@@ -85,30 +85,36 @@ def hash_words(text: bytes | None) -> np.ndarray:
     """A 64-bit hash for each word of ``words_of(text)``, in order, without making the words.
 
     Sums of byte values times powers of a base, as prefix sums over the text: a word's hash is a difference of two of
-    them, shifted to the word's start. Long texts are hashed in parts that end at white space.
+    them, shifted to the word's start. Long texts are hashed in parts of fixed length; the sum of a word that a part cuts
+    is carried on, so one unbroken run of any length needs no more memory than a part.
     """
     if not text:
         return np.empty(0, np.uint64)
     raw = np.frombuffer(text.lower(), np.uint8)
-    out, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + _PART)
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end = min(len(raw), end + 1)
-        part = raw[at:end]
-        up, down = _power_tables(len(part) + 1)
+    up, down = _power_tables(min(len(raw), _PART) + 1)
+    out, carried, length = [], 0, 0
+    for at in range(0, len(raw), _PART):
+        part = raw[at : at + _PART]
         gap = np.ones(len(part) + 2, np.int8)
         gap[1:-1] = _SPACE[part]
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         start, stop = edges[0::2], edges[1::2]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        out.append(mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
-        at = end
+        sums, sizes = (total[stop] - total[start]) * down[start], (stop - start).astype(np.uint64)
+        if length and gap[1]:
+            out.append(mix64(np.array([carried], np.uint64) + np.uint64(length)))
+        elif length:
+            sums[0] = np.uint64((carried + int(sums[0]) * pow(_BASE, length, 2**64)) % 2**64)
+            sizes[0] += np.uint64(length)
+        carried = length = 0
+        if len(stop) and stop[-1] == len(part) and at + len(part) < len(raw):
+            carried, length = int(sums[-1]), int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        out.append(mix64(sums + sizes))
     return np.concatenate(out)
 
 
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoweave.llm.common import hash_words, shingle_hashes, small_batches
 
@@ -48,7 +49,7 @@ class Items:
         self.sets = [np.unique(shingle_hashes(words[i])) for i in keep]
         by_class: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
-            by_class.setdefault(1 << max(3, int(len(s) - 1).bit_length()), []).append(i)
+            by_class.setdefault(1 << int(len(s) - 1).bit_length(), []).append(i)
         self.classes, wanted = [], []
         for size, own in sorted(by_class.items()):
             keys = np.stack([_values(self.sets[i]).min(axis=1) for i in own], axis=1) | _FUNCTION
@@ -98,13 +99,13 @@ class Items:
         return out
 
 
-def _search(items: Items, percent: int):
+def _search(items: Items, percent: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(at, *hit) for at, text in enumerate(batch.column(1).to_pylist()) for hit in items.contained(text, percent)]
             if rows:
                 at, *rest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "item_id", "item_shingles", "shared_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, (id_type, pa.int64(), pa.int64()), strict=True))], ["doc_id", "item_id", "item_shingles", "shared_shingles"])
 
     return run
 
@@ -145,17 +146,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
 
     An item of fewer than five words is its whole sequence as one shingle and is found only in documents that are that
     sequence. Null or blank texts, in either table, and items without an id are in no pair. Null document ids pass
-    through. A repeated document row repeats its pairs; a repeated item counts once. Other columns, whatever their names,
+    through. Item ids may be of any type. An item whose shingles are spread over a long document, in no window enough of
+    them, may be missed. A repeated document row repeats its pairs; a repeated item counts once. Other columns, whatever their names,
     are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id bigint, item_shingles bigint, shared_shingles bigint"
+    item_kind = benchmark.schema[item_id_col].dataType
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, item_shingles bigint, shared_shingles bigint"
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     out = None
     for items in item_blocks(benchmark, item_id_col, item_text_col, block):
-        pairs = read.mapInArrow(_search(items, percent), schema)
+        pairs = read.mapInArrow(_search(items, percent, to_arrow_type(item_kind)), schema)
         out = pairs if out is None else out.unionByName(pairs)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import materialize, mix64
 
 
-def bounded_sample(rows: DataFrame, by: str, bound: int, key: str = "doc_id") -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str | None, bound: int, key: str = "doc_id") -> DataFrame:
     """About ``bound`` of the distinct (key, by) of ``rows``, the same number of each value of ``by`` where there are enough, chosen by a hash of ``key``.
 
     Each value has one row at least, so with more values than ``bound`` the sample is as large as their number. One
-    small aggregation gives the share of each value; the choice itself is a filter. Null keys are left out.
+    small aggregation gives the share of each value; the choice itself is a filter. Null keys are left out. Without
+    ``by``, all rows are of one kind.
     """
     part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    if by is None:
+        n = rows.where(F.col(key).isNotNull()).count()
+        return rows.where(F.col(key).isNotNull() & (part < bound / max(n, 1))).select(key).distinct()
     keyed = rows.where(F.col(key).isNotNull()).select(key, by, part.alias("part"))
     counts = materialize(keyed.groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"), F.min("part").alias("least")), "shares")
     values = counts.count()

@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = bounded_sample(marked, "label", sample)
     ids = docs.where(learn).select(F.col(id_col).alias("doc_id"))
-    others = bounded_sample(ids.join(marked, "doc_id", "left_anti").withColumn("label", F.lit(-1)), "label", unlabelled)
+    others = bounded_sample(ids.join(marked, "doc_id", "left_anti"), None, unlabelled).withColumn("label", F.lit(-1))
     texts = docs.where(learn).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

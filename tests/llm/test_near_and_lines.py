@@ -117,6 +117,14 @@ def test_contamination_matches_brute_force(spark, nasty, empty):
     assert contamination(empty, bench).count() == 0 and contamination(nasty, bench.limit(0)).count() == 0
 
 
+def test_short_items_with_ids_of_text(spark):
+    """Items of five to twelve words, a few shingles each, in long documents; their ids are strings."""
+    items = [(f"i{k}", passage(40 + k, 5 + k)) for k in range(8)]
+    docs = [(d, passage(300 + d, 400) + " " + items[d % 8][1] + " " + passage(500 + d, 300 + d)) for d in range(64)]
+    got = contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(d, f"i{d % 8}") for d in range(64)}
+
+
 def brute_lines(rows: list[tuple[int, str]], run_words: int = 50) -> dict[int, tuple[str, int]]:
     """Each repeated chunk goes, and each line of each run of lines of so many words that some earlier place has; all runs are tried."""
     chunks, runs, out = set(), set(), {}
