@@ -106,17 +106,24 @@ def cycle_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against documents by shared word 5-, 4- and 3-grams, weighted 3, 2 and 1; the best five of each item.
 
-    A gram is a 64-bit hash of its words' hashes, so that grams of documents are numbers, and only those that an item
-    has go on. Repeats within a document fall away among the hits.
+    A gram is a 64-bit hash of its words' hashes; a text of fewer words is one gram of each order. Where a longer gram
+    is shared, so is the 3-gram that it starts with: documents' places are held against the items' 3-grams first, and
+    few go on.
     """
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
+    def places(df: DataFrame, name: str) -> DataFrame:
         hashed = df.select(name, F.transform(X.words(X.normalized(c("text"))), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-        of_order = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i, n)).alias("g")))
-        return hashed.select(name, F.explode(F.flatten(F.array(*[of_order(n) for n in (5, 4, 3)]))).alias("s")).select(name, "s.n", "s.g")
+        five = lambda i: F.struct(*[F.get("h", i + k).alias(f"h{k}") for k in range(5)], (i == 0).alias("first"))
+        at = hashed.select(name, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 3, F.lit(0))), five)).alias("p")).select(name, "p.*")
+        return at.withColumn("g3", F.xxhash64("h0", "h1", "h2"))
 
-    i, d = grams(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id").distinct(), grams(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    hits = d.join(i, ["n", "g"]).distinct().groupBy("item_id", "doc_id").agg(F.sum(c("n") - 2).cast("long").alias("score"))
+    def grams(at: DataFrame, name: str) -> DataFrame:
+        of_order = [F.when(c("first") | c(f"h{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(*[f"h{k}" for k in range(n)]).alias("g"))) for n in (5, 4, 3)]
+        return at.select(name, F.explode(F.array_compact(F.array(*of_order))).alias("s")).select(name, "s.n", "s.g").distinct()
+
+    i, d = places(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id"), places(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    near = d.join(i.select("g3").distinct(), "g3", "left_semi")
+    hits = grams(near, "doc_id").join(grams(i, "item_id"), ["n", "g"]).groupBy("item_id", "doc_id").agg(F.sum(c("n") - 2).cast("long").alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
