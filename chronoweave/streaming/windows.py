@@ -26,20 +26,24 @@ def without_repeats(events: DataFrame, keys: list[str], late: str = LATE) -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def consecutive_changes(events: DataFrame, key: str = "user_id", value: str = "event_type") -> DataFrame:
-    """Rows whose value differs from the one before of their key: a detector with the last value as its state."""
+def consecutive_changes(events: DataFrame, key: str = "user_id", value: str = "event_type", late: str = LATE, idle_seconds: int = 86_400) -> DataFrame:
+    """Rows whose value differs from the one before of their key: a detector with the last value as its state.
+
+    A key without rows for ``idle_seconds`` of event time is forgotten, so state doesn't grow with all keys ever seen;
+    its next row counts as a change.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-            now = getattr(row, value)
-            if now != last:
-                out.append((k[0], row.ts, now))
-            last = now
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", value])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        before = rows[value].shift(1, fill_value=state.get[0] if state.exists else None)
+        changed = rows[rows[value].ne(before)]
+        state.update((rows[value].iloc[-1],))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+        yield pd.DataFrame({key: k[0], "ts": changed["ts"], value: changed[value]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, {value} string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, {value} string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
