@@ -28,15 +28,32 @@ def anchor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.anchor_chain(_anchors(spark, sf_dir), "project", "start", "movie", "visual", "id").groupBy("project").agg(F.max("score").alias("score"))
 
 
-def viterbi_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All segments of a project, with three candidates each and the choice of none."""
-    s = segments(spark, sf_dir)
+def _choices(s: DataFrame, *keys: str) -> DataFrame:
+    """Three candidates of each segment and the choice of none."""
     cand = s.withColumn("cand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(None).cast("int"))))
     start = c("start") * 3 + F.element_at(F.array(F.lit(0.0), c("gap") * 8 - 20, c("temporal") * 60 - 30), F.coalesce("cand", F.lit(0)) + 1)
     node = F.when(c("cand").isNull(), S.skip_score(c("visual"), c("kind") == "non_movie")).otherwise(F.round(c("visual") - 0.1 * c("cand") + c("stability") / 10, 6))
-    rows = cand.select("project", c("idx").cast("long").alias("segment"), c("cand").cast("long").alias("cand"), c("start").alias("n_start"), (c("start") + c("dur")).alias("n_end"), start.alias("s_start"), (start + c("dur")).alias("s_end"), node.alias("node"))
-    rows = rows.withColumn("s_start", F.when(c("cand").isNotNull(), c("s_start"))).withColumn("s_end", F.when(c("cand").isNotNull(), c("s_end")))
-    return Q.viterbi(rows, "project", "segment")
+    rows = cand.select(*keys, c("idx").cast("long").alias("segment"), c("cand").cast("long").alias("cand"), c("start").alias("n_start"), (c("start") + c("dur")).alias("n_end"), start.alias("s_start"), (start + c("dur")).alias("s_end"), node.alias("node"))
+    return rows.withColumn("s_start", F.when(c("cand").isNotNull(), c("s_start"))).withColumn("s_end", F.when(c("cand").isNotNull(), c("s_end")))
+
+
+def viterbi_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of a project, with three candidates each and the choice of none."""
+    return Q.viterbi(_choices(segments(spark, sf_dir), "project"), "project", "segment")
+
+
+def rematched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each weak segment chosen again within the two before and the two behind it, and whether the choice moves its source by more than 0.2."""
+    s = segments(spark, sf_dir)
+    weak = s.where("visual < 0.1").select("project", "id", c("idx").alias("at"))
+    near = weak.withColumn("idx", F.explode(F.sequence(c("at") - 2, c("at") + 2)))
+    window = near.join(s.drop("id"), ["project", "idx"])
+    picked = Q.viterbi(_choices(window, "id"), "id", "segment").join(weak, "id").where("segment = at")
+    starts = _choices(s, "id").select("id", "cand", "s_start")
+    out = picked.select("id", "cand").join(starts, (picked["id"] == starts["id"]) & picked["cand"].eqNullSafe(starts["cand"]))
+    moved = out.select(picked["id"], picked["cand"], "s_start").join(s.select("id", "movie_start"), "id")
+    gone = c("cand").isNull()
+    return moved.select("id", "cand", F.when(gone, c("movie_start").isNotNull()).otherwise(c("movie_start").isNull() | (F.abs(c("s_start") - c("movie_start")) > 0.2)).alias("moved"))
 
 
 def smith_waterman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +69,7 @@ def dtw_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.warp_speed(s, "project", "start", "movie")
 
 
-QUERIES = {f.__name__: f for f in (lis_filter, anchor_chain, viterbi_align, smith_waterman, dtw_speed)}
+QUERIES = {f.__name__: f for f in (lis_filter, anchor_chain, viterbi_align, rematched_rows, smith_waterman, dtw_speed)}
 
 _ROWS = f"{SEGMENT_SQL}, a AS (SELECT project, id, start, round(movie_start, 3) AS movie, visual FROM seg WHERE movie_start IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY start, id) AS rn FROM a)"
 

@@ -73,3 +73,28 @@ def test_line_match_finds_the_most_similar_of_its_candidates(spark):
     got = registry.queries()["line_match"](spark, SF).collect()
     assert got and all(0 < r["ratio"] <= 1 and 0 <= r["confidence"] <= 1 for r in got)
     assert len({(r["item_id"], r["query_md5"]) for r in got}) == len(got)
+
+
+def test_rematched_rows_match_exhaustive_search(spark):
+    import itertools
+
+    import numpy as np
+
+    from chronoweave.operators.sequence import edges
+    from chronoweave.plans.bindings import segments
+    from chronoweave.queries.sequences import _choices
+
+    rows = _choices(segments(spark, SF), "project", "id").collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault((r["project"], r["segment"]), []).append(r)
+    weak = {r["id"]: (r["project"], r["idx"]) for r in segments(spark, SF).where("visual < 0.1").collect()}
+    got = {r["id"]: r["cand"] for r in registry.queries()["rematched_rows"](spark, SF).collect()}
+    assert set(got) == set(weak)
+    place = lambda r: np.array([[np.nan] * 4 if r["cand"] is None else [r["n_start"], r["n_end"], r["s_start"], r["s_end"]]])
+    for i in sorted(weak)[:8]:
+        project, at = weak[i]
+        steps = [by[project, k] for k in range(at - 2, at + 3) if (project, k) in by]
+        step = {(a["id"], a["cand"], b["id"], b["cand"]): float(edges(place(a), place(b))[0, 0]) for x, y in zip(steps, steps[1:], strict=False) for a in x for b in y}
+        best = max(itertools.product(*steps), key=lambda pick: sum(p["node"] for p in pick) + sum(step[a["id"], a["cand"], b["id"], b["cand"]] for a, b in zip(pick, pick[1:], strict=False)))
+        assert got[i] == next(p["cand"] for p in best if p["id"] == i)
