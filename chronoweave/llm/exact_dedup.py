@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text counts as empty. Null ids lose to any other id; where all ids of a group are null, keep_id is null and
     each row is kept. Rows that repeat the kept id with the same text are that same document and are all kept. Other
-    columns of ``docs``, whatever their names, are not read. An empty table gives no rows.
+    columns of ``docs``, whatever their names, are not read. Texts are hashed whole, whatever their length; only digests
+    move. An empty table gives no rows.
     """
     keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalized_text(F.col(text_col)), 256).alias("text_sha256")), "digests")
     frequent = heavy_hitters(keyed, "text_sha256")
