@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def aligned(samples: DataFrame, starts: DataFrame, frames: DataFrame, group: str, radius: float, scales: tuple[float, ...] = (1.0,)) -> DataFrame:
     """Rows (group, start, scale, sample columns, frame columns): frames within ``radius`` of where a sample falls if its group starts there.
 

@@ -38,7 +38,7 @@ def start_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of shots at given starts, at the best of three time scales."""
     samples = _samples(spark, sf_dir)
     near = S.aligned(samples, _starts(spark, sf_dir), _frames(spark, sf_dir), "shot", 0.75, SCALES)
-    out = S.sequence_scores(near, samples, "shot", S.dot(c("vector"), c("frame")))
+    out = S.sequence_scores(near, samples, "shot", V.dot(c("vector"), c("frame")))
     return out.select("shot", "start", "scale", F.round("score", 5).alias("score"), "matched", F.round(c("stability") + 1e-9, 5).alias("stability"), F.round(c("low_ratio") + 1e-9, 5).alias("low_ratio"))
 
 
@@ -52,7 +52,7 @@ def shot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _samples(spark, sf_dir)
-    out = S.identity_scores(S.aligned(samples, _starts(spark, sf_dir), _frames(spark, sf_dir), "shot", 0.55), samples, "shot", F.round(S.dot(c("vector"), c("frame")), 9))
+    out = S.identity_scores(S.aligned(samples, _starts(spark, sf_dir), _frames(spark, sf_dir), "shot", 0.55), samples, "shot", F.round(V.dot(c("vector"), c("frame")), 9))
     return out.select("shot", "start", F.round("score", 5).alias("score"), F.round("mean", 5).alias("mean"), F.round("least", 5).alias("least"), "matched")
 
 
