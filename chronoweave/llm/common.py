@@ -21,6 +21,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches to Python workers that end at ``size`` bytes, whatever the length of their texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    small_batches(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 

@@ -15,11 +15,14 @@ from chronoweave.llm.exact_dedup import exact_dedup
 from chronoweave.llm.line_dedup import line_dedup
 from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
+from chronoweave.llm.pieces import decode, encode
 from chronoweave.llm.secret_scan import secret_scan
 from chronoweave.llm.token_counts import token_counts
 
 #: The vocabulary file that token counts and packing use unless told otherwise.
 TOKENIZER = "byte_bpe_50k.json"
+#: The model file of the piece encoder, likewise.
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests stand for the ids and for the text that they decode to."""
+    path = public_tokenizers.path(PIECES)
+    rows = decode(encode(_read(spark, sf_dir, "documents"), path), path)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -91,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
+        "op13_pieces": op13_pieces,
     }
 
 
