@@ -108,6 +108,21 @@ SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(n.n, 0) AS n_removed, sha256(
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+r AS (
+  SELECT q.item_id, p.doc_id, sum(q.repeats * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + (25 * p.n * s.n_docs) // s.n_terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY q.item_id, p.doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
 HARD_NEGATIVES = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -121,4 +136,4 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op5_decontaminate": CONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_secret_scan": secret_scan(), "op12_hard_negatives": HARD_NEGATIVES}
+    return {"op3_exact_dedup": EXACT_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op5_decontaminate": CONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_secret_scan": secret_scan(), "op11_lexical_search": LEXICAL_SEARCH, "op12_hard_negatives": HARD_NEGATIVES}

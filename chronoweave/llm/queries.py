@@ -13,6 +13,7 @@ from chronoweave.llm.common import doc_bucket
 from chronoweave.llm.decontaminate import contamination
 from chronoweave.llm.exact_dedup import exact_dedup
 from chronoweave.llm.hard_negatives import hard_negatives, prepared
+from chronoweave.llm.lexical_search import lexical_search
 from chronoweave.llm.line_dedup import line_dedup
 from chronoweave.llm.near_dedup import near_duplicates
 from chronoweave.llm.packing import best_fit_packing
@@ -83,6 +84,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(prepared(_read(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 100 == 0)
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_language_id": op10_language_id,
+        "op11_lexical_search": op11_lexical_search,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_pieces": op13_pieces,
     }
