@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as X
+from chronoweave.functions.scoring import fuzzy_confidence
 from chronoweave.operators.sequence import increasing_subset
 
 c = F.col
@@ -39,12 +40,6 @@ def word_ratio(a: Column, b: Column) -> Column:
     return 2.0 * common / (F.size(left) + F.size(right))
 
 
-def line_confidence(ratio: Column) -> Column:
-    """Confidence of the best line by its similarity; null below 0.4."""
-    raw = F.when(ratio >= 0.8, 0.9 + (ratio - 0.8) * 0.5).when(ratio >= 0.6, 0.6 + (ratio - 0.6) * 1.5).when(ratio >= 0.4, 0.3 + (ratio - 0.4) * 1.5)
-    return F.when(raw > 1, F.lit(1.0)).otherwise(raw)
-
-
 def _gram(n: int, v: float) -> Callable[[Column], Column]:
     return lambda g: F.struct(F.lit(n).alias("n"), F.lit(v).alias("v"), F.xxhash64(g).alias("g"))
 
@@ -69,7 +64,7 @@ def line_signal(narration: DataFrame, movie: DataFrame, key: str, ratio: Callabl
     norm = lambda df, name, *keep: df.select(*keep, F.array_join("w", " ").alias(name))
     top = top.join(norm(asked, "n_norm", key, "n_id"), [key, "n_id"]).join(norm(held, "m_norm", key, "m_id", "m_start"), [key, "m_id"])
     best = top.withColumn("ratio", F.round(ratio(c("n_norm"), c("m_norm")), 9)).groupBy(key, "n_id").agg(F.max_by(F.struct("ratio", "m_start"), F.struct("ratio", -c("rank"))).alias("b"))
-    return best.select(key, "n_id", c("b.m_start").alias("english_time"), line_confidence(c("b.ratio")).alias("english")).where("english is not null")
+    return best.select(key, "n_id", c("b.m_start").alias("english_time"), fuzzy_confidence(c("b.ratio")).alias("english")).where("english is not null")
 
 
 def entities(lines: DataFrame, movie: DataFrame, aliases: DataFrame, key: str, *keep: str) -> DataFrame:
