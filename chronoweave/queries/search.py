@@ -13,7 +13,7 @@ from chronoweave.tables import table
 
 c = F.col
 E6 = lambda x: F.round(x + 1e-9, 6)
-SCALES = (0.9, 1.0, 1.1)
+SCALES = (0.95, 1.0, 1.05)
 
 
 def _frames(spark, sf_dir) -> DataFrame:
@@ -128,7 +128,7 @@ _NEAR = lambda radius, scales: f"""s AS (SELECT vec_id // 20 AS shot, vec_id AS
 f AS (SELECT vec_id / 2 AS time, embedding::DOUBLE[] AS w, vec_id * 37 % 100 / 100 AS fq, vec_id % 9 = 0 AS fl FROM embeddings),
 t AS (SELECT DISTINCT vec_id // 20 AS shot FROM embeddings), a AS (SELECT shot, shot * 10 + unnest([-4e0, -1e0, 0e0, 0.25e0, 3e0]) AS start FROM t),
 q AS (SELECT s.*, start, unnest([{scales}]) AS scale FROM s JOIN a USING (shot) WHERE start >= 0), n AS (SELECT q.*, f.*, list_dot_product(v, w) AS dot FROM q JOIN f ON abs(time - (start + "offset" * scale)) <= {radius}), tot AS (SELECT shot, count(*) AS total FROM s GROUP BY shot)"""
-_SCORES = f"""{_NEAR(0.75, "0.9e0, 1e0, 1.1e0")}, z AS (SELECT *, dot * (0.82 + 0.18 * least(qq, fq)) AS sc FROM n), b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY shot, start, scale, sample ORDER BY sc DESC, time) = 1), p AS (SELECT * FROM b WHERE sc > 0),
+_SCORES = f"""{_NEAR(0.75, "0.95e0, 1e0, 1.05e0")}, z AS (SELECT *, dot * (0.82 + 0.18 * least(qq, fq)) AS sc FROM n), b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY shot, start, scale, sample ORDER BY sc DESC, time) = 1), p AS (SELECT * FROM b WHERE sc > 0),
 g AS (SELECT shot, start, scale, list_sort(list(sc), 'DESC') AS l, count(*) AS matched, avg(qq) AS q, avg(fq) AS f, avg((fl OR ql)::INT) AS low FROM p GROUP BY ALL),
 k AS (SELECT g.*, matched / total AS cov, l[:CASE WHEN matched <= 3 THEN matched ELSE greatest(2, floor(matched * 0.75)) END::BIGINT] AS top FROM g JOIN tot USING (shot)),
 m AS (SELECT *, least(1, cov * 0.5 + q * 0.25 + f * 0.25) AS stab, list_avg(top) AS mean, CASE WHEN len(top) > 1 THEN list_stddev_pop(top) ELSE 0 END AS sd FROM k),
