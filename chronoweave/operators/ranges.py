@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.continuity import _look
 from chronoweave.operators.scans import joined, near_any, ordered_scan
 
 #: Seconds up to which ranges touch on the target, and within which a cut protects a border: fixed values.
@@ -26,6 +27,13 @@ BRIDGE, LOCK_GAP, LOCK_SCORE = (0.05, 0.18), 0.18, 0.82
 #: Jumps from the cursor that an anchor may make without a cut: seconds and multiples of its duration.
 ANCHOR_JUMP = (4.0, 2.0)
 
+#: Checks again: how many a key's ranges get, scores below which one is due, (seconds, multiples) of a jump that counts, and of a look-up's reach.
+CHECKS, LOW, LOW_SHOWN, SHORT_ONE, JUMPS, LOOK = 72, 0.70, 0.78, (1.25, 0.82, 0.86), (1.20, 1.35, 0.88), 0.30
+#: Gain and least score that a replacement needs: of a poor range, of one that jumps less then, of others.
+POOR, GAINS, LEAST = 0.62, (0.010, 0.018, 0.035), (0.66, 0.72)
+#: Seeds: reach of overlap, of distance (seconds, multiples), shares of base score and overlap, how many rows and seeds.
+OVERLAP_REACH, NEAR, SEED_SHARES, RELATED, SEEDS, LAST_SEED = 0.45, (1.6, 1.2), (0.62, 0.38), 4, 4, 0.45
+
 RANGE = "t0 double, t1 double, s0 double, s1 double, inferred boolean, score double"
 
 
@@ -178,3 +186,72 @@ def continuous_ranges(rows: DataFrame, keys: list[str], source_end: float = 0.0)
     upcoming = F.first(F.when(F.col("anchor"), F.struct("m0", "t0")), True).over(ahead)
     read = rows.withColumn("__next", upcoming).where("t1 > t0").select(*keys, "id", "t0", "t1", "m0", "anchor", "cut", F.col("__next.m0").alias("next_m0"), F.col("__next.t0").alias("next_t0"))
     return ordered_scan(read, keys, ["t0", "id"], lambda it: _continue(it, source_end), f"id {rows.schema['id'].dataType.simpleString()}, s0 double, s1 double, inferred boolean")
+
+
+def restore_seeds(ranges: DataFrame, rows: DataFrame, keys: list[str], source_end: float = 0.0, row_id: str = "id", bucket: float = 8.0) -> DataFrame:
+    """(keys, id, seeds): up to four source starts (start, score) for each range (t0, t1) from the rows (row, r0, r1, m0, base) that overlap it or are near.
+
+    Both meet in buckets of time, a pair in the first one that it shares. The four rows of most overlap, then of least
+    distance, count; starts that are equal to a tenth of a second count once, with the better score.
+    """
+    length = F.col("t1") - F.col("t0")
+    middle, reach = (F.col("t0") + F.col("t1")) * 0.5, F.greatest(F.lit(NEAR[0]), length * NEAR[1])
+    span = lambda lo, hi: F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))
+    a = ranges.select(*keys, row_id, "t0", "t1", middle.alias("middle"), reach.alias("reach"))
+    a = a.withColumn("a_first", F.floor(F.least(F.col("t0"), F.col("middle") - F.col("reach")) / bucket))
+    a = a.withColumn("bucket", F.explode(span(F.least(F.col("t0"), F.col("middle") - F.col("reach")), F.greatest(F.col("t1"), F.col("middle") + F.col("reach")))))
+    b = rows.where("m0 is not null").select(*keys, "row", "r0", "r1", "m0", "base", F.floor((F.col("r0") - OVERLAP_REACH) / bucket).alias("b_first"))
+    b = b.withColumn("bucket", F.explode(span(F.col("r0") - OVERLAP_REACH, F.col("r1") + OVERLAP_REACH)))
+    j = a.join(b, [*keys, "bucket"]).where(F.col("bucket") == F.greatest("a_first", "b_first"))
+    overlap = F.greatest(F.lit(0.0), F.least(F.col("t1"), F.col("r1") + OVERLAP_REACH) - F.greatest(F.col("t0"), F.col("r0") - OVERLAP_REACH))
+    j = j.withColumn("overlap", overlap).withColumn("distance", F.abs(F.col("middle") - (F.col("r0") + F.col("r1")) * 0.5)).where("overlap > 0 or distance <= reach")
+    of_range = Window.partitionBy(*keys, row_id)
+    j = j.withColumn("k", F.row_number().over(of_range.orderBy(F.desc("overlap"), "distance", "row"))).where(F.col("k") <= RELATED)
+    start = F.col("m0") + (F.col("t0") - F.col("r0"))
+    start = F.least(F.greatest(F.lit(0.0), start), F.greatest(F.lit(0.0), source_end - (F.col("t1") - F.col("t0")))) if source_end > 0 else F.greatest(F.lit(0.0), start)
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    score = unit(F.col("base") * SEED_SHARES[0] + unit(F.col("overlap") / F.greatest(F.lit(0.2), F.col("t1") - F.col("t0"))) * SEED_SHARES[1])
+    seeds = j.select(*keys, row_id, "k", start.alias("start"), score.alias("score")).withColumn("tenth", F.floor(F.col("start") * 10 + 0.5))
+    once = seeds.groupBy(*keys, row_id, "tenth").agg(F.max_by(F.struct("start", "score"), F.struct("score", -F.col("k"))).alias("s"))
+    listed = once.groupBy(*keys, row_id).agg(F.sort_array(F.collect_list(F.struct((-F.col("s.score")).alias("o"), F.col("s.start").alias("start")))).alias("l"))
+    return listed.select(*keys, row_id, F.transform(F.slice("l", 1, SEEDS), lambda x: F.struct(x["start"].alias("start"), (-x["o"]).alias("score"))).alias("seeds"))
+
+
+def _recheck(rows: Iterable, end: float, checks: int) -> Iterator[tuple]:
+    before = None  # target and source end of the range before
+    for r in rows:
+        length = max(0.05, r.t1 - r.t0)
+        now = _look(r.places, r.s0, LOOK)
+        expected = before[1] + max(0.0, r.t0 - before[0]) if before else None
+        jump = r.s0 - expected if before else 0.0
+        cut = r.t0 <= CUT_REACH or r.cut_in
+        jumps = before is not None and not cut and abs(jump) > max(JUMPS[0], length * JUMPS[1]) and now < JUMPS[2]
+        short = length <= SHORT_ONE[0] and (now < SHORT_ONE[1] or r.score < SHORT_ONE[2])
+        s0, s1, inferred, score, state = r.s0, r.s1, r.inferred, r.score, "kept"
+        if (now < LOW or r.score < LOW_SHOWN or short or jumps or r.inferred) and checks > 0:
+            checks, state = checks - 1, "checked"
+            tried = [(x["start"], x["score"]) for x in r.seeds or []] + ([(before[1], LAST_SEED)] if before and not cut else [])
+            found = max(((_look(r.places, at, LOOK), seed, -at) for at, seed in tried), default=None)
+            if found:
+                new, at = found[0], -found[2]
+                until = at + length
+                at, until = (max(0.0, end - length), end) if 0 < end < until else (at, until)
+                nearer = before is not None and abs(at - expected) + 0.40 < abs(jump)
+                gain = GAINS[0] if now < POOR else GAINS[1] if jumps or nearer else GAINS[2]
+                if new >= (LEAST[0] if now < POOR else LEAST[1]) and new >= now + gain:
+                    s0, s1, score, state = at, until, max(score, new), "moved"
+        yield getattr(r, "id"), r.t0, r.t1, s0, s1, inferred, score, state  # noqa: B009
+        before = (r.t1, s1)
+
+
+def rechecked_ranges(ranges: DataFrame, seeds: DataFrame, scores: DataFrame, cuts: DataFrame, keys: list[str], source_end: float = 0.0, checks: int = CHECKS) -> DataFrame:
+    """(keys, id, range, state): doubtful ranges held against their seeds and against going on from the range before, as that was left.
+
+    A range is doubtful if it scores low, is short and not sure, jumps without a cut, or was inferred; each key's first
+    ``checks`` of them are looked at. The best of the seeds by ``scores`` (id, place, score) replaces the range if it is
+    good enough and better; a poor range, or one that then jumps less, asks for less. state: kept, checked or moved.
+    """
+    places = scores.where("place is not null and score is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).alias("places"))
+    marked = near_any(ranges, keys, ["id"], "t0", cuts, "at", CUT_REACH, "cut_in")
+    read = marked.join(seeds, [*keys, "id"], "left").join(places, "id", "left").select(*keys, "id", "t0", "t1", "s0", "s1", "inferred", "score", "cut_in", "seeds", "places")
+    return ordered_scan(read, keys, ["t0", "id"], lambda rows: _recheck(rows, source_end, checks), f"id {ranges.schema['id'].dataType.simpleString()}, {RANGE}, state string")

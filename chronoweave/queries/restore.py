@@ -10,6 +10,9 @@ from chronoweave.plans.bindings import SHOT_SQL, shots
 
 c = F.col
 E6 = lambda x: F.round(x + 1e-9, 6)
+SOURCE_END = 640.0
+#: Scored places of a shot around its own, and their scores: the same in both engines.
+_STEPS, _FOUND = ("-3e0", "-1e0", "0e0", "5e-1", "2e0"), "0.5 + ((CAST(floor(value * 100) AS BIGINT) + CAST(floor(o * 10) AS BIGINT) + 30) % 50) / 1e2"
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -39,7 +42,29 @@ def continuous_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("project", "id", E6(c("s0")).alias("s0"), E6(c("s1")).alias("s1"), "inferred")
 
 
-QUERIES = {f.__name__: f for f in (smoothed_ranges, locked_ranges, continuous_ranges)}
+def _rechecked(spark: SparkSession, sf_dir: str, checks: int) -> tuple[DataFrame, DataFrame]:
+    s = shots(spark, sf_dir).where("m0 is not null")
+    ranges = s.select("project", "id", "t0", "t1", c("m0").alias("s0"), c("m1").alias("s1"), (c("event_type") == "error").alias("inferred"), c("confidence").alias("score"))
+    rows = s.where("id % 2 = 0").select("project", c("id").alias("row"), c("t0").alias("r0"), c("t1").alias("r1"), c("home").alias("m0"), c("visual").alias("base"))
+    seeds = R.restore_seeds(ranges, rows, ["project"], SOURCE_END)
+    grid = s.selectExpr("id", f"explode(array({', '.join(_STEPS)})) as o", "home", "value").selectExpr("id", "home + o as place", f"{_FOUND} as score")
+    cuts = s.where("event_type = 'purchase' and id % 2 = 0").select("project", (c("t0") + 0.05).alias("at"))
+    return seeds, R.rechecked_ranges(ranges, seeds, grid.unionByName(s.select("id", c("m0").alias("place"), c("stability").alias("score"))), cuts, ["project"], SOURCE_END, checks)
+
+
+def restore_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source starts that shots of even numbers propose for the ranges around them."""
+    seeds, _ = _rechecked(spark, sf_dir, 0)
+    return seeds.select("project", "id", F.posexplode("seeds").alias("k", "s")).select("project", "id", c("k").cast("long").alias("k"), E6(c("s.start")).alias("start"), E6(c("s.score")).alias("score"))
+
+
+def rechecked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful ranges, the first 30 of each project, held against their seeds."""
+    _, out = _rechecked(spark, sf_dir, 30)
+    return out.select("project", "id", E6(c("s0")).alias("s0"), E6(c("s1")).alias("s1"), "inferred", E6(c("score")).alias("score"), "state")
+
+
+QUERIES = {f.__name__: f for f in (smoothed_ranges, locked_ranges, continuous_ranges, restore_seeds, rechecked_ranges)}
 
 _FIELDS = ("t0", "t1", "s0", "s1", "inferred", "score", "cut_in", "cut_out")
 _MEET = "abs(b.t0 - a.t1) <= 0.05 AND NOT b.cut_in"
@@ -59,6 +84,13 @@ def _joining(name: str, source: str, joins: str, inferred: str = "a.inferred OR
 
 _FLICKER = f"b.n_t0 IS NOT NULL AND {_LONG} <= 0.9 AND {_MEET} AND abs(b.n_t0 - b.t1) <= 0.05 AND NOT b.cut_out AND abs(b.n_s0 - a.s1) <= 1.25 AND (abs(b.s0 - a.s1) >= 1.5 OR abs(b.n_s0 - b.s1) >= 1.5)"
 _AGAIN = f"{_MEET} AND a.s1 - b.s0 > 0.35 AND a.s1 - b.s0 >= 1 AND (a.s1 - b.s0) / greatest({_LONG}, 0.1) >= 0.45"
+_SEEDS = f"""s AS (SELECT * FROM shot WHERE m0 IS NOT NULL),
+sj AS (SELECT a.project, a.id, a.t0, a.t1, b.id AS row, b.home + (a.t0 - b.t0) AS start0, b.visual AS base, greatest(0e0, least(a.t1, b.t1 + 0.45) - greatest(a.t0, b.t0 - 0.45)) AS overlap, abs((a.t0 + a.t1) * 0.5 - (b.t0 + b.t1) * 0.5) AS distance FROM s AS a JOIN s AS b ON a.project = b.project AND b.id % 2 = 0),
+sk AS (SELECT *, row_number() OVER (PARTITION BY project, id ORDER BY overlap DESC, distance, row) AS rk FROM sj WHERE overlap > 0 OR distance <= greatest(1.6e0, (t1 - t0) * 1.2) QUALIFY rk <= 4),
+sc AS (SELECT *, least(greatest(0e0, start0), greatest(0e0, {SOURCE_END} - (t1 - t0))) AS start, greatest(0e0, least(1e0, base * 0.62 + greatest(0e0, least(1e0, overlap / greatest(0.2e0, t1 - t0))) * 0.38)) AS score FROM sk),
+so AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY project, id, floor(start * 10 + 0.5) ORDER BY score DESC, rk) = 1),
+sd AS (SELECT project, id, start, score, row_number() OVER (PARTITION BY project, id ORDER BY score DESC, start) - 1 AS k FROM so QUALIFY k <= 3)"""
+_LOOKED = lambda at: f"coalesce(list_max(list_transform(list_filter(b.tab, lambda x: abs(x.p - ({at})) <= 0.3), lambda x: x.s)), 0e0)"
 _OUT = "round(t0 + 1e-9, 6) AS t0, round(t1 + 1e-9, 6) AS t1, round(s0 + 1e-9, 6) AS s0, round(s1 + 1e-9, 6) AS s1, inferred, round(score + 1e-9, 6) AS score"
 
 ORACLES = {
@@ -98,4 +130,19 @@ f AS (SELECT project, id, k, x.s0, x.s1, NOT anchor AS inferred FROM n, LATERAL
   LATERAL (SELECT b.anchor AND NOT (abs(b.m0 - f.s1) > greatest(4e0, 2 * (b.t1 - b.t0)) AND NOT b.cut) AS keeps) AS w, LATERAL (SELECT CASE WHEN keeps THEN b.m0 ELSE f.s1 END AS s) AS y,
   LATERAL (SELECT CASE WHEN s + (b.t1 - b.t0) > 590 THEN greatest(0e0, 590 - (b.t1 - b.t0)) ELSE s END AS s0, CASE WHEN s + (b.t1 - b.t0) > 590 THEN 590 ELSE s + (b.t1 - b.t0) END AS s1) AS x)
 SELECT project, id, round(s0 + 1e-9, 6) AS s0, round(s1 + 1e-9, 6) AS s1, inferred FROM f""",
+    "restore_seeds": f"WITH {SHOT_SQL}, {_SEEDS} SELECT project, id, k, round(start + 1e-9, 6) AS start, round(score + 1e-9, 6) AS score FROM sd",
+    "rechecked_ranges": f"""WITH RECURSIVE {SHOT_SQL}, {_SEEDS}, cut AS (SELECT project, t0 + 0.05 AS mark FROM s WHERE event_type = 'purchase' AND id % 2 = 0), near AS (SELECT s.id, bool_or(mark >= t0 - 0.08 AND mark <= t0 + 0.08) AS cut_in FROM s JOIN cut USING (project) GROUP BY s.id),
+tab AS (SELECT id, list({{'p': place, 's': score}}) AS tab FROM (SELECT id, home + o AS place, {_FOUND} AS score FROM (SELECT *, unnest([{", ".join(_STEPS)}]) AS o FROM s) UNION ALL SELECT id, m0, stability FROM s) GROUP BY id),
+sl AS (SELECT id, list({{'a': start, 'w': score}}) AS seeds FROM sd GROUP BY id),
+n0 AS (SELECT s.project, s.id, t0, t1, m0 AS s0, m1 AS s1, event_type = 'error' AS inferred, confidence AS score, coalesce(cut_in, FALSE) OR t0 <= 0.08 AS cut, coalesce(seeds, []) AS seeds, tab, greatest(0.05e0, t1 - t0) AS len FROM s LEFT JOIN near USING (id) LEFT JOIN sl USING (id) JOIN tab USING (id)),
+b AS (SELECT b.*, row_number() OVER (PARTITION BY project ORDER BY t0, id) AS k, {_LOOKED("b.s0")} AS now FROM n0 AS b),
+f AS (SELECT project, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::DOUBLE AS t1, NULL::DOUBLE AS s0, NULL::DOUBLE AS s1, FALSE AS inferred, 0e0 AS score, '' AS state, 30 AS checks FROM (SELECT DISTINCT project FROM b)
+ UNION ALL SELECT b.project, b.k, b.id, b.t1, CASE WHEN ok THEN g.x0 ELSE b.s0 END, CASE WHEN ok THEN g.x1 ELSE b.s1 END, b.inferred, CASE WHEN ok THEN greatest(b.score, top.new) ELSE b.score END, CASE WHEN ok THEN 'moved' WHEN due THEN 'checked' ELSE 'kept' END, a.checks - due::INT
+ FROM f AS a JOIN b ON b.project = a.project AND b.k = a.k + 1, LATERAL (SELECT a.s1 + greatest(0e0, b.t0 - a.t1) AS e) AS x, LATERAL (SELECT coalesce(b.s0 - e, 0e0) AS jump) AS y,
+ LATERAL (SELECT e IS NOT NULL AND NOT b.cut AND abs(jump) > greatest(1.2e0, b.len * 1.35) AND b.now < 0.88 AS jumps) AS z,
+ LATERAL (SELECT (b.now < 0.7 OR b.score < 0.78 OR b.len <= 1.25 AND (b.now < 0.82 OR b.score < 0.86) OR jumps OR b.inferred) AND a.checks > 0 AS due) AS d,
+ LATERAL (SELECT list_sort(list_transform(CASE WHEN a.s1 IS NOT NULL AND NOT b.cut THEN list_append(b.seeds, {{'a': a.s1, 'w': 0.45e0}}) ELSE b.seeds END, lambda q: {{'new': {_LOOKED("q.a")}, 'w': q.w, 'm': -q.a}}), 'DESC')[1] AS top) AS t,
+ LATERAL (SELECT CASE WHEN -top.m + b.len > {SOURCE_END} THEN greatest(0e0, {SOURCE_END} - b.len) ELSE -top.m END AS x0, CASE WHEN -top.m + b.len > {SOURCE_END} THEN {SOURCE_END} ELSE -top.m + b.len END AS x1) AS g,
+ LATERAL (SELECT coalesce(due AND top.new >= CASE WHEN b.now < 0.62 THEN 0.66 ELSE 0.72 END AND top.new >= b.now + CASE WHEN b.now < 0.62 THEN 0.01 WHEN jumps OR coalesce(abs(x0 - e) + 0.4 < abs(jump), FALSE) THEN 0.018 ELSE 0.035 END, FALSE) AS ok) AS w)
+SELECT project, id, round(s0 + 1e-9, 6) AS s0, round(s1 + 1e-9, 6) AS s1, inferred, round(score + 1e-9, 6) AS score, state FROM f WHERE k > 0""",
 }

@@ -104,3 +104,39 @@ def test_marks_near_a_place(spark):
     marks = spark.createDataFrame([("a", 1.08), ("a", 1.08), ("a", 0.93), ("a", 5.2), ("c", 1.0)], "k string, m double")
     got = near_any(df, ["k"], ["id"], "at", marks, "m", 0.08, "near")
     assert sorted((r["id"], r["near"]) for r in got.collect()) == [(1, True), (2, False), (3, False), (4, False)]
+
+
+Doubtful = namedtuple("Doubtful", "id t0 t1 s0 s1 inferred score cut_in seeds places", defaults=(False, 0.5, False, (), ()))
+
+
+def recheck(rows, end=0.0, checks=72):
+    return [(r[0], round(r[3], 3), r[7]) for r in R._recheck(rows, end, checks)]
+
+
+def at(*places):
+    return [{"place": p, "score": s} for p, s in sorted(places)]
+
+
+def test_checks_run_out():
+    rows = [Doubtful(i, i * 2.0, i * 2.0 + 2, 500.0, 502.0, seeds=[{"start": 100.0 + i, "score": 0.9}], places=at((100.0 + i, 0.9), (500.0, 0.5)), cut_in=True) for i in range(4)]
+    assert recheck(rows, checks=2) == [(0, 100, "moved"), (1, 101, "moved"), (2, 500, "kept"), (3, 500, "kept")]
+    assert [r[2] for r in recheck(rows)] == ["moved"] * 4
+
+
+def test_a_range_is_held_against_going_on_from_the_one_before():
+    rows = [Doubtful(0, 1.0, 3.0, 100.0, 102.0, places=at((100.0, 0.9)), score=0.9), Doubtful(1, 3.0, 5.0, 300.0, 302.0, places=at((102.0, 0.73), (300.0, 0.71)), score=0.9)]
+    assert recheck(rows) == [(0, 100, "kept"), (1, 102, "moved")]  # it jumps, so a gain of 0.018 will do
+    assert recheck([rows[0], rows[1]._replace(cut_in=True)]) == [(0, 100, "kept"), (1, 300, "kept")]
+    assert recheck([rows[0], rows[1]._replace(places=at((102.0, 0.72), (300.0, 0.71)))])[1] == (1, 300, "checked")
+    # what was moved carries on: the third is expected behind the second's new place
+    third = Doubtful(2, 5.0, 7.0, 900.0, 902.0, places=at((104.0, 0.9)), score=0.9)
+    assert recheck([*rows, third])[2] == (2, 104, "moved")
+
+
+def test_seeds(spark):
+    ranges = spark.createDataFrame([("p", 1, 10.0, 12.0), ("p", 2, 90.0, 91.0), ("q", 3, 0.0, 1.0)], "project string, id int, t0 double, t1 double")
+    rows = [("p", 1, 10.0, 12.0, 100.0, 0.8), ("p", 2, 8.0, 10.1, 98.01, 0.9), ("p", 3, 12.4, 14.0, None, 0.9), ("p", 4, 13.9, 14.1, 300.0, 0.5), ("p", 5, 60.0, 60.5, 1.0, 1.0), ("p", 6, 0.0, 200.0, 700.0, 0.1)]
+    got = R.restore_seeds(ranges, spark.createDataFrame(rows, "project string, row int, r0 double, r1 double, m0 double, base double"), ["project"], 800.0)
+    found = {r["id"]: [(round(s["start"], 2), round(s["score"], 4)) for s in r["seeds"]] for r in got.collect()}
+    # rows 1 and 2 propose the same tenth of a second: once, with the better score; row 5 is far, row 3 unmatched
+    assert found == {1: [(100.0, 0.876), (710.0, 0.442)], 2: [(790.0, 0.442)]}
