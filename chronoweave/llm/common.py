@@ -62,6 +62,12 @@ def doc_bucket(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts
 
 
+def row_text(doc_id: Column, text: Column) -> Column:
+    """Id and text of a row as one string that no other pair gives: the id's length stands before it."""
+    own = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.concat(F.when(doc_id.isNull(), F.lit("-")).otherwise(F.length(own).cast("string")), F.lit(":"), own, F.coalesce(text, F.lit("")))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, split at runs of space and \\x09-\\x0D (what ``bytes`` methods do)."""
     return text.lower().split() if text else []

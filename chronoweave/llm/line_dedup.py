@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from chronoweave.llm.common import materialize, small_batches, unused_name
+from chronoweave.llm.common import materialize, row_text, small_batches, unused_name
 
 #: A boundary falls after one line in DIVISOR on average; chunks of fewer lines or words are left alone.
 DIVISOR, MIN_LINES, MIN_WORDS = 3, 2, 10
@@ -125,7 +125,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     kind, rule = docs.schema[id_col].dataType.simpleString(), (divisor, min_lines, min_words, run_words)
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+    key = F.unhex(F.md5(row_text(F.col(id_col), F.col(text_col))))
     read = docs.select(F.col(id_col).alias("doc_id"), key.alias("k"), F.col(text_col).cast("binary").alias("text"))
     repeated = read.select("text").mapInArrow(lambda it: _digests(it, rule), "short bigint").groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
     found = read.mapInArrow(lambda it: _passages(it, rule), f"doc_id {kind}, k binary, first int, end int, chunk binary, digest binary, short bigint")

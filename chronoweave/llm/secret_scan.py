@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.llm.common import row_text
+
 #: Characters between two parts of one credential at most: the scope.
 SCOPE = 256
 
@@ -129,7 +131,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in time that grows with their length, be they one unbroken run of letters. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = base.withColumn("k", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.col("text")), 256))
+    keyed = base.withColumn("k", F.sha2(row_text(F.col("doc_id"), F.col("text")), 256))
     kept = link_parts(find_spans(keyed.select("k", "text")), scope)
     name = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("rank") + 1)
     text = F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string"))

@@ -97,3 +97,9 @@ def test_long_unbroken_texts_take_seconds(spark, text):
     assert secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
     secret_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
     assert time.perf_counter() - began < 30
+
+
+def test_rows_that_share_a_joined_string_keep_their_own_spans(spark):
+    df = spark.createDataFrame([("a\nb", "c password=abcdefgh12"), ("a", "b\nc password=abcdefgh12"), (None, "password=abcdefgh12"), ("null", "x password=abcdefgh12")], "doc_id string, text string")
+    got = {(r["doc_id"]): r["spans"] for r in secret_scan(df).collect()}
+    assert got == {"a\nb": "assign:2:21", "a": "assign:4:23", None: "assign:0:19", "null": "assign:2:21"}

@@ -165,3 +165,13 @@ def test_line_dedup_on_nasty_rows(nasty, empty):
     assert got.columns == [c for c in nasty.columns if c != "n_lines"] + ["n_lines", "n_removed"]
     assert got.where("doc_id = 4").first()["text"] is None
     assert line_dedup(empty).count() == 0
+
+
+def test_rows_that_share_a_joined_string_lose_their_own_lines(spark):
+    from chronoweave.llm.line_dedup import line_dedup
+
+    shared = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(3))
+    df = spark.createDataFrame([("0", shared), ("a\nb", f"c\n{shared}"), ("a", f"b\nc\n{shared}"), ("z", "own")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup(df).collect()}
+    # The line "c" and what follows it stand in "a" before they stand in "a\nb".
+    assert got == {"0": (3, 0, shared), "a\nb": (4, 4, ""), "a": (5, 3, "b\nc"), "z": (1, 0, "own")}
