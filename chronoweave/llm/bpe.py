@@ -13,8 +13,9 @@ from tokenizers import Tokenizer
 #: The split pattern of byte-level BPE tokenizers of this family: a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Groups that a worker's cache keeps at most.
-CACHE = 250_000
+#: Characters that a worker's cache keeps at most, what an entry counts besides its own, and the longest group that is kept:
+#: longer ones hardly recur, and are encoded where they stand.
+CACHE, ENTRY, LONGEST = 16_000_000, 40, 64
 
 #: A space before white space: only there does a pre-token reach across a space.
 _INSIDE = re.compile(r" (?=\s)")
@@ -64,28 +65,32 @@ class Encoder:
         return self._tokenizer(text) if any(s in text for s in self.special) else self.core.encode_ordinary(text)
 
 
-class _Ids(dict):
+class _Kept(dict):
+    """What a group of pre-tokens gives, kept while all that is kept has at most ``limit`` characters; groups beyond ``LONGEST`` never are."""
+
     def __init__(self, core: tiktoken.Encoding, limit: int):
         super().__init__()
-        self.core, self.limit = core, limit
+        self.core, self.limit, self.held = core, limit, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.core.encode_ordinary(" " + piece), dtype="<u4").tobytes()
-        if len(self) < self.limit:
-            self[piece] = ids
-        return ids
+    def of(self, piece: str):
+        raise NotImplementedError
 
+    def __missing__(self, piece: str):
+        made = self.of(piece)
+        if len(piece) <= LONGEST and self.held + len(piece) + ENTRY <= self.limit:
+            self.held += len(piece) + ENTRY
+            self[piece] = made
+        return made
+
+
+class _Ids(_Kept):
+    def of(self, piece: str) -> bytes:
+        return np.array(self.core.encode_ordinary(" " + piece), dtype="<u4").tobytes()
 
-class _Lengths(dict):
-    def __init__(self, core: tiktoken.Encoding, limit: int):
-        super().__init__()
-        self.core, self.limit = core, limit
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.core.encode_ordinary(" " + piece))
-        if len(self) < self.limit:
-            self[piece] = n
-        return n
+class _Lengths(_Kept):
+    def of(self, piece: str) -> int:
+        return len(self.core.encode_ordinary(" " + piece))
 
 
 @lru_cache(maxsize=2)
@@ -113,7 +118,7 @@ class LengthCache:
 
     def __init__(self, path: str, frequent: dict[str, int], limit: int = CACHE):
         self.encoder = encoder(path)
-        self.lengths = _Lengths(self.encoder.core, limit + len(frequent))
+        self.lengths = _Lengths(self.encoder.core, limit)
         self.lengths.update(frequent)
 
     def __call__(self, text: str) -> int:

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.bpe import LengthCache, encoder
+from chronoweave.llm.bpe import LONGEST, LengthCache, encoder
 from chronoweave.llm.common import small_batches
 
-#: Entries of the broadcast table, of each partition's summary, and counters held while a summary is made.
+#: Entries of the broadcast table, of each partition's summary, and counters held while a summary is made; none is longer than ``LONGEST`` characters.
 TABLE, SUMMARY, COUNTERS = 16_384, 4_096, 65_536
 
 
@@ -31,7 +31,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Reco
         for text in batch.column(0).to_pylist():
             pieces = split(text) if text else None
             if pieces:
-                counts.update(pieces[1:])
+                counts.update([p for p in pieces[1:] if len(p) <= LONGEST])
         if len(counts) > COUNTERS:
             counts = _shrink(counts, COUNTERS // 2)
     top = _shrink(counts, SUMMARY)
@@ -54,6 +54,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict
     """Token counts of the most frequent pre-token groups of all texts, at most ``TABLE`` of them.
 
     Each partition makes one Misra-Gries summary of fixed size; summaries merge in two steps. No pre-token is shuffled.
+    Groups beyond ``LONGEST`` characters are left out, so counters, summaries and the table are bounded in bytes too.
     """
     schema = "pieces array<string>, counts array<bigint>"
     each = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _summaries(it, path), schema)

@@ -83,3 +83,29 @@ def test_packing_on_nasty_rows(nasty, empty, tokenizer):
     rows = [(int(i) if i == i and i is not None else -1, p, s, n, c) for i, p, s, n, c in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)]
     assert sorted(rows) == sorted(want)
     assert best_fit_packing(empty, PATH).count() == 0
+
+
+def test_caches_are_bounded_in_characters(tokenizer):
+    """Unbroken texts, and Chinese without spaces, are encoded whole and leave nothing behind; words fill the cache up to its limit."""
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh漢字かな") for _ in range(30_000)) for _ in range(20)] + ["漢字" * 300, "x" * 1_000_000]
+    lengths, ids = LengthCache(PATH, {}, limit=5_000), IdCache(PATH, limit=5_000)
+    for t in long:
+        want = tokenizer.encode("a " + t, add_special_tokens=False).ids
+        assert lengths("a " + t) == len(want) and np.frombuffer(ids("a " + t), "<u4").tolist() == want
+    assert not lengths.lengths and not ids.ids
+    words = " ".join(f"word{i}" for i in range(3_000))
+    assert lengths(words) == len(tokenizer.encode(words, add_special_tokens=False).ids)
+    assert 50 < len(lengths.lengths) <= 125 and lengths.lengths.held <= 5_000
+
+
+def test_long_groups_are_no_counters():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from chronoweave.llm.token_counts import _summaries
+
+    texts = [f"the {'x' * 30_000}{i} end" for i in range(300)]
+    out = list(_summaries(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), PATH))
+    assert Counter(dict(zip(out[0].column(0).to_pylist()[0], out[0].column(1).to_pylist()[0], strict=True))) == {"end": 300}
