@@ -40,6 +40,16 @@ def cosine_scores(q_hash: np.ndarray, q_vectors: np.ndarray, f_hash: np.ndarray,
     return np.round(q_vectors @ f_vectors.T, 9)
 
 
+def _best_of_rows(score: np.ndarray, n: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``n`` best, the earlier column of equals first, none below ``floor``."""
+    least = np.full(len(score), -np.inf) if score.shape[1] <= n else np.partition(score, -n, axis=1)[:, -n]
+    row, place = np.nonzero(score >= np.maximum(least, -np.inf if floor is None else floor)[:, None])
+    order = np.lexsort((place, -score[row, place], row))
+    row, place = row[order], place[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < n], place[rank < n]
+
+
 def coarse_hits(queries: DataFrame, frames: DataFrame, source: str, n: int, scores: Callable = coarse_scores, floor: float | None = None, block: float = 600.0) -> DataFrame:
     """(source, query, time, coarse): the ``n`` best frames of each query's source by ``scores``, equal ones by time, none below ``floor``.
 
@@ -68,11 +78,9 @@ def coarse_hits(queries: DataFrame, frames: DataFrame, source: str, n: int, scor
             for start in range(0, left.num_rows, 256):
                 some = left.slice(start, 256)
                 score = scores(some.column("q__hash").to_numpy(), vectors(some.column("q__vector")), f_hash, f_vectors)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-                kept = np.take_along_axis(score, best, axis=1)
-                row, place = np.nonzero(kept >= (-np.inf if floor is None else floor))
+                row, place = _best_of_rows(score, n, floor)
                 pick = pa.array(row)
-                parts.append(pa.table({source: some.column(f"q__{source}").take(pick), "query": some.column("q__query").take(pick), "time": names.take(pa.array(best[row, place])), "coarse": kept[row, place]}))
+                parts.append(pa.table({source: some.column(f"q__{source}").take(pick), "query": some.column("q__query").take(pick), "time": names.take(pa.array(place)), "coarse": score[row, place]}))
         if not parts:
             return pa.table({**{k: pa.array([], to_arrow_type(v)) for k, v in kinds.items()}, "coarse": pa.array([], pa.float64())})
         return pa.concat_tables(parts)

@@ -123,3 +123,21 @@ def interpolate_anchors(df: DataFrame, keys: list[str], order: str, value: str)
     near = F.least(F.col(order) - F.last(at, ignorenulls=True).over(w.rowsBetween(*BEFORE)), F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) - F.col(order))
     conf = F.greatest(F.lit(0.2), F.least(F.lit(0.7), 0.7 * F.exp(-near / 60) + 0.2))
     return out.withColumn("distance", near).withColumn("confidence", conf).where(F.col(value).isNull())
+
+
+def similar_runs(df: DataFrame, key: str, row_id: str, hash_col: str, bits: int, block: int = 65_536) -> DataFrame:
+    """(key, first_id, last_id, n): runs of a key's rows, by a whole-number id, each at most ``bits`` bits from the row before.
+
+    Windows span a block of ids of one key. What a block must know of those before it, the last hash and where the last
+    run began, is one row for each block, so a key with most of the rows is many tasks.
+    """
+    rows = df.select(key, F.col(row_id).alias("__id"), F.col(hash_col).alias("__h"), F.floor(F.col(row_id) / block).alias("__block"))
+    own, blocks = Window.partitionBy(key, "__block").orderBy("__id"), Window.partitionBy(key).orderBy("__block")
+    last = rows.groupBy(key, "__block").agg(F.max_by("__h", "__id").alias("__last"))
+    before = last.select(key, "__block", F.lag("__last").over(blocks).alias("__before"))
+    near = F.bit_count(F.col("__h").bitwiseXOR(F.coalesce(F.lag("__h").over(own), F.when(F.row_number().over(own) == 1, F.col("__before"))))) <= bits
+    starts = rows.join(before, [key, "__block"]).withColumn("__start", F.when(~F.coalesce(near, F.lit(False)), F.col("__id")))
+    begun = starts.groupBy(key, "__block").agg(F.max("__start").alias("__begun")).select(key, "__block", F.last("__begun", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("__open"))
+    run = F.coalesce(F.last("__start", True).over(own), F.col("__open"))
+    runs = starts.join(begun, [key, "__block"]).withColumn("first_id", run)
+    return runs.groupBy(key, "first_id").agg(F.max("__id").alias("last_id"), F.count("*").alias("n")).select(key, "first_id", "last_id", "n")

@@ -14,23 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _best_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, first: Callable, gain: Callable, follows: Callable, least: int) -> DataFrame:
-    """The chain of rows with the highest sum: ``first(c)`` for its first row, ``gain(c)`` for each further one, where ``follows(before, value)``. Ties go to the earlier row."""
+def _ranked_chain(v: np.ndarray, c: np.ndarray, first: np.ndarray, more: np.ndarray, limits: np.ndarray, values: np.ndarray) -> tuple[list[int], float]:
+    """The best chain over rows in order: ``first`` is a row's sum as the first of a chain, ``more`` what it adds to one.
+
+    A row may follow those whose value is among the ``limits`` least of ``values``. A binary indexed tree over the ranks
+    of values holds the best sum of each prefix and its earliest row, so a row costs the logarithm of their number.
+    """
+    size, rank = len(values), np.searchsorted(values, v) + 1
+    tree = [(-np.inf, 0)] * (size + 1)  # (sum, minus the row): the greatest is the best sum, the earliest row of equals
+    best, back = np.array(first, dtype=float), np.full(len(v), -1)
+    for i, (reach, own) in enumerate(zip(limits.tolist(), rank.tolist(), strict=True)):
+        found, k = (-np.inf, 0), reach
+        while k > 0:
+            found = max(found, tree[k])
+            k &= k - 1
+        if found[0] + more[i] > best[i]:
+            best[i], back[i] = found[0] + more[i], -found[1]
+        entry, k = (float(best[i]), -i), own
+        while k <= size:
+            tree[k] = max(tree[k], entry)
+            k += k & -k
+    chain = [int(best.argmax())]
+    while back[chain[-1]] >= 0:
+        chain.append(int(back[chain[-1]]))
+    return chain[::-1], float(best.max())
+
+
+def _best_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, first: Callable, gain: Callable, limits: Callable, least: int) -> DataFrame:
+    """The chain of rows with the highest sum: ``first(c)`` for its first row, ``gain(c)`` for each further one, which follows values among the ``limits(values, v)`` least. Ties go to the earlier row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, row_id], kind="stable")
         v, c = pdf[value].to_numpy(float), pdf[confidence].to_numpy(float)
-        best, back, more = np.array(first(c), dtype=float), np.full(len(v), -1), gain(c)
-        for i in range(1, len(v)):
-            reach = np.where(follows(v[:i], v[i]), best[:i] + more[i], -np.inf)
-            j = int(reach.argmax())
-            if reach[j] > best[i]:
-                best[i], back[i] = reach[j], j
-        chain = [int(best.argmax())]
-        while back[chain[-1]] >= 0:
-            chain.append(int(back[chain[-1]]))
-        chain = chain[::-1] if len(chain) >= least else []
-        return pdf.iloc[chain][[key, row_id, order, value]].assign(score=round(float(best.max()), 6))
+        values = np.unique(v)
+        chain, score = _ranked_chain(v, c, first(c), gain(c), limits(values, v), values)
+        chain = chain if len(chain) >= least else []
+        return pdf.iloc[chain][[key, row_id, order, value]].assign(score=round(score, 6))
 
     kinds = dict(df.dtypes)
     return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {row_id} {kinds[row_id]}, {order} {kinds[order]}, {value} {kinds[value]}, score double")
@@ -38,12 +57,12 @@ def _best_chain(df: DataFrame, key: str, order: str, value: str, confidence: str
 
 def increasing_subset(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str) -> DataFrame:
     """The heaviest strictly increasing run of ``value``: each further row scores 1 + 0.1 * its confidence, the first scores 1."""
-    return _best_chain(df, key, order, value, confidence, row_id, np.ones_like, lambda c: 1 + 0.1 * c, lambda before, v: before < v, 1)
+    return _best_chain(df, key, order, value, confidence, row_id, np.ones_like, lambda c: 1 + 0.1 * c, lambda values, v: np.searchsorted(values, v, side="left"), 1)
 
 
 def anchor_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, slack: float = 5.0, least: int = 3) -> DataFrame:
     """The chain of most confidence in which no value falls more than ``slack`` below the one before; shorter chains than ``least`` are dropped."""
-    return _best_chain(df, key, order, value, confidence, row_id, lambda c: c, lambda c: c, lambda before, v: before - slack <= v, least)
+    return _best_chain(df, key, order, value, confidence, row_id, lambda c: c, lambda c: c, lambda values, v: np.searchsorted(values - slack, v, side="right"), least)
 
 
 #: Costs and limits of one matched row after another: fixed values. Pairs are (for any order, for a kept order).

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.vectors import hamming
+from chronoweave.operators.coarse import coarse_hits, cosine_scores
 
-#: Rows of queries in one broadcast block.
-BLOCK = 4_096
+#: Ids of queries and of rows in one cell of a search.
+BLOCK = 32_768
 
 
-def hamming_pairs(df: DataFrame, hash_col: str, radius: int, bits: int = 60) -> DataFrame:
+def hamming_pairs(df: DataFrame, hash_col: str, radius: int, bits: int = 60, agree: int = 3) -> DataFrame:
     """(a, b, distance): different hash values at most ``radius`` bits apart, a < b; members of one value are not paired.
 
-    Values within the radius agree in one of ``radius`` + 1 bands of bits at least, so the join on (band, its bits) finds
-    all of them. Values are made distinct first: copies never multiply.
+    Of ``radius`` + ``agree`` bands of bits, values within the radius agree in ``agree`` at least, so the join on (which
+    bands, their bits) finds all of them. A key has half of all bits or so: with radius 3, 30 of 60, so unrelated values
+    hardly meet. Values are made distinct first: copies never multiply.
     """
     values = df.select(F.col(hash_col).alias("h")).where("h is not null").distinct()
-    edges = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    banded = values.select("h", F.explode(band).alias("s")).select("h", "s.band", "s.bits")
-    pairs = banded.alias("x").join(banded.alias("y"), ["band", "bits"]).where("x.h < y.h")
+    n = radius + agree
+    edges = [round(i * bits / n) for i in range(n + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in some) for some in combinations(range(n), agree)]
+    keys = F.array(*[F.struct(F.lit(i).alias("bands"), F.col("h").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
+    keyed = values.select("h", F.explode(keys).alias("s")).select("h", "s.bands", "s.bits")
+    pairs = keyed.alias("x").join(keyed.alias("y"), ["bands", "bits"]).where("x.h < y.h")
     found = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), hamming(F.col("x.h"), F.col("y.h")).alias("distance"))
     return found.where(F.col("distance") <= radius).distinct()
 
@@ -47,47 +50,17 @@ def bucket_pairs(queries: DataFrame, rows: DataFrame, radius: int, masks: list[l
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", same: bool = False, block: int = BLOCK) -> DataFrame:
     """(query, row, similarity, rank): the ``k`` rows of highest inner product for each query; ties go to the lower row id.
 
-    Queries go out in blocks of bounded size. Each batch of rows is multiplied with a block and keeps its best ``k`` for
-    each query, so what shuffles is k rows for each query and batch, and the final ranking sees no more. ``same``: whether a row
-    with the query's own id counts.
+    Queries and rows meet in cells of ``block`` ids on either side: one pass, and nothing goes through the driver. A cell
+    keeps its best rows for each query, so the final ranking sees a few rows for each query and block. ``same``: whether
+    a row with the query's own id counts.
     """
-    out = None
-    numbered = queries.select(F.col(query_id).cast("long").alias("query"), F.col(vector).alias("v"))
-    held: list = []
-
-    def search(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rid = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = np.stack([np.asarray(v, float) for v in batch.column(1).to_pylist()])
-                score = np.round(matrix @ vectors.T, 9)
-                if not same:
-                    score[ids[:, None] == rid[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(rid, score.shape), -score), axis=1)[:, :k]
-                top = np.take_along_axis(score, order, axis=1)
-                ok = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(rid[order][ok]), pa.array(top[ok])], ["query", "row", "similarity"])
-
-        return run
-
-    def flush(out):
-        ids = np.array([r["query"] for r in held], np.int64)
-        found = rows.select(F.col(row_id).cast("long"), vector).mapInArrow(search(ids, np.array([r["v"] for r in held], float)), "query bigint, row bigint, similarity double")
-        held.clear()
-        return found if out is None else out.unionByName(found)
-
-    for row in numbered.where("v is not null").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out = flush(out)
-    if held:
-        out = flush(out)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query bigint, row bigint, similarity double, rank int")
+    side = lambda df, own: df.select(F.lit(0).alias("all"), F.col(own).cast("long").alias("id"), F.lit(0).cast("long").alias("hash"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    q = side(queries, query_id).withColumnRenamed("id", "query").withColumn("q_time", F.col("query").cast("double"))
+    hits = coarse_hits(q, side(rows, row_id).withColumnRenamed("id", "time"), "all", k if same else k + 1, cosine_scores, block=float(block))
+    hits = hits.select("query", F.col("time").alias("row"), F.col("coarse").alias("similarity"))
+    hits = hits if same else hits.where("query <> row")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bucket_vote(hits: DataFrame, query_group: str, offset: str, hit_time: str, similarity: str, step: float) -> DataFrame:

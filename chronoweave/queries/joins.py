@@ -10,6 +10,7 @@ from chronoweave.functions import vectors as V
 from chronoweave.functions.fuzzy import block_ratio
 from chronoweave.functions.scoring import fuzzy_confidence
 from chronoweave.operators import similarity as M
+from chronoweave.operators.intervals import similar_runs
 from chronoweave.tables import table
 
 c = F.col
@@ -64,10 +65,7 @@ def roundtrip_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive rows (by source and id) whose hashes are within one bit."""
     d = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("h"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    dup = V.hamming(c("h"), F.lag("h").over(w)) <= 1
-    d = d.withColumn("dup", F.coalesce(dup, F.lit(False))).withColumn("run", F.sum(F.when(c("dup"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy("source", "run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).select("source", "first_id", "last_id", "n")
+    return similar_runs(d, "source", "doc_id", "h", 1)
 
 
 #: Periods of a cycle, bits that two equal rows may differ in, and the share of a period that must be equal: fixed values.
@@ -83,9 +81,10 @@ def cycle_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     the table.
     """
     scene = F.floor(c("vec_id") / 60)
-    # Scenes of 60 rows go round with a period of their own; a few bits differ, and some rows show their label instead.
-    picture = F.when(c("vec_id") % 50 == 0, F.concat_ws(":", "label", "vec_id")).otherwise(F.concat_ws(":", scene, c("vec_id") % (3 + scene % 14)))
-    e = table(spark, sf_dir, "embeddings", "vec_id", "label").select("vec_id", F.conv(F.substring(F.md5(picture), 1, 15), 16, 10).cast("long").bitwiseXOR(c("vec_id") % 4).alias("h"))
+    # Scenes of 60 rows go round their first rows with a period of their own; a few bits differ, and some rows show themselves.
+    shown = F.when(c("vec_id") % 50 == 0, c("vec_id")).otherwise(scene * 60 + c("vec_id") % (3 + scene % 14))
+    signed = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(c("vec_id").alias("shown"), V.sign_bits(c("embedding")).alias("s"))
+    e = table(spark, sf_dir, "embeddings", "vec_id").withColumn("shown", shown).join(signed, "shown").select("vec_id", c("s").bitwiseXOR(c("vec_id") % 4).alias("h"))
     reach = 2 * max(PERIODS)
     block = F.floor(c("vec_id") / CYCLE_BLOCK)
     earlier = F.floor((c("vec_id") - reach) / CYCLE_BLOCK)
@@ -203,7 +202,8 @@ SELECT x.h AS a, y.h AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM d x
 f AS (SELECT *, CASE WHEN bit_count(xor(h, lag(h) OVER (PARTITION BY source ORDER BY doc_id))) <= 1 THEN 0 ELSE 1 END AS new FROM d),
 r AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT source, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM r GROUP BY source, run""",
-    "cycle_detect": """WITH e AS (SELECT vec_id, xor(('0x' || substr(md5(CASE WHEN vec_id % 50 = 0 THEN concat(label, ':', vec_id) ELSE concat(vec_id // 60, ':', vec_id % (3 + vec_id // 60 % 14)) END), 1, 15))::BIGINT, vec_id % 4) AS h FROM embeddings),
+    "cycle_detect": """WITH sg AS (SELECT vec_id AS shown, list_sum(list_transform(range(0, 60), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT AS s FROM embeddings),
+e AS (SELECT vec_id, xor(s, vec_id % 4) AS h FROM embeddings JOIN sg ON shown = CASE WHEN vec_id % 50 = 0 THEN vec_id ELSE vec_id // 60 * 60 + vec_id % (3 + vec_id // 60 % 14) END),
 p AS (SELECT *, unnest(range(3, 16)) AS period FROM e), s AS (SELECT p.vec_id, period, CASE WHEN bit_count(xor(p.h, e.h)) <= 3 THEN 1 ELSE 0 END AS same FROM p JOIN e ON e.vec_id = p.vec_id + period),
 k AS (SELECT vec_id, period, sum(same) OVER (PARTITION BY period ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND period - 1 FOLLOWING) AS n FROM s),
 g AS (SELECT k.* FROM k JOIN e ON e.vec_id = k.vec_id + 2 * period WHERE n >= 0.95 * period)

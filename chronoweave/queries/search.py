@@ -14,6 +14,8 @@ from chronoweave.tables import table
 c = F.col
 E6 = lambda x: F.round(x + 1e-9, 6)
 SCALES = (0.95, 1.0, 1.05)
+#: Elements that a row's three scales look at.
+SCALE_LENGTHS = (24, 32, 48)
 
 
 def _frames(spark, sf_dir) -> DataFrame:
@@ -105,11 +107,14 @@ def hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three hashes of a row fused bit by bit: softmax weights of their variances vote; and the distance of the first two rows' scales weighed likewise."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
-    scales = [V.hex_bits(F.substring(F.md5(F.concat_ws(":", F.lit(k), c("vec_id"))), 1, 16)) for k in (24, 32, 48)]
-    variance = [(c("vec_id") * k % 97 + 1) / 10 for k in (3, 7, 11)]
-    return e.select("vec_id", V.bits_hex(V.fused_bits(scales, variance)).alias("fused"))
+    """Hashes of three scales of a row, runs of its signs, fused bit by bit: softmax weights of the scales' powers vote; and how many bits the fused hash differs from that of the next row."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    signs = lambda n: F.array_join(F.transform(F.slice("embedding", 1, n), lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    power = lambda n: F.round(F.aggregate(F.slice("embedding", 1, n), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 6)
+    fused = e.select("vec_id", V.fused_bits([V.hex_bits(F.substring(F.md5(signs(n)), 1, 16)) for n in SCALE_LENGTHS], [power(n) for n in SCALE_LENGTHS]).alias("bits"))
+    other = fused.select((c("vec_id") - 1).alias("vec_id"), c("bits").alias("next"))
+    off = F.aggregate(F.zip_with("bits", "next", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return fused.join(other, "vec_id", "left").select("vec_id", V.bits_hex(c("bits")).alias("fused"), off.alias("distance"))
 
 
 def active_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +160,11 @@ z AS (SELECT *, round(-abs(ln(greatest(ratio, 0.01))) + CASE WHEN ratio BETWEEN
 SELECT doc_id, k AS choice, round(score, 5) AS score FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) = 1""",
     "polish_durations": f"SELECT doc_id, round({_POLISH('text')} + 1e-9, 6) AS polish, round(length(text) / 4e0 + length(regexp_replace(text, '[^，。！？、；：（）\"]', '', 'g')) * 0.2e0 + 1e-9, 2) AS client FROM documents",
     "hash_bits": f"WITH d AS (SELECT doc_id, substr(md5(text), 1, 16) AS hex FROM documents) SELECT doc_id, array_to_string({_BITS16('hex')}, '') AS bits, hex FROM d",
-    "fused_hashes": f"""WITH e AS (SELECT vec_id, {", ".join(f"substr(md5('{k}:' || vec_id), 1, 16) AS h{k}, (vec_id * {m} % 97 + 1) / 10 AS v{k}" for k, m in ((24, 3), (32, 7), (48, 11)))} FROM embeddings),
+    "fused_hashes": f"""WITH e AS (SELECT vec_id, {", ".join(f"substr(md5(array_to_string(list_transform(embedding[1:{k}], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')), 1, 16) AS h{k}, round(list_dot_product(embedding[1:{k}]::DOUBLE[], embedding[1:{k}]::DOUBLE[]), 6) AS v{k}" for k in SCALE_LENGTHS)} FROM embeddings),
 x AS (SELECT *, (v24 + v32 + v48) / 3 + 1e-6 AS mv FROM e), w AS (SELECT *, exp(v24 / mv) AS e24, exp(v32 / mv) AS e32, exp(v48 / mv) AS e48 FROM x),
 b AS (SELECT *, {_BITS16('h24')} AS b24, {_BITS16('h32')} AS b32, {_BITS16('h48')} AS b48 FROM w),
-f AS (SELECT vec_id, list_transform(range(1, 65), lambda i: ((b24[i] * e24 + b32[i] * e32 + b48[i] * e48) / (e24 + e32 + e48) > 0.5)::INT) AS bits FROM b) SELECT vec_id, {_HEX16('bits')} AS fused FROM f""",
+f AS (SELECT vec_id, list_transform(range(1, 65), lambda i: ((b24[i] * e24 + b32[i] * e32 + b48[i] * e48) / (e24 + e32 + e48) > 0.5)::INT) AS bits FROM b)
+SELECT a.vec_id, {_HEX16('a.bits')} AS fused, list_sum(list_transform(list_zip(a.bits, n.bits), lambda z: (z[1] <> z[2])::INT))::BIGINT AS distance FROM f AS a LEFT JOIN f AS n ON n.vec_id = a.vec_id + 1""",
     "active_regions": f"""WITH {SEGMENT_SQL}, r AS (SELECT project, id AS region, CASE WHEN idx % 3 > 0 THEN start END AS f, CASE WHEN idx % 3 > 1 THEN start + 100 END AS t,
  {", ".join(f"round(greatest(0, least(1, {v})) + 1e-9, 6) AS {n}" for v, n in (("gap / 4 - 0.2", "x1"), ("audio * 1.3 - 0.1", "y1"), ("gap / 4 - 0.2 + 0.5", "x2"), ("audio * 1.3 - 0.1 + 0.2", "y2")))} FROM seg WHERE idx < 6)
 SELECT s.id, count(*) AS n, round(sum((x2 - x1) * (y2 - y1)), 6) AS area FROM seg AS s JOIN r ON s.project = r.project AND x2 - x1 >= 0.01 AND y2 - y1 >= 0.01 AND (f IS NULL OR s.start >= f) AND (t IS NULL OR s.start <= t) GROUP BY s.id""",
