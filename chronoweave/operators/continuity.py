@@ -20,6 +20,7 @@ CARRY_GAP, ISLAND_GAP, BRIDGE_GAP = (-0.05, 0.35), (-0.05, 0.45), (-0.08, 0.55)
 CARRY_STEPS, CARRY_REACH = (-6.0, -4.0, -2.0, -1.0, 1.0, 2.0, 4.0, 6.0), (0.95, 0.55)
 ISLAND_STEPS, ISLAND_REACH = (-0.75, -0.50, -0.25, 0.25, 0.50, 0.75), (0.58, 0.50)
 BRIDGE_STEPS, BRIDGE_REACH = (-1.0, -0.5, 0.5, 1.0, 2.0, 3.5), 0.70
+REFINE_STEPS, REFINE_REACH = (-1.25, -1.0, -0.75, -0.50, -0.25, 0.25, 0.50, 0.75, 1.0, 1.25), 0.45
 #: What a second off the expected place costs, and at most.
 STEP_COST = (0.006, 0.05)
 #: (margin, least score) of a replacement: neighbours that look apart, alike, and alike with the source going back.
@@ -149,7 +150,20 @@ def bridged(rows: Iterable, end: float) -> Iterator:
     return with_neighbours(rows, mend)
 
 
-REPAIRS = {"carry": carried_on, "islands": off_islands, "bridges": bridged}
+def refined(rows: Iterable, end: float) -> Iterator:
+    """Each matched row moved within ``REFINE_STEPS`` of its place to where it scores best, if that is worth it."""
+    for r in rows:
+        if r.s0 is not None and r.places:
+            length, at = _length(r), max(0.0, r.s0)
+            now = _look(r.places, at, REFINE_REACH)
+            tried = [(at, now)] + [(p, _look(r.places, p, REFINE_REACH)) for p in (max(0.0, at + s) for s in REFINE_STEPS) if _fits(p, length, end)]
+            place, score = max(tried, key=lambda t: t[1])
+            if abs(place - at) >= 0.08 and score >= 0.58 and (score >= now + 0.035 or (now < 0.68 and score >= now + 0.020)):
+                r = r._replace(s0=place, s1=place + length, confidence=max(r.confidence, score), state="refined")
+        yield r
+
+
+REPAIRS = {"refine": refined, "carry": carried_on, "islands": off_islands, "bridges": bridged}
 
 
 def mended_chunks(chunks: DataFrame, scores: DataFrame, keys: list[str], source_end: float = 0.0, repairs: tuple[str, ...] = ("carry", "islands", "bridges")) -> DataFrame:
@@ -157,7 +171,7 @@ def mended_chunks(chunks: DataFrame, scores: DataFrame, keys: list[str], source_
 
     ``chunks``: keys, id, idx (order), t0, t1, s0, s1, confidence, breaks (a cut at its start), stability, low_info,
     identity, corrected, follows (how alike it looks to the chunk before). ``scores``: id, place, score; a chunk's
-    places travel with it. state: kept, none (no match), carried, filled, island or bridge.
+    places travel with it. state: kept, none (no match), carried, filled, island, bridge or refined.
     """
     unknown = set(repairs) - REPAIRS.keys()
     if unknown:

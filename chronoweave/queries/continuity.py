@@ -50,7 +50,12 @@ def mended_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mended(spark, sf_dir, "carry", "islands", "bridges").groupBy("project").pivot("state", ["kept", "none", "carried", "filled", "island", "bridge"]).count().na.fill(0)
 
 
-QUERIES = {f.__name__: f for f in (chunk_continuity, source_islands, neighbour_bridges, mended_chunks)}
+def refined_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched shots moved by up to 1.25 seconds to where they score best."""
+    return _mended(spark, sf_dir, "refine")
+
+
+QUERIES = {f.__name__: f for f in (refined_offsets, chunk_continuity, source_islands, neighbour_bridges, mended_chunks)}
 
 _BASE = f"""WITH RECURSIVE {SHOT_SQL}, tab AS (SELECT id, list({{'p': place, 's': score}} ORDER BY place, score) AS tab FROM (
  SELECT id, home + k * 0.75 AS place, {_SCORE} AS score FROM (SELECT *, unnest(range(-8, 9)) AS k FROM shot) UNION ALL SELECT id, m0, confidence FROM shot WHERE m0 IS NOT NULL) GROUP BY id),
@@ -100,6 +105,10 @@ def _again(name: str, before: str) -> str:
 
 
 ORACLES = {
+    "refined_offsets": f"""{_BASE}, r AS (SELECT b.*, [struct_pack(p := greatest(0e0, b.s0), s := {_look("greatest(0e0, b.s0)", "0.45")}), {", ".join(f"struct_pack(p := greatest(0e0, greatest(0e0, b.s0) + {o}), s := {_look(f'greatest(0e0, greatest(0e0, b.s0) + {o})', '0.45')})" for o in ("-125e-2", "-1e0", "-75e-2", "-5e-1", "-25e-2", "25e-2", "5e-1", "75e-2", "1e0", "125e-2"))}] AS tried FROM b1 AS b),
+f0 AS (SELECT *, list_concat(tried[1:1], list_filter(tried[2:], lambda x: x.p + len <= {END})) AS ok FROM r), f1 AS (SELECT *, list_transform(ok, lambda x: x.s) AS net FROM f0), f2 AS (SELECT *, ok[list_position(net, list_max(net))] AS best, ok[1] AS now FROM f1),
+f3 AS (SELECT *, s0 IS NOT NULL AND abs(best.p - now.p) >= 0.08 AND best.s >= 0.58 AND (best.s >= now.s + 0.035 OR now.s < 0.68 AND best.s >= now.s + 0.02) AS m FROM f2),
+f AS (SELECT project, id, CASE WHEN m THEN best.p ELSE s0 END AS s0, CASE WHEN m THEN best.p + len ELSE s1 END AS s1, CASE WHEN m THEN greatest(confidence, best.s) ELSE confidence END AS confidence, CASE WHEN m THEN 'refined' ELSE state END AS state FROM f3) SELECT project, id, {_SHOW} FROM f""",
     "chunk_continuity": f"{_BASE}, {_fold('f', 'b1', _CARRY)} SELECT project, id, {_SHOW} FROM f",
     "source_islands": f"{_BASE}, {_fold('f', 'b1', _ISLAND)} SELECT project, id, {_SHOW} FROM f",
     "neighbour_bridges": f"{_BASE}, {_fold('f', 'b1', _BRIDGE)} SELECT project, id, {_SHOW} FROM f",
