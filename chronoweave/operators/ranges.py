@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.continuity import _look
-from chronoweave.operators.scans import joined, near_any, ordered_scan
+from chronoweave.operators.scans import joined, near_any, ordered_scan, with_neighbours
 
 #: Seconds up to which ranges touch on the target, and within which a cut protects a border: fixed values.
 TOUCH, CUT_REACH = 0.05, 0.08
@@ -31,6 +31,10 @@ ANCHOR_JUMP = (4.0, 2.0)
 CHECKS, LOW, LOW_SHOWN, SHORT_ONE, JUMPS, LOOK = 72, 0.70, 0.78, (1.25, 0.82, 0.86), (1.20, 1.35, 0.88), 0.30
 #: Gain and least score that a replacement needs: of a poor range, of one that jumps less then, of others.
 POOR, GAINS, LEAST = 0.62, (0.010, 0.018, 0.035), (0.66, 0.72)
+#: Excursions: longest, least jump there and back, how near it comes back. Jumps at no cut: least length, jumps that are judged, margin.
+AWAY, AWAY_JUMP, AWAY_BACK, JUDGED_LENGTH, NO_CUT_JUMPS, NO_CUT_MARGIN = 2.25, 20.0, 8.0, 0.18, (0.35, 18.0), 0.18
+#: Steps back that are judged, their margin, and what short ranges get besides.
+STEPS_BACK, BACK_MARGIN, SHORT_MARGIN = (0.35, 120.0), 0.13, 0.05
 #: Seeds: reach of overlap, of distance (seconds, multiples), shares of base score and overlap, how many rows and seeds.
 OVERLAP_REACH, NEAR, SEED_SHARES, RELATED, SEEDS, LAST_SEED = 0.45, (1.6, 1.2), (0.62, 0.38), 4, 4, 0.45
 
@@ -255,3 +259,61 @@ def rechecked_ranges(ranges: DataFrame, seeds: DataFrame, scores: DataFrame, cut
     marked = near_any(ranges, keys, ["id"], "t0", cuts, "at", CUT_REACH, "cut_in")
     read = marked.join(seeds, [*keys, "id"], "left").join(places, "id", "left").select(*keys, "id", "t0", "t1", "s0", "s1", "inferred", "score", "cut_in", "seeds", "places")
     return ordered_scan(read, keys, ["t0", "id"], lambda rows: _recheck(rows, source_end, checks), f"id {ranges.schema['id'].dataType.simpleString()}, {RANGE}, state string")
+
+
+def _without_excursions(rows: Iterable, end: float) -> Iterator:
+    """A short range far away from two that follow each other is put behind the first or before the second, where it scores better."""
+
+    def mend(before, r, after):
+        there, back = r.s0 - before.s1, after.s0 - r.s1
+        alone = _length(r) <= AWAY and abs(r.t0 - before.t1) <= TOUCH and abs(after.t0 - r.t1) <= TOUCH
+        if not alone or min(abs(there), abs(back)) < AWAY_JUMP or there * back >= 0 or abs(after.s0 - before.s1) > AWAY_BACK:
+            return r
+        places = [p for p in (before.s1, max(0.0, after.s0 - _length(r))) if end <= 0 or p + _length(r) <= end]
+        place, score = max(((p, _look(r.places, p, LOOK)) for p in places), key=lambda t: t[1], default=(before.s1, 0.0))
+        return r._replace(s0=place, s1=place + _length(r), inferred=True, score=score)
+
+    return with_neighbours(rows, mend)
+
+
+def _carried_over(rows: Iterable, end: float, judged, margin) -> Iterator:
+    """Ranges that jump where the target doesn't cut go on from the one before if they score nearly as well there; what goes on joins."""
+    before = None
+    for r in rows:
+        if before is not None:
+            on, length = before.s1, _length(r)
+            if length >= JUDGED_LENGTH and _meet(before, r) and judged(r.s0 - on) and (end <= 0 or on + length <= end):
+                now, then = _look(r.places, r.s0, LOOK), _look(r.places, on, LOOK)
+                if then >= now - margin(length):
+                    r = r._replace(s0=on, s1=on + length, inferred=True, score=max(then, min(r.score, now)))
+            if _goes_on(before, r):
+                before = _merge(end, before, r)
+                continue
+            yield before
+        before = r
+    if before is not None:
+        yield before
+
+
+def _without_jumps(rows: Iterable, end: float) -> Iterator:
+    return _carried_over(rows, end, lambda jump: NO_CUT_JUMPS[0] < abs(jump) <= NO_CUT_JUMPS[1], lambda length: NO_CUT_MARGIN)
+
+
+def _without_steps_back(rows: Iterable, end: float) -> Iterator:
+    return _carried_over(rows, end, lambda jump: STEPS_BACK[0] < -jump <= STEPS_BACK[1], lambda length: BACK_MARGIN + SHORT_MARGIN * (length <= FLICKER))
+
+
+def repaired_ranges(ranges: DataFrame, scores: DataFrame, cuts: DataFrame, keys: list[str], source_end: float = 0.0) -> DataFrame:
+    """(keys, place, range) after three repairs, each over what the one before left: excursions that come straight back, jumps where nothing cuts, local steps back.
+
+    ``scores``: id, place, score; what a range scores at another place decides whether it moves there.
+    """
+    places = scores.where("place is not null and score is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).alias("places"))
+    marked = near_any(ranges, keys, ["id"], "t0", cuts, "at", CUT_REACH, "cut_in").join(places, "id", "left")
+
+    def scan(rows: Iterable) -> Iterator[tuple]:
+        rows = _without_steps_back(_without_jumps(_without_excursions(rows, source_end), source_end), source_end)
+        return ((place, r.t0, r.t1, r.s0, r.s1, r.inferred, r.score) for place, r in enumerate(rows))
+
+    read = marked.withColumn("cut_out", F.lit(False)).select(*keys, "id", "t0", "t1", "s0", "s1", "inferred", "score", "cut_in", "cut_out", "places")
+    return ordered_scan(read, keys, ["t0", "id"], scan, f"place bigint, {RANGE}")

@@ -64,7 +64,16 @@ def rechecked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("project", "id", E6(c("s0")).alias("s0"), E6(c("s1")).alias("s1"), "inferred", E6(c("score")).alias("score"), "state")
 
 
-QUERIES = {f.__name__: f for f in (smoothed_ranges, locked_ranges, continuous_ranges, restore_seeds, rechecked_ranges)}
+def repaired_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched shots after the repairs of excursions, of jumps without a cut and of steps back."""
+    s = shots(spark, sf_dir).where("m0 is not null")
+    grid = s.selectExpr("id", f"explode(array({', '.join(_STEPS)})) as o", "home", "value").selectExpr("id", "home + o as place", f"{_FOUND} as score")
+    cuts = s.where("event_type = 'purchase' and id % 2 = 0").select("project", (c("t0") + 0.05).alias("at"))
+    ranges = s.select("project", "id", "t0", "t1", c("m0").alias("s0"), c("m1").alias("s1"), (c("event_type") == "error").alias("inferred"), c("confidence").alias("score"))
+    return _shown(R.repaired_ranges(ranges, grid.unionByName(s.select("id", c("m0").alias("place"), c("stability").alias("score"))), cuts, ["project"], SOURCE_END))
+
+
+QUERIES = {f.__name__: f for f in (smoothed_ranges, locked_ranges, continuous_ranges, restore_seeds, rechecked_ranges, repaired_ranges)}
 
 _FIELDS = ("t0", "t1", "s0", "s1", "inferred", "score", "cut_in", "cut_out")
 _MEET = "abs(b.t0 - a.t1) <= 0.05 AND NOT b.cut_in"
@@ -93,6 +102,21 @@ sd AS (SELECT project, id, start, score, row_number() OVER (PARTITION BY project
 _LOOKED = lambda at: f"coalesce(list_max(list_transform(list_filter(b.tab, lambda x: abs(x.p - ({at})) <= 0.3), lambda x: x.s)), 0e0)"
 _OUT = "round(t0 + 1e-9, 6) AS t0, round(t1 + 1e-9, 6) AS t1, round(s0 + 1e-9, 6) AS s0, round(s1 + 1e-9, 6) AS s1, inferred, round(score + 1e-9, 6) AS score"
 
+
+
+def _carried(name: str, source: str, judged: str, margin: str) -> str:
+    """Ranges that go on from the one before instead, and join then: a is the range so far, b the next row, n what it becomes."""
+    return f"""{name}_f AS (SELECT project, k, t0, t1, s0, s1, inferred, score, cut_in, tab, len, k AS run FROM {source} WHERE k = 1
+ UNION ALL SELECT b.project, b.k, CASE WHEN j THEN a.t0 ELSE b.t0 END, b.t1, CASE WHEN j THEN m.x0 ELSE n.s0 END, CASE WHEN j THEN m.x1 ELSE n.s1 END, CASE WHEN j THEN a.inferred OR n.inferred ELSE n.inferred END, CASE WHEN j THEN least(a.score, n.score) ELSE n.score END,
+  CASE WHEN j THEN a.cut_in ELSE b.cut_in END, CASE WHEN j THEN a.tab ELSE b.tab END, CASE WHEN j THEN greatest(0e0, b.t1 - a.t0) ELSE b.len END, CASE WHEN j THEN a.run ELSE b.k END FROM {name}_f AS a JOIN {source} AS b ON b.project = a.project AND b.k = a.k + 1,
+ LATERAL (SELECT {_LOOKED("b.s0")} AS now, {_LOOKED("a.s1")} AS then_) AS l, LATERAL (SELECT b.len >= 0.18 AND {_MEET} AND {judged} AND a.s1 + b.len <= {SOURCE_END} AND then_ >= now - {margin} AS moves) AS v,
+ LATERAL (SELECT CASE WHEN moves THEN a.s1 ELSE b.s0 END AS s0, CASE WHEN moves THEN a.s1 + b.len ELSE b.s1 END AS s1, b.inferred OR moves AS inferred, CASE WHEN moves THEN greatest(then_, least(b.score, now)) ELSE b.score END AS score) AS n,
+ LATERAL (SELECT {_MEET} AND abs(n.s0 - a.s1) <= 0.8 AS j, greatest(0e0, b.t1 - a.t0) AS total) AS g,
+ LATERAL (SELECT CASE WHEN a.s0 + total > {SOURCE_END} THEN greatest(0e0, {SOURCE_END} - total) ELSE a.s0 END AS x0, CASE WHEN a.s0 + total > {SOURCE_END} THEN {SOURCE_END} ELSE a.s0 + total END AS x1) AS m),
+{name}_l AS (SELECT * FROM {name}_f QUALIFY k = max(k) OVER (PARTITION BY project, run)),
+{name} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY project ORDER BY run) AS k) FROM {name}_l)"""
+
+
 ORACLES = {
     "smoothed_ranges": f"""WITH RECURSIVE {SHOT_SQL}, cut AS (SELECT project, t0 + 0.05 AS mark FROM shot WHERE event_type = 'purchase' AND id % 2 = 0),
 near AS (SELECT s.id, bool_or(mark >= t0 - 0.08 AND mark <= t0 + 0.08) AS cut_in, bool_or(mark >= t1 - 0.08 AND mark <= t1 + 0.08) AS cut_out FROM shot AS s JOIN cut USING (project) GROUP BY s.id),
@@ -145,4 +169,15 @@ f AS (SELECT project, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::DOUBLE AS t1, NU
  LATERAL (SELECT CASE WHEN -top.m + b.len > {SOURCE_END} THEN greatest(0e0, {SOURCE_END} - b.len) ELSE -top.m END AS x0, CASE WHEN -top.m + b.len > {SOURCE_END} THEN {SOURCE_END} ELSE -top.m + b.len END AS x1) AS g,
  LATERAL (SELECT coalesce(due AND top.new >= CASE WHEN b.now < 0.62 THEN 0.66 ELSE 0.72 END AND top.new >= b.now + CASE WHEN b.now < 0.62 THEN 0.01 WHEN jumps OR coalesce(abs(x0 - e) + 0.4 < abs(jump), FALSE) THEN 0.018 ELSE 0.035 END, FALSE) AS ok) AS w)
 SELECT project, id, round(s0 + 1e-9, 6) AS s0, round(s1 + 1e-9, 6) AS s1, inferred, round(score + 1e-9, 6) AS score, state FROM f WHERE k > 0""",
+    "repaired_ranges": f"""WITH RECURSIVE {SHOT_SQL}, s AS (SELECT * FROM shot WHERE m0 IS NOT NULL), cut AS (SELECT project, t0 + 0.05 AS mark FROM s WHERE event_type = 'purchase' AND id % 2 = 0), near AS (SELECT s.id, bool_or(mark >= t0 - 0.08 AND mark <= t0 + 0.08) AS cut_in FROM s JOIN cut USING (project) GROUP BY s.id),
+tab AS (SELECT id, list({{'p': place, 's': score}}) AS tab FROM (SELECT id, home + o AS place, {_FOUND} AS score FROM (SELECT *, unnest([{", ".join(_STEPS)}]) AS o FROM s) UNION ALL SELECT id, m0, stability FROM s) GROUP BY id),
+r0 AS (SELECT s.project, row_number() OVER w AS k, t0, t1, m0 AS s0, m1 AS s1, event_type = 'error' AS inferred, confidence AS score, coalesce(cut_in, FALSE) AS cut_in, tab, lead(t0) OVER w AS n_t0, lead(m0) OVER w AS n_s0, greatest(0e0, t1 - t0) AS len FROM s LEFT JOIN near USING (id) JOIN tab USING (id) WINDOW w AS (PARTITION BY s.project ORDER BY t0, s.id)),
+x AS (SELECT project, k, t0, t1, s0, s1, inferred, score, cut_in, tab, len FROM r0 WHERE k = 1
+ UNION ALL SELECT b.project, b.k, b.t0, b.t1, CASE WHEN j THEN best.p ELSE b.s0 END, CASE WHEN j THEN best.p + b.len ELSE b.s1 END, b.inferred OR j, CASE WHEN j THEN best.s ELSE b.score END, b.cut_in, b.tab, b.len FROM x AS a JOIN r0 AS b ON b.project = a.project AND b.k = a.k + 1,
+ LATERAL (SELECT coalesce(b.len <= 2.25 AND abs(b.t0 - a.t1) <= 0.05 AND abs(b.n_t0 - b.t1) <= 0.05 AND abs(b.s0 - a.s1) >= 20 AND abs(b.n_s0 - b.s1) >= 20 AND (b.s0 - a.s1) * (b.n_s0 - b.s1) < 0 AND abs(b.n_s0 - a.s1) <= 8, FALSE) AS j) AS c1,
+ LATERAL (SELECT list_filter([{{'p': a.s1, 's': {_LOOKED("a.s1")}}}, {{'p': greatest(0e0, b.n_s0 - b.len), 's': {_LOOKED("greatest(0e0, b.n_s0 - b.len)")}}}], lambda q: q.p + b.len <= {SOURCE_END}) AS ok) AS c2,
+ LATERAL (SELECT coalesce(ok[list_position(list_transform(ok, lambda q: q.s), list_max(list_transform(ok, lambda q: q.s)))], {{'p': a.s1, 's': 0e0}}) AS best) AS c3),
+{_carried("y", "x", "abs(b.s0 - a.s1) > 0.35 AND abs(b.s0 - a.s1) <= 18", "0.18")},
+{_carried("z", "y", "a.s1 - b.s0 > 0.35 AND a.s1 - b.s0 <= 120", "(0.13 + CASE WHEN b.len <= 0.9 THEN 0.05 ELSE 0 END)")}
+SELECT project, k - 1 AS place, {_OUT} FROM z""",
 }
