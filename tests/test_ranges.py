@@ -140,3 +140,37 @@ def test_seeds(spark):
     found = {r["id"]: [(round(s["start"], 2), round(s["score"], 4)) for s in r["seeds"]] for r in got.collect()}
     # rows 1 and 2 propose the same tenth of a second: once, with the better score; row 5 is far, row 3 unmatched
     assert found == {1: [(100.0, 0.876), (710.0, 0.442)], 2: [(790.0, 0.442)]}
+
+
+def mended(rule, rows, end=0.0):
+    return [(round(r.t0, 3), round(r.t1, 3), round(r.s0, 3), round(r.s1, 3)) for r in rule(rows, end)]
+
+
+Placed = namedtuple("Placed", "t0 t1 s0 s1 inferred score cut_in cut_out places", defaults=(False, 0.8, False, False, ()))
+
+
+def test_excursions_come_back():
+    rows = [Placed(0, 2, 10, 12), Placed(2, 3, 90, 91, places=at((12.0, 0.4), (14.0, 0.6))), Placed(3, 5, 15, 17)]
+    assert mended(R._without_excursions, rows)[1] == (2, 3, 14, 15)  # before the second scores better than behind the first
+    assert mended(R._without_excursions, [rows[0], rows[1]._replace(places=()), rows[2]])[1] == (2, 3, 12, 13)
+    for stays in ({"s0": 25.0, "s1": 26.0}, {"t1": 4.9}):
+        changed = [rows[0], rows[1]._replace(**stays), rows[2]]
+        assert mended(R._without_excursions, changed)[1][2:] == (changed[1].s0, changed[1].s1)
+    assert mended(R._without_excursions, [rows[0], rows[1], rows[2]._replace(s0=95.0, s1=97.0)])[1] == (2, 3, 90, 91)  # it doesn't come back
+
+
+def test_jumps_without_a_cut_go_on_and_join():
+    rows = [Placed(0, 2, 10, 12), Placed(2, 4, 15, 17, places=at((12.0, 0.6), (15.0, 0.75)))]
+    assert mended(R._without_jumps, rows) == [(0, 4, 10, 14)]
+    assert mended(R._without_jumps, [rows[0], rows[1]._replace(cut_in=True)]) == [(0, 2, 10, 12), (2, 4, 15, 17)]
+    assert len(mended(R._without_jumps, [rows[0], rows[1]._replace(places=at((12.0, 0.5), (15.0, 0.75)))])) == 2  # clearly worse
+    assert len(mended(R._without_jumps, [rows[0], rows[1]._replace(s0=31.0, s1=33.0)])) == 2  # too far to be judged
+    assert len(mended(R._without_jumps, rows, end=13.0)) == 2
+
+
+def test_steps_back_go_on():
+    rows = [Placed(0, 2, 50, 52), Placed(2, 4, 20, 22, places=at((52.0, 0.65), (20.0, 0.75)))]
+    assert mended(R._without_steps_back, rows) == [(0, 4, 50, 54)]
+    assert len(mended(R._without_steps_back, [rows[0], rows[1]._replace(s0=60.0, s1=62.0)])) == 2  # forward
+    short = rows[1]._replace(t1=2.5, s1=20.5, places=at((52.0, 0.58), (20.0, 0.75)))
+    assert len(mended(R._without_steps_back, [rows[0], short])) == 1 and len(mended(R._without_steps_back, [rows[0], rows[1]._replace(places=short.places)])) == 2
