@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("timeline", "scoring", "intervals", "aggregates", "joins", "texts", "sequences", "decisions", "kernels", "refine", "search", "restore", "continuity", "discovery", "coarse", "cuts", "hints", "matches", "retime")
+MODULES: tuple[str, ...] = ("timeline", "scoring", "intervals", "aggregates", "joins", "texts", "sequences", "decisions", "kernels", "refine", "search", "restore", "continuity", "discovery", "coarse", "cuts", "hints", "matches", "retime", "segmenting")
 
 
 def _each():
