@@ -9,6 +9,14 @@ MANIFEST = "name STRING, project_id STRING, defaults STRUCT<iou_threshold: DOUBL
 DRAFT = "tracks ARRAY<STRUCT<type: STRING, segments: ARRAY<STRUCT<target_timerange: STRUCT<start: BIGINT, duration: BIGINT>, source_timerange: STRUCT<start: BIGINT, duration: BIGINT>, speed: DOUBLE>>>>"
 
 
+def list_files(spark: SparkSession, directory: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """(name, path, size, modified) of a directory's own files, newest first; with ``extensions``, those that end in one of them in whatever case. Contents are not read."""
+    files = spark.read.format("binaryFile").load(directory).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
+    kept = files.where(F.concat(F.lit("."), F.lower(F.element_at(F.split("name", r"\."), -1))).isin(wanted)) if wanted else files
+    return kept.orderBy(F.desc("modified"), "name")
+
+
 def read_projects(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Whole project files, a row each."""
     reader = spark.read.option("multiLine", True)
