@@ -29,6 +29,7 @@ def sequence_scores(near: DataFrame, samples: DataFrame, group: str, similarity:
     against it. Sample columns: sample, q_quality, q_low; frame columns: time, f_quality, f_low. Starts without any
     frame in reach are left out.
     """
+    # Weights, shares and penalties are fixed values.
     scored = near.withColumn("s", similarity * (0.82 + 0.18 * F.least("q_quality", "f_quality")))
     best = scored.groupBy(group, "start", "scale", "sample").agg(F.max(F.struct("s", (-F.col("time")).alias("t"), "f_quality", "f_low", "q_quality", "q_low")).alias("b")).where("b.s > 0")
     of = F.sort_array(F.collect_list("b.s"), False)
@@ -50,6 +51,7 @@ def sequence_scores(near: DataFrame, samples: DataFrame, group: str, similarity:
 
 def identity_scores(near: DataFrame, samples: DataFrame, group: str, similarity: Column) -> DataFrame:
     """(group, start, score, mean, least, matched): how alike samples and the frames right at their places are, with the fixed scale and penalties of the survey's J05."""
+    # Scale, shares and penalties are fixed values.
     best = near.groupBy(group, "start", "sample").agg(F.max(similarity).alias("s"))
     total = samples.groupBy(group).agg(F.count("*").alias("total"))
     one = best.groupBy(group, "start").agg(F.avg("s").alias("mean"), F.min("s").alias("least"), F.count("*").alias("matched")).join(total, group)

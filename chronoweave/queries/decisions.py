@@ -143,9 +143,9 @@ def manual_edits_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least score of each key over two sets of rows, the fifty lowest."""
-    s = segments(spark, sf_dir)
-    both = s.where("visual < 0.66").select((c("id") % 1000).alias("key"), "visual").unionByName(s.where("stability < 0.1").select((c("id") % 1000).alias("key"), (c("stability") + 0.05).alias("visual")))
+    """The least score of four rows that follow each other, over those that look bad and those that are unstable; the fifty lowest."""
+    s = segments(spark, sf_dir).withColumn("key", c("project") * 1000 + F.floor(c("idx") / 4))
+    both = s.where("visual < 0.66").select("key", "visual").unionByName(s.where("stability < 0.1").select("key", (c("stability") + 0.05).alias("visual")))
     return both.groupBy("key").agg(E6(F.min("visual")).alias("least")).orderBy("least", "key").limit(50)
 
 
@@ -236,7 +236,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY pr DESC, id)::I
     "manual_edits_kept": f"""WITH {SEGMENT_SQL}, s AS (SELECT project, id, start AS a, start + dur AS b FROM seg),
 j AS (SELECT n.id, o.id AS old_id, round(greatest(0e0, least(n.b, o.b) - greatest(n.a, o.a)) / least(n.b - n.a, o.b - o.a), 9) AS share FROM s n JOIN s o ON n.project = o.project AND n.id % 4 <> 0 AND o.id % 4 = 0 AND o.a <= n.b AND n.a <= o.b),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, old_id) AS rn FROM j WHERE share >= 0.45) SELECT id, old_id, round(share + 1e-9, 6) AS share FROM r WHERE rn = 1""",
-    "targets_by_score": f"""WITH {SEGMENT_SQL}, u AS (SELECT id % 1000 AS key, visual FROM seg WHERE visual < 0.66 UNION ALL SELECT id % 1000, stability + 0.05 FROM seg WHERE stability < 0.1)
+    "targets_by_score": f"""WITH {SEGMENT_SQL}, u AS (SELECT project * 1000 + idx // 4 AS key, visual FROM seg WHERE visual < 0.66 UNION ALL SELECT project * 1000 + idx // 4, stability + 0.05 FROM seg WHERE stability < 0.1)
 SELECT key, round(min(visual) + 1e-9, 6) AS least FROM u GROUP BY key ORDER BY least, key LIMIT 50""",
     "sequential_expectation": f"""WITH {SEGMENT_SQL}, x AS (SELECT *, greatest(start * 3, coalesce(max(CASE WHEN visual >= 0.5 THEN movie_start END) OVER (PARTITION BY project ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS e FROM seg)
 SELECT id, round(e + 1e-9, 6) AS expected, round(movie_start - e + 1e-9, 6) AS off FROM x""",

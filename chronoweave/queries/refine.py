@@ -69,6 +69,7 @@ def jump_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a row goes next: taken as it is, looked at with its context first, or searched; by the looser rule in sequential projects."""
     s = segments(spark, sf_dir)
+    # The thresholds of both rules are fixed values.
     low_info, sequential = c("gap") / 5, c("project") % 2 == 0
     direct = c("movie_start").isNotNull() & F.when(sequential, (c("visual") >= 0.80) & (c("stability") >= 0.48) & (low_info <= 0.55) & (c("temporal") >= 0.22)).otherwise((c("visual") >= 0.88) & (c("stability") >= 0.60) & (low_info <= 0.40) & (c("temporal") >= 0.50))
     context = (c("dur") <= 2.2) | ((c("dur") <= 3.0) & (c("visual") < 0.85)) | ((c("dur") <= 3.5) & (c("audio") < 0.3) & (c("visual") < 0.86))

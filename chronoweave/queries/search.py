@@ -88,6 +88,7 @@ def rewrite_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.length("candidate") / F.greatest(F.length(F.trim("text")), F.lit(1))
     score = -F.abs(F.log(F.greatest(ratio, F.lit(0.01)))) + F.when(ratio.between(0.78, 1.18), 0.7).when(ratio.between(0.65, 1.35), 0.2).otherwise(-0.8)
     score = score + F.when(length.between(0.55, 1.45), 0.3).otherwise(-F.abs(length - 1))
+    # Bands, weights and phrases are fixed values.
     score = score - F.when((c("lang") == "en") & F.lower("candidate").rlike("(as a narrator|this narration|rewritten version|polished version)"), 1.0).otherwise(0.0)
     best = d.withColumn("score", F.round(score, 9)).groupBy("doc_id").agg(F.max(F.struct("score", (-c("k")).alias("k"))).alias("b"))
     return best.select("doc_id", (-c("b.k")).cast("long").alias("choice"), F.round("b.score", 5).alias("score"))
