@@ -36,7 +36,7 @@ def word_ratio(a: Column, b: Column) -> Column:
     """Twice the number of common words, each as often as in both, over the number of words of both normalised lines."""
     left, right = F.split(a, " "), F.split(b, " ")
     count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(left), F.lit(0), lambda s, w: s + F.least(count(left, w), count(right, w)))
+    common = F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, w: s + F.least(count(left, w), count(right, w)))
     return 2.0 * common / (F.size(left) + F.size(right))
 
 
@@ -83,8 +83,8 @@ def entities(lines: DataFrame, movie: DataFrame, aliases: DataFrame, key: str, *
 
 def entity_signal(said: DataFrame, shown: DataFrame, key: str) -> DataFrame:
     """(key, n_id, entity_time, entity): the source line with the greatest share of a narration line's entities by weight."""
-    total = said.groupBy(key, "n_id").agg(F.sum("weight").alias("total"))
-    shared = said.join(shown.drop("weight"), [key, "entity"]).groupBy(key, "n_id", "m_id", "m_start").agg(F.sum("weight").alias("w")).join(total, [key, "n_id"])
+    said = said.withColumn("total", F.sum("weight").over(Window.partitionBy(key, "n_id")))
+    shared = said.join(shown.drop("weight"), [key, "entity"]).groupBy(key, "n_id", "m_id", "m_start").agg(F.sum("weight").alias("w"), F.first("total").alias("total"))
     shared = shared.withColumn("entity", F.least(F.lit(1.0), c("w") / F.greatest("total", F.lit(1.0)))).where(c("entity") >= LEAST_SHARE)
     best = shared.groupBy(key, "n_id").agg(F.max_by(F.struct("m_start", "entity"), F.struct("entity", -c("m_id"))).alias("b"))
     return best.select(key, "n_id", c("b.m_start").alias("entity_time"), c("b.entity").alias("entity"))
@@ -95,16 +95,15 @@ def context_signal(said: DataFrame, shown: DataFrame, lines: DataFrame, movie: D
     bucket = F.floor(c("m_start") / BUCKET)
     counts = shown.groupBy(key, bucket.alias("bucket"), "entity").agg(F.count("*").alias("times"))
     buckets = movie.groupBy(key).agg(F.countDistinct(bucket).alias("buckets"))
-    rarity = counts.groupBy(key, "entity").agg(F.count("*").alias("held_by")).join(buckets, key).select(key, "entity", F.log(c("buckets") / (1 + c("held_by"))).alias("rarity"))
+    counts = counts.withColumn("held_by", F.count("*").over(Window.partitionBy(key, "entity"))).join(buckets, key).withColumn("rarity", F.log(c("buckets") / (1 + c("held_by"))))
     place = Window.partitionBy(key).orderBy("n_start", "n_id")
     placed = lines.select(key, "n_id", F.row_number().over(place).alias("place"))
     around = said.join(placed, [key, "n_id"]).select(key, "entity", "weight", F.explode(F.sequence(c("place") - WINDOW, c("place") + WINDOW)).alias("place"))
-    around = around.groupBy(key, "place", "entity").agg(F.sum("weight").alias("weight"))
-    total = around.groupBy(key, "place").agg(F.sum("weight").alias("total"))
-    score = around.join(rarity, [key, "entity"]).join(counts, [key, "entity"]).groupBy(key, "place", "bucket").agg(F.round(F.sum(c("weight") * c("rarity") * c("times")), 9).alias("score"))
-    best = score.groupBy(key, "place").agg(F.max_by(F.struct("bucket", "score"), F.struct("score", -c("bucket"))).alias("b")).where(c("b.score") >= LEAST_BUCKET)
-    found = best.join(total, [key, "place"]).join(placed, [key, "place"])
-    confidence = F.greatest(F.lit(0.1), F.least(F.lit(0.7), c("b.score") / F.greatest(c("total") * 3, F.lit(1.0))))
+    around = around.groupBy(key, "place", "entity").agg(F.sum("weight").alias("weight")).withColumn("total", F.sum("weight").over(Window.partitionBy(key, "place")))
+    score = around.join(counts, [key, "entity"]).groupBy(key, "place", "bucket").agg(F.round(F.sum(c("weight") * c("rarity") * c("times")), 9).alias("score"), F.first("total").alias("total"))
+    best = score.groupBy(key, "place").agg(F.max_by(F.struct("bucket", "score", "total"), F.struct("score", -c("bucket"))).alias("b")).where(c("b.score") >= LEAST_BUCKET)
+    found = best.join(placed, [key, "place"])
+    confidence = F.greatest(F.lit(0.1), F.least(F.lit(0.7), c("b.score") / F.greatest(c("b.total") * 3, F.lit(1.0))))
     return found.select(key, "n_id", ((c("b.bucket") + 0.5) * BUCKET).alias("context_time"), confidence.alias("context"))
 
 
