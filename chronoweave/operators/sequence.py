@@ -1,17 +1,70 @@
 """Recurrences over one group's ordered rows: grouped Arrow functions with numpy inside.
 
 A group is one project or one query sequence; groups are spread over the cluster and each is worked out in one task.
-Inside a group, rows of a table or anti-diagonals are one array operation each.
+Inside a group, rows of a table or anti-diagonals are one array operation each. Where groups are many and short, a block
+of whole groups is one array operation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows of a block of whole groups, and array elements that are worked on at once.
+BLOCK_ROWS, BLOCK_CELLS = 16_384, 262_144
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of a column's values, null being one of them."""
+    return pa.chunked_array(column.chunks or [pa.array([], column.type)]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _starts(*codes: np.ndarray) -> np.ndarray:
+    """Places at which any of the codes changes."""
+    change = np.ones(len(codes[0]), bool)
+    change[1:] = np.any([x[1:] != x[:-1] for x in codes], axis=0)
+    return np.flatnonzero(change)
+
+
+def _members(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``first`` and have ``size`` members, run by run."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _in_blocks(df: DataFrame, key: str, order: list[Column], run: Callable[[pa.Table], dict], schema: str) -> DataFrame:
+    """What ``run`` makes of tables of whole keys, sorted by key and ``order``: ``BLOCK_ROWS`` rows or so, more only for one key that has more."""
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+
+    def made(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = run(pa.Table.from_batches(batches))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.ChunkedArray) else columns[f.name].combine_chunks().cast(f.type) for f in arrow], schema=arrow)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = int(_starts(_codes(table.column(key)))[-1])
+                if last:
+                    yield made(table.slice(0, last).to_batches())
+                held = table.slice(last).to_batches()
+                # A key that goes on is looked at again once it has doubled, so its rows are joined a few times only.
+                rows = len(table) - last if last else -len(table)
+        if held:
+            yield made(held)
+
+    return df.repartition(key).sortWithinPartitions(F.col(key), *order).mapInArrow(blocks, out)
 
 
 def _ranked_chain(v: np.ndarray, c: np.ndarray, first: np.ndarray, more: np.ndarray, limits: np.ndarray, values: np.ndarray) -> tuple[list[int], float]:
@@ -105,32 +158,61 @@ def viterbi(df: DataFrame, key: str, segment: str, free_order: bool = True) -> D
     """The best choice of a candidate, or none, for each segment of a key.
 
     Rows: key, segment (its order), cand (its order in the segment; null for none), n_start, n_end, s_start, s_end, node (score).
-    Ties go to the earlier candidate; the choice of none comes last. All edges of a key are one array, padded to its
-    largest number of candidates; only the running maximum goes segment by segment.
+    Ties go to the earlier candidate; the choice of none comes last. All edges of some keys of a block are one array,
+    padded to their largest numbers of segments and candidates; the running maximum goes segment by segment, over all
+    keys that have one.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([segment, "cand"], kind="stable", na_position="last")
-        place, step = pdf.groupby(segment, sort=True).cumcount().to_numpy(), pd.factorize(pdf[segment])[0]
-        steps, width = int(step.max()) + 1, int(place.max()) + 1
-        node, where = np.full((steps, width), -np.inf), np.full((steps, width, 4), np.nan)
-        node[step, place] = pdf["node"].to_numpy(float)
-        where[step, place] = pdf[["n_start", "n_end", "s_start", "s_end"]].to_numpy(float)
-        where[np.isnan(where[:, :, 2])] = np.nan
-        follow, score, back = edges(where[:-1], where[1:], free_order), node[0], np.zeros((steps, width), int)
-        for t in range(1, steps):
-            total = score[None, :] + follow[t - 1]
-            back[t] = total.argmax(axis=1)
-            score = total[np.arange(width), back[t]] + node[t]
-        chosen = np.zeros(steps, int)
-        chosen[-1] = score.argmax()
-        for t in range(steps - 1, 0, -1):
-            chosen[t - 1] = back[t, chosen[t]]
-        rows = pdf.iloc[np.flatnonzero(place == chosen[step])]
-        return pd.DataFrame({key: rows[key], segment: rows[segment], "cand": rows["cand"].astype("Int64"), "total": round(float(score.max()), 6)})
+    def run(rows: pa.Table) -> dict:
+        keys, segments = _codes(rows.column(key)), _codes(rows.column(segment))
+        numbers = np.stack([rows.column(x).to_numpy() for x in ("node", "n_start", "n_end", "s_start", "s_end")], axis=1).astype(float)
+        first, step_first = _starts(keys), _starts(keys, segments)
+        step_size = np.diff(step_first, append=len(keys))
+        # Of each key: its rows, its first step of all steps, its number of steps, its most candidates.
+        size, begins = np.diff(first, append=len(keys)), np.searchsorted(step_first, first)
+        steps, widths = np.diff(begins, append=len(step_first)), np.maximum.reduceat(step_size, begins)
+        place = np.arange(len(keys)) - np.repeat(step_first, step_size)
+        step = np.repeat(np.arange(len(step_first)), step_size) - np.repeat(begins, size)
+        order, picked, totals = np.argsort(-steps, kind="stable"), [], []
+        at = 0
+        while at < len(order):
+            until, wide = at, 0
+            while until < len(order) and (until == at or (until + 1 - at) * steps[order[at]] * max(wide, widths[order[until]]) ** 2 <= BLOCK_CELLS):
+                wide = max(wide, int(widths[order[until]]))
+                until += 1
+            some, at = order[at:until], until
+            own = _members(first[some], size[some])
+            chosen, best = _best_path(np.repeat(np.arange(len(some)), size[some]), step[own], place[own], numbers[own], steps[some], wide, free_order)
+            picked.append(own[chosen])
+            totals.append(np.repeat([round(x, 6) for x in best.tolist()], steps[some]))
+        picked = np.concatenate(picked)
+        kept = rows.take(pa.array(picked))
+        return {key: kept.column(key), segment: kept.column(segment), "cand": kept.column("cand"), "total": np.concatenate(totals)}
 
     kinds = dict(df.dtypes)
-    return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {segment} {kinds[segment]}, cand bigint, total double")
+    order = [F.col(segment), F.col("cand").asc_nulls_last()]
+    return _in_blocks(df, key, order, run, f"{key} {kinds[key]}, {segment} {kinds[segment]}, cand bigint, total double")
+
+
+def _best_path(key: np.ndarray, step: np.ndarray, place: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, width: int, free_order: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rows on each key's best path, key by key, and the paths' scores. Keys are numbered by falling ``lengths``; ``numbers``: node, n_start, n_end, s_start, s_end."""
+    n, steps = len(lengths), int(lengths[0])
+    node, where = np.full((n, steps, width), -np.inf), np.full((n, steps, width, 4), np.nan)
+    node[key, step, place], where[key, step, place] = numbers[:, 0], numbers[:, 1:]
+    where[np.isnan(where[..., 2])] = np.nan
+    follow, score, back = edges(where[:, :-1], where[:, 1:], free_order), node[:, 0].copy(), np.zeros((n, steps, width), int)
+    live = [int((lengths > t).sum()) for t in range(steps)]
+    for t in range(1, steps):
+        m = live[t]
+        total = score[:m, None, :] + follow[:m, t - 1]
+        back[:m, t] = total.argmax(axis=2)
+        score[:m] = np.take_along_axis(total, back[:m, t][:, :, None], axis=2)[:, :, 0] + node[:m, t]
+    chosen = np.zeros((n, steps), int)
+    chosen[np.arange(n), lengths - 1] = score.argmax(axis=1)
+    for t in range(steps - 1, 0, -1):
+        m = live[t]
+        chosen[:m, t - 1] = back[np.arange(m), t, chosen[:m, t]]
+    return np.flatnonzero(place == chosen[key, step]), score.max(axis=1)
 
 
 def _diagonals(n: int, m: int):

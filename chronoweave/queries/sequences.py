@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scoring as S
@@ -28,10 +28,15 @@ def anchor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.anchor_chain(_anchors(spark, sf_dir), "project", "start", "movie", "visual", "id").groupBy("project").agg(F.max("score").alias("score"))
 
 
+def _place() -> Column:
+    """Where a segment's candidate starts in the source."""
+    return c("start") * 3 + F.element_at(F.array(F.lit(0.0), c("gap") * 8 - 20, c("temporal") * 60 - 30), F.coalesce("cand", F.lit(0)).cast("int") + 1)
+
+
 def _choices(s: DataFrame, *keys: str) -> DataFrame:
     """Three candidates of each segment and the choice of none."""
     cand = s.withColumn("cand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(None).cast("int"))))
-    start = c("start") * 3 + F.element_at(F.array(F.lit(0.0), c("gap") * 8 - 20, c("temporal") * 60 - 30), F.coalesce("cand", F.lit(0)) + 1)
+    start = _place()
     node = F.when(c("cand").isNull(), S.skip_score(c("visual"), c("kind") == "non_movie")).otherwise(F.round(c("visual") - 0.1 * c("cand") + c("stability") / 10, 6))
     rows = cand.select(*keys, c("idx").cast("long").alias("segment"), c("cand").cast("long").alias("cand"), c("start").alias("n_start"), (c("start") + c("dur")).alias("n_end"), start.alias("s_start"), (start + c("dur")).alias("s_end"), node.alias("node"))
     return rows.withColumn("s_start", F.when(c("cand").isNotNull(), c("s_start"))).withColumn("s_end", F.when(c("cand").isNotNull(), c("s_end")))
@@ -49,9 +54,7 @@ def rematched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = weak.withColumn("idx", F.explode(F.sequence(c("at") - 2, c("at") + 2)))
     window = near.join(s.drop("id"), ["project", "idx"])
     picked = Q.viterbi(_choices(window, "id"), "id", "segment").join(weak, "id").where("segment = at")
-    starts = _choices(s, "id").select("id", "cand", "s_start")
-    out = picked.select("id", "cand").join(starts, (picked["id"] == starts["id"]) & picked["cand"].eqNullSafe(starts["cand"]))
-    moved = out.select(picked["id"], picked["cand"], "s_start").join(s.select("id", "movie_start"), "id")
+    moved = picked.select("id", "cand").join(s.select("id", "movie_start", "start", "gap", "temporal"), "id").withColumn("s_start", _place())
     gone = c("cand").isNull()
     return moved.select("id", "cand", F.when(gone, c("movie_start").isNotNull()).otherwise(c("movie_start").isNull() | (F.abs(c("s_start") - c("movie_start")) > 0.2)).alias("moved"))
 

@@ -165,3 +165,24 @@ def test_line_worked_by_hand(spark):
     assert got[2]["intercept"] == pytest.approx(50 - 1.2 * 20)
     assert got[3]["speed"] == 1.0 and got[3]["inliers"] == 2
     assert 4 not in got
+
+
+def test_many_short_keys_are_worked_on_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 60_000, numPartitions=4).select((F.col("id") / 3).cast("long").alias("g"), (F.col("id") % 3).alias("segment"))
+    rows = rows.unionByName(rows.limit(1).selectExpr("cast(null as bigint) as g", "segment"))
+    counted = Q._in_blocks(rows, "g", [F.col("segment")], lambda t: {"keys": [len(set(t.column("g").to_pylist()))], "rows": [t.num_rows]}, "keys bigint, rows bigint").collect()
+    assert sum(r["rows"] for r in counted) == 60_001 and sum(r["keys"] for r in counted) == 20_001  # no key is cut
+    assert len(counted) < 20
+
+
+def test_paths_of_keys_of_different_lengths_match_one_key_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, s, k if k < 2 else None, s * 2.0, s * 2.0 + 1, float(rng.uniform(0, 40)) if k < 2 else None, 1.0, float(rng.random())) for g in range(40) for s in range(1 + g % 6) for k in range(3)]
+    schema = "g bigint, segment bigint, cand bigint, n_start double, n_end double, s_start double, s_end double, node double"
+    together = Q.viterbi(spark.createDataFrame(rows, schema), "g", "segment").collect()
+    assert len(together) == len({r[:2] for r in rows})
+    for g in (0, 5, 17):
+        alone = Q.viterbi(spark.createDataFrame([r for r in rows if r[0] == g], schema), "g", "segment").collect()
+        assert sorted(map(str, alone)) == sorted(str(r) for r in together if r["g"] == g)
