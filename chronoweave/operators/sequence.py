@@ -307,37 +307,59 @@ def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str,
     """The line y = speed * x + intercept with the best weighted inliers among a group's heaviest anchors.
 
     Lines through one anchor have speed one; those through two have any speed in ``LINE_SPEEDS``, if the anchors are
-    ``LINE_APART`` or more apart. All are scored at once against all anchors: an anchor within the tolerance counts its
+    ``LINE_APART`` or more apart. All of all groups with as many anchors are scored at once against all anchors: an anchor within the tolerance counts its
     weight, less its share of the tolerance. The intercept then is the weighted median over the inliers, moved so that
     the group's ``duration`` fits the source, which ends at ``source_end`` (0: unknown). A fit of one anchor may have
     one inlier, others need two; all need the least score.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [key, "speed", "intercept", "inliers", "score"]
-        pdf = pdf.sort_values([weight, row_id], ascending=[False, True], kind="stable").head(LINE_ANCHORS)
-        a, b, w = (pdf[k].to_numpy(float) for k in (x, y, weight))
-        length, end = float(pdf[duration].iloc[0]), float(pdf[source_end].iloc[0])
-        tolerance = float(np.clip(LINE_TOLERANCE[0] * length, *LINE_TOLERANCE[1:]))
-        i, j = np.triu_indices(len(a), 1)
-        apart = np.abs(a[j] - a[i]) >= LINE_APART
-        i, j = i[apart], j[apart]
-        slope = (b[j] - b[i]) / (a[j] - a[i])
-        ok = (slope >= LINE_SPEEDS[0]) & (slope <= LINE_SPEEDS[1])
-        speed = np.concatenate([np.ones(len(a)), slope[ok]])
-        through = np.concatenate([b - a, b[i[ok]] - slope[ok] * a[i[ok]]])
-        off = np.abs(through[:, None] + speed[:, None] * a[None, :] - b[None, :])
+    def run(rows: pa.Table) -> dict:
+        first = _starts(_codes(rows.column(key)))
+        size = np.diff(first, append=rows.num_rows)
+        numbers = [rows.column(k).to_numpy().astype(float) for k in (x, y, weight, duration, source_end)]
+        found, lines = [], []
+        for n in np.unique(size):
+            same = first[size == n]
+            most = max(1, BLOCK_CELLS // int(n) ** 3)
+            for at in range(0, len(same), most):
+                some = same[at : at + most]
+                a, b, w, length, end = (v[some[:, None] + np.arange(n)] for v in numbers)
+                fits, line = _fitted(a, b, w, length[:, 0], end[:, 0])
+                found.append(some[fits])
+                lines.append(line)
+        speed, intercept, inliers, score = np.concatenate(lines, axis=1)
+        exact = lambda v: [round(k, 6) for k in v.tolist()]
+        return {key: rows.column(key).take(pa.array(np.concatenate(found))), "speed": exact(speed), "intercept": exact(intercept), "inliers": inliers.astype(int), "score": exact(score)}
+
+    heaviest = [F.nanvl(F.col(weight).cast("double"), F.lit(None).cast("double")).desc_nulls_last(), F.col(row_id)]
+    top = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*heaviest))).where(F.col("__rank") <= LINE_ANCHORS)
+    top = top.select(*dict.fromkeys([key, x, y, weight, duration, source_end]), "__rank")
+    return _in_blocks(top, key, [F.col("__rank")], run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")
+
+
+def _fitted(a: np.ndarray, b: np.ndarray, w: np.ndarray, length: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups (rows, of as many anchors each) have a line, and its speed, intercept, inliers and score."""
+    groups, n = a.shape
+    tolerance = np.clip(LINE_TOLERANCE[0] * length, *LINE_TOLERANCE[1:])[:, None, None]
+    i, j = np.triu_indices(n, 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = (b[:, j] - b[:, i]) / (a[:, j] - a[:, i])
+        ok = (np.abs(a[:, j] - a[:, i]) >= LINE_APART) & (slope >= LINE_SPEEDS[0]) & (slope <= LINE_SPEEDS[1])
+        slope = np.where(ok, slope, 1.0)
+        speed = np.concatenate([np.ones((groups, n)), slope], axis=1)
+        through = np.concatenate([b - a, b[:, i] - slope * a[:, i]], axis=1)
+        off = np.abs(through[:, :, None] + speed[:, :, None] * a[:, None, :] - b[:, None, :])
         near = off <= tolerance
-        score = (near * w * (1 - off / tolerance)).sum(axis=1) - SPEED_COST * np.abs(speed - 1)
-        best = int(np.argmax(np.round(score, 12)))
-        inliers = near[best]
-        if inliers.sum() < min(len(a), 2) or score[best] < LINE_LEAST[min(len(a), 3)]:
-            return pd.DataFrame(columns=columns)
-        offsets = np.sort(b[inliers] - speed[best] * a[inliers])
-        reach = np.cumsum(w[inliers][np.argsort(b[inliers] - speed[best] * a[inliers], kind="stable")])
-        intercept = offsets[int(np.searchsorted(reach, reach[-1] / 2))]
-        if end > 0:
-            intercept = max(0.0, min(intercept, end - speed[best] * length))
-        return pd.DataFrame([[pdf[key].iloc[0], round(float(speed[best]), 6), round(float(intercept), 6), int(inliers.sum()), round(float(score[best]), 6)]], columns=columns)
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")
+        score = (near * w[:, None, :] * (1 - off / tolerance)).sum(axis=2) - SPEED_COST * np.abs(speed - 1)
+    score = np.where(np.concatenate([np.ones((groups, n), bool), ok], axis=1), score, -np.inf)
+    best, own = np.argmax(np.round(score, 12), axis=1), np.arange(groups)
+    fits = ~((near[own, best].sum(axis=1) < min(n, 2)) | (score[own, best] < LINE_LEAST[min(n, 3)]))
+    best, own = best[fits], own[fits]
+    inliers, speed = near[own, best], speed[own, best]
+    offsets = np.where(inliers, b[fits] - speed[:, None] * a[fits], np.inf)
+    order = np.argsort(offsets, axis=1, kind="stable")
+    reach = np.cumsum(np.take_along_axis(np.where(inliers, w[fits], 0.0), order, axis=1), axis=1)
+    middle = np.minimum((reach < reach[:, -1:] / 2).sum(axis=1), n - 1)
+    intercept = np.take_along_axis(offsets, np.take_along_axis(order, middle[:, None], axis=1), axis=1)[:, 0]
+    held = np.maximum(0.0, np.minimum(intercept, end[fits] - speed * length[fits]))
+    return fits, np.stack([speed, np.where(end[fits] > 0, held, intercept), inliers.sum(axis=1), score[own, best]])

@@ -186,3 +186,15 @@ def test_paths_of_keys_of_different_lengths_match_one_key_alone(spark):
     for g in (0, 5, 17):
         alone = Q.viterbi(spark.createDataFrame([r for r in rows if r[0] == g], schema), "g", "segment").collect()
         assert sorted(map(str, alone)) == sorted(str(r) for r in together if r["g"] == g)
+
+
+def test_lines_of_many_groups_are_fitted_at_once():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.uniform(0, 9, (50, 6)), axis=1)
+    y, w = 4 + 1.1 * x + rng.choice([0.0, 3.0], (50, 6), p=[0.8, 0.2]), rng.uniform(1, 2, (50, 6))
+    length, end = np.full(50, 9.0), np.where(np.arange(50) % 2, 0.0, 13.0)
+    fits, lines = Q._fitted(x, y, w, length, end)
+    assert fits.sum() > 40
+    for g, line in zip(np.flatnonzero(fits), lines.T, strict=True):
+        _, alone = Q._fitted(x[g : g + 1], y[g : g + 1], w[g : g + 1], length[g : g + 1], end[g : g + 1])
+        assert (alone[:, 0] == line).all()
