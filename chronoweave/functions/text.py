@@ -87,12 +87,13 @@ def safe_name(text: Column, limit: int = 60) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    """Bytes for people."""
+    """Bytes for people. Halves of the last digit go to the even one, as in C's printf; Java's would always round them up."""
+    part = lambda unit, digits: F.format_string(f"%.{digits}f", F.bround(n / unit, digits))
     return (
         F.when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
-        .otherwise(F.format_string("%.2f GB", n / 1024.0**3))
+        .when(n < 1024**2, F.concat(part(1024.0, 1), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(part(1024.0**2, 1), F.lit(" MB")))
+        .otherwise(F.concat(part(1024.0**3, 2), F.lit(" GB")))
     )
 
 

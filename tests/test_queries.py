@@ -98,3 +98,14 @@ def test_rematched_rows_match_exhaustive_search(spark):
         step = {(a["id"], a["cand"], b["id"], b["cand"]): float(edges(place(a), place(b))[0, 0]) for x, y in zip(steps, steps[1:], strict=False) for a in x for b in y}
         best = max(itertools.product(*steps), key=lambda pick: sum(p["node"] for p in pick) + sum(step[a["id"], a["cand"], b["id"], b["cand"]] for a, b in zip(pick, pick[1:], strict=False)))
         assert got[i] == next(p["cand"] for p in best if p["id"] == i)
+
+
+def test_sizes_round_halves_as_sql_does(spark, sql):
+    from pyspark.sql import functions as F
+
+    from chronoweave.functions.text import file_size
+
+    n = [0, 1023, 1024, 1280, 1792, 2304, 1_048_575, 1_310_720, 1_835_008, 1_207_959_552, 1_218_445_312]
+    got = spark.createDataFrame([(x,) for x in n], "n bigint").select("n", file_size(F.col("n")).alias("s")).collect()
+    cases = "CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024e0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576e0) ELSE printf('%.2f GB', n / 1073741824e0) END"
+    assert {r["n"]: r["s"] for r in got} == dict(sql.sql(f"SELECT n, {cases} FROM (SELECT unnest({n}::BIGINT[]) AS n)").fetchall())
