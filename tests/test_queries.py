@@ -109,3 +109,10 @@ def test_sizes_round_halves_as_sql_does(spark, sql):
     got = spark.createDataFrame([(x,) for x in n], "n bigint").select("n", file_size(F.col("n")).alias("s")).collect()
     cases = "CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024e0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576e0) ELSE printf('%.2f GB', n / 1073741824e0) END"
     assert {r["n"]: r["s"] for r in got} == dict(sql.sql(f"SELECT n, {cases} FROM (SELECT unnest({n}::BIGINT[]) AS n)").fetchall())
+
+
+def test_pixel_classes_are_chosen_without_a_join(spark, tmp_path):
+    spark.createDataFrame([(1, 6), (1, 6), (2, 50), (3, None)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = registry.queries()["resolution_profile"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(1, "240p", 1.08), (2, "2160p", 1125.0), (3, "240p", None)} and out.count() == 3
