@@ -67,3 +67,18 @@ def test_verified_places(sides):
     # The similarity of the frame that led there holds for its whole neighbourhood, and the later of equal places is taken.
     assert got.count() == 50 and got.where("abs(time - q_time) <= 1.0").count() >= 45
     assert got.where("score < 0.9").count() == 0
+
+
+def test_cells_are_scored_in_small_parts():
+    rng = np.random.default_rng(6)
+    whole, parts = np.round(rng.random((300, 5_000)), 2), []
+
+    def score(some, columns):
+        parts.append((some.stop - some.start) * (columns.stop - columns.start))
+        return whole[some, columns]
+
+    for n, floor in ((7, None), (3, 0.995)):
+        got = [np.concatenate(x) for x in zip(*S._best_of_cell(score, 300, 5_000, n, floor), strict=True)]
+        row, place = S._best_of_rows(whole, n, floor)
+        assert (got[0] == row).all() and (got[1] == place).all() and (got[2] == whole[row, place]).all()
+    assert max(parts) <= 256 * 2_048
