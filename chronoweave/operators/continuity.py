@@ -9,6 +9,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +35,36 @@ CHUNK = ("id", "idx", "t0", "t1", "s0", "s1", "confidence", "breaks")
 MENDED = "idx bigint, id {kind}, s0 double, s1 double, confidence double, state string"
 
 
-def _look(places: list[dict] | None, at: float, reach: float) -> float:
+class Scored:
+    """A chunk's places in order and their scores."""
+
+    __slots__ = ("at", "score")
+
+    def __init__(self, at: list[float], score: list[float]):
+        self.at, self.score = at, score
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
+def _scored(column: pa.Array) -> list[Scored]:
+    """Arrays of (place, score) read as numbers, without an object for each place."""
+    flat = column.flatten()
+    at, score = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in ("place", "score"))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [Scored(at[i:j], score[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _look(places: Scored | list[dict] | None, at: float, reach: float) -> float:
     """The best score within ``reach`` of a place; 0 without any."""
-    places = places or []
-    best = 0.0
-    for p in places[bisect_left(places, at - reach - 1e-6, key=lambda p: p["place"]) :]:
-        if p["place"] > at + reach + 1e-6:
+    if not isinstance(places, Scored):
+        places = Scored([p["place"] for p in places or []], [p["score"] for p in places or []])
+    best, every, until = 0.0, places.at, at + reach + 1e-6
+    for i in range(bisect_left(every, at - reach - 1e-6), len(every)):
+        if every[i] > until:
             break
-        if abs(p["place"] - at) <= reach:
-            best = max(best, p["score"])
+        if abs(every[i] - at) <= reach and places.score[i] > best:
+            best = places.score[i]
     return best
 
 
@@ -73,6 +97,9 @@ def carried_on(rows: Iterable, end: float) -> Iterator:
 
 
 def _carried(r, before: tuple, gap: float, length: float, end: float):
+    off = abs(r.s0 - before[1] - gap) if r.s0 is not None else None
+    if (before[2] < 0.85 and before[3] < 0.78) or (off is not None and off <= max(0.38, length * 0.48)):  # nothing to go by, or no jump
+        return r
     at = max(0.0, before[1] + gap)
     best = score = _look(r.places, at, CARRY_REACH[0])
     place = at
@@ -82,18 +109,15 @@ def _carried(r, before: tuple, gap: float, length: float, end: float):
             here = _look(r.places, tried, CARRY_REACH[1])
             if here - min(STEP_COST[1], abs(step) * STEP_COST[0]) > best:
                 best, score, place = here - min(STEP_COST[1], abs(step) * STEP_COST[0]), here, tried
-    if before[2] < 0.85 and before[3] < 0.78:  # nothing to go by
-        return r
     moved = r._replace(s0=place, s1=place + length, confidence=score)
     if r.s0 is None:
         return moved._replace(state="filled") if score >= FILL else r
     step = r.s0 - before[1]
-    off, back, alike = abs(step - gap), step < GOES_BACK, r.follows >= LOOKS_ALIKE
+    back, alike = step < GOES_BACK, r.follows >= LOOKS_ALIKE
     margin, least = (ALIKE_BACK if back else ALIKE) if alike else APART
     firm = r.confidence >= 0.86 and r.stability >= 0.48 and r.low_info <= 0.48 and score < r.confidence + 0.035
     proven = r.corrected and r.identity >= 0.90 and r.confidence >= 0.94 and not back and off <= max(2.0, length * 2.5)
-    jumps = off > max(0.38, length * 0.48)
-    return moved._replace(state="carried") if jumps and not firm and not proven and score >= least and score + margin >= r.confidence else r
+    return moved._replace(state="carried") if not firm and not proven and score >= least and score + margin >= r.confidence else r
 
 
 def _between(before, r, after, gaps: tuple[float, float]) -> tuple[float, float] | None:
@@ -170,13 +194,17 @@ def mended_chunks(chunks: DataFrame, scores: DataFrame, keys: list[str], source_
     """(keys, idx, id, s0, s1, confidence, state) of each chunk after ``repairs``, each over what the one before left.
 
     ``chunks``: keys, id, idx (order), t0, t1, s0, s1, confidence, breaks (a cut at its start), stability, low_info,
-    identity, corrected, follows (how alike it looks to the chunk before). ``scores``: id, place, score; a chunk's
-    places travel with it. state: kept, none (no match), carried, filled, island, bridge or refined.
+    identity, corrected, follows (how alike it looks to the chunk before). ``scores``: id, place, score, or id and an
+    array ``places`` of (place, score); a chunk's places travel with it. state: kept, none (no match), carried, filled, island, bridge or refined.
     """
     unknown = set(repairs) - REPAIRS.keys()
     if unknown:
         raise ValueError(f"no such repair: {sorted(unknown)}")
-    places = scores.where("place is not null and score is not null").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "score"))).alias("places"))
+    if "places" in scores.columns:
+        found = F.flatten(F.collect_list(F.filter("places", lambda p: p["place"].isNotNull() & p["score"].isNotNull())))
+    else:
+        scores, found = scores.where("place is not null and score is not null"), F.collect_list(F.struct("place", "score"))
+    places = scores.groupBy("id").agg(F.sort_array(found).alias("places"))
     read = chunks.join(places, "id", "left").withColumn("state", F.when(F.col("s0").isNull(), "none").otherwise("kept"))
     read = read.withColumn("s1", F.coalesce("s1", F.col("s0") + F.greatest(F.lit(LEAST_LENGTH), F.col("t1") - F.col("t0"))))
     for name, default in (("confidence", 0.0), ("stability", 0.0), ("low_info", 1.0), ("identity", 0.0), ("follows", 0.0)):
@@ -187,4 +215,4 @@ def mended_chunks(chunks: DataFrame, scores: DataFrame, keys: list[str], source_
             rows = REPAIRS[name](rows, source_end)
         return ((r.idx, r.id, r.s0, r.s1, r.confidence, r.state) for r in rows)
 
-    return ordered_scan(read, keys, ["idx", "id"], scan, MENDED.format(kind=chunks.schema["id"].dataType.simpleString()))
+    return ordered_scan(read, keys, ["idx", "id"], scan, MENDED.format(kind=chunks.schema["id"].dataType.simpleString()), {"places": _scored})

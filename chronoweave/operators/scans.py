@@ -20,17 +20,21 @@ from pyspark.sql.types import StructType
 OUT_ROWS = 4096
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], scan: Callable[[Iterator], Iterable[tuple]], schema: str) -> DataFrame:
-    """What ``scan`` makes of each key's rows: it gets them in order, as named tuples, and yields tuples of ``schema`` behind the key's columns."""
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], scan: Callable[[Iterator], Iterable[tuple]], schema: str, read: dict[str, Callable[[pa.Array], list]] | None = None) -> DataFrame:
+    """What ``scan`` makes of each key's rows: it gets them in order, as named tuples, and yields tuples of ``schema`` behind the key's columns.
+
+    ``read``: how a column's values are read from Arrow, other than as Python's plain ones.
+    """
     names = tuple(df.columns)
     row = namedtuple("row", names)  # noqa: PYI024  columns are not known before
     key_kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     out = StructType.fromDDL(f"{key_kinds}, {schema}")
     arrow = to_arrow_schema(out)
     at = [names.index(k) for k in keys]
+    values_of = [(read or {}).get(name, lambda column: column.to_pylist()) for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row(*values) for batch in batches for values in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = (row(*values) for batch in batches for values in zip(*(of(c) for of, c in zip(values_of, batch.columns, strict=True)), strict=True))
         held: list[tuple] = []
         for key, group in groupby(rows, key=lambda r: tuple(r[i] for i in at)):
             for made in scan(group):

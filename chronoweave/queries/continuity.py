@@ -21,8 +21,9 @@ _CHUNK = "id % 19 = 0 AS breaks, id % 3 = 0 AS corrected, 0.8 + visual / 5 AS id
 def _chunks(spark: SparkSession, sf_dir: str, confidence: str = "confidence") -> tuple[DataFrame, DataFrame]:
     s = shots(spark, sf_dir)
     chunks = s.selectExpr("project", "id", "idx", "t0", "t1", "m0 as s0", "m1 as s1", f"{confidence} as confidence", "stability", "low_info", *_CHUNK.split(", "))
-    grid = s.selectExpr("id", "value", "home", f"explode({_PLACES}) as k").selectExpr("id", "home + k * 0.75 as place", f"{_SCORE} as score")
-    return chunks, grid.unionByName(s.where("m0 is not null").selectExpr("id", "m0 as place", "confidence as score"))
+    # A shot's places as one array from the start, so that they are neither spread over rows nor grouped again.
+    places = f"concat(transform({_PLACES}, k -> struct(home + k * 0.75 as place, {_SCORE} as score)), filter(array(struct(m0 as place, confidence as score)), p -> p.place is not null)) as places"
+    return chunks, s.selectExpr("id", places)
 
 
 def _mended(spark: SparkSession, sf_dir: str, *repairs: str, confidence: str = "confidence") -> DataFrame:

@@ -100,3 +100,15 @@ def test_every_repair_acts_on_the_tables(spark):
 
     total = query(spark, "/root/testdata/sf0.01").groupBy().sum().first().asDict()
     assert all(total[f"sum({s})"] > 0 for s in ("kept", "carried", "filled", "island", "bridge"))
+
+
+def test_places_as_arrays_give_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, i, i, float(i), i + 1.0, 100.0 + i if i % 3 else 300.0, None, 0.7, False, 0.0, 1.0, 0.0, False, 0.0) for i in range(1, 40)]
+    chunks = spark.createDataFrame(rows, "project int, id int, idx int, t0 double, t1 double, s0 double, s1 double, confidence double, breaks boolean, stability double, low_info double, identity double, corrected boolean, follows double")
+    scores = spark.createDataFrame([(i, 100.0 + i + k / 2, (50 + i % 7 * 7 - abs(k)) / 100 if k < 5 else None) for i in range(1, 36) for k in range(5, -6, -1)], "id int, place double, score double")
+    arrays = scores.groupBy("id").agg(F.collect_list(F.struct("place", "score")).alias("places"))
+    once = mended_chunks(chunks, scores, ["project"], 1_000.0).collect()
+    assert sorted(once) == sorted(mended_chunks(chunks, arrays, ["project"], 1_000.0).collect())
+    assert {"kept", "carried"} <= {r["state"] for r in once}
