@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.vectors import bound
+
 
 def snapped(rows: DataFrame, boundaries: DataFrame, key: str, row_id: str, start: str, end: str, at: str, tolerance: float = 0.4) -> DataFrame:
     """``rows`` with both ends moved to the nearest boundary of their key that is at most ``tolerance`` away; of two as near, the lower.
@@ -72,23 +74,27 @@ def split_words(rows: DataFrame, keys: list[str], words: str, least: float = 1.2
     without times are left out. One row of words is one array, never those of a whole table.
     """
     timed = F.filter(words, lambda x: x["start"].isNotNull() & x["end"].isNotNull())
+    # Each word with the next one's start, so that no step of the fold looks at the array again.
+    paired = bound(timed, lambda all_: F.transform(all_, lambda x, i: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"), F.try_element_at(all_, i + 2)["start"].alias("then"))))
     piece = "array<struct<start:double,end:double,text:string,n:int>>"
-    state = F.struct(F.array().cast(piece).alias("out"), F.lit(None).cast("double").alias("start"), F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+    state = F.struct(F.array().cast(piece).alias("out"), F.lit(None).cast("double").alias("start"), F.lit("").alias("text"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
         start = F.coalesce(s["start"], x["start"])
-        text, long = F.concat(s["text"], x["word"]), x["end"] - start
-        then = F.try_element_at(timed, s["i"] + 2)
+        long = x["end"] - start
         bare = F.trim(x["word"])
         ends = (bare != "") & F.lit(endings).contains(F.substring(bare, -1, 1)) & (long >= least)
-        closes = ends | then.isNull() | ((F.greatest(then["start"] - x["end"], F.lit(0.0)) >= pause) & (long >= least)) | (long >= most)
-        made = F.array(F.struct(start.alias("start"), x["end"].alias("end"), F.trim(text).alias("text"), (s["n"] + 1).alias("n")))
-        return F.struct(
-            F.when(closes, F.concat(s["out"], made)).otherwise(s["out"]).alias("out"), F.when(~closes, start).alias("start"), F.when(closes, F.lit("")).otherwise(text).alias("text"),
-            F.when(closes, F.lit(0)).otherwise(s["n"] + 1).alias("n"), (s["i"] + 1).alias("i"),
-        )
-
-    folded = rows.select(*keys, F.posexplode(F.aggregate(timed, state, step)["out"]).alias("piece", "p"))
+        closes = x["then"].isNull() | (long >= most) | ends | ((F.greatest(x["then"] - x["end"], F.lit(0.0)) >= pause) & (long >= least))
+
+        def after(now: Column) -> Column:
+            made = F.array(F.struct(now["start"].alias("start"), x["end"].alias("end"), F.trim(now["text"]).alias("text"), now["n"].alias("n")))
+            return F.when(now["closes"], F.struct(F.concat(s["out"], made).alias("out"), F.lit(None).cast("double").alias("start"), F.lit("").alias("text"), F.lit(0).alias("n"))).otherwise(
+                F.struct(s["out"].alias("out"), now["start"].alias("start"), now["text"].alias("text"), now["n"].alias("n"))
+            )
+
+        return bound(F.struct(start.alias("start"), F.concat(s["text"], x["word"]).alias("text"), (s["n"] + 1).alias("n"), F.coalesce(closes, F.lit(False)).alias("closes")), after)
+
+    folded = rows.select(*keys, F.posexplode(F.aggregate(paired, state, step)["out"]).alias("piece", "p"))
     return folded.select(*keys, "piece", "p.start", "p.end", "p.text", "p.n")
 
 

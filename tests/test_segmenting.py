@@ -45,3 +45,17 @@ def test_the_whole_pipeline(spark):
     assert got == [("seg_0000", 0, 4, "Call me so!Some!"), ("seg_0001", 4, 6.2, ""), ("seg_0002", 7, 12.667, "abcd"), ("seg_0003", 12.667, 18.333, "efgh"), ("seg_0004", 18.333, 24, "ijkl")]
     assert S.refined(df.limit(0), borders, "k", ["n"]).count() == 0
     assert S.refined(df, borders.limit(0), "k", ["n"]).count() == 5
+
+
+def test_the_fold_of_words_looks_at_the_array_once(spark):
+    from pyspark.sql import functions as F
+
+    from chronoweave.operators.refine import split_words
+
+    n = 3_000  # a lookup in a filtered array at every step would take minutes
+    word = lambda i: F.struct(F.when(i % 10 == 9, F.lit("end. ")).otherwise(F.lit("word ")).alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.4).alias("end"))
+    rows = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), word).alias("words"))
+    got = split_words(rows, ["id"], "words", endings=".")
+    assert "filter" in got._jdf.queryExecution().optimizedPlan().toString() and got._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
+    rows = got.orderBy("piece").collect()
+    assert len(rows) == n // 10 and all(r["n"] == 10 and r["text"].endswith("end.") for r in rows)
