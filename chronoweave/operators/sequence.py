@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 #: Rows of a block of whole groups, and array elements that are worked on at once.
 BLOCK_ROWS, BLOCK_CELLS = 16_384, 262_144
@@ -113,6 +113,22 @@ def increasing_subset(df: DataFrame, key: str, order: str, value: str, confidenc
     return _best_chain(df, key, order, value, confidence, row_id, np.ones_like, lambda c: 1 + 0.1 * c, lambda values, v: np.searchsorted(values, v, side="left"), 1)
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def in_increasing_subset(values: pd.Series, confidences: pd.Series) -> pd.Series:
+    """As ``increasing_subset``, of a key's values and confidences as arrays in order: whether each belongs to the run. Null values belong to none."""
+
+    def run(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        v, c = np.asarray(v, float), np.asarray(c, float)
+        kept, at = np.zeros(len(v), bool), np.flatnonzero(~np.isnan(v))
+        if len(at):
+            values = np.unique(v[at])
+            chain, _ = _ranked_chain(v[at], c[at], np.ones(len(at)), 1 + 0.1 * c[at], np.searchsorted(values, v[at], side="left"), values)
+            kept[at[chain]] = True
+        return kept
+
+    return pd.Series([run(v, c) for v, c in zip(values, confidences)])
+
+
 def anchor_chain(df: DataFrame, key: str, order: str, value: str, confidence: str, row_id: str, slack: float = 5.0, least: int = 3) -> DataFrame:
     """The chain of most confidence in which no value falls more than ``slack`` below the one before; shorter chains than ``least`` are dropped."""
     return _best_chain(df, key, order, value, confidence, row_id, lambda c: c, lambda c: c, lambda values, v: np.searchsorted(values - slack, v, side="right"), least)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,29 @@ def test_fusion_takes_all_signals(spark, movie, aliases):
     assert r["movie_end"] - r["movie_start"] == pytest.approx(3) and 0 < r["confidence"] <= 1
     assert D.matched_lines(lines.limit(0), movie, aliases, "film", D.word_ratio).count() == 0
     assert D.matched_lines(lines, movie.limit(0), aliases, "film", D.word_ratio).where("source = 'timeline' and movie_start = 0").count() == 4
+
+
+def test_lines_are_dealt_out_by_project_alone(spark, movie, aliases):
+    # Runs of words and pairs of lines are many times the text: none of them may be dealt out anew.
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.matched_lines(said(spark, *LINES), movie, aliases, "film", D.word_ratio)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and all(re.fullmatch(r"film#\d+(, n_id#\d+)?", d) for d in dealt if "film" in d)
+
+
+def test_entities_of_both_sides_at_once(spark, movie, aliases):
+    lines = said(spark, "the captain is grim", "queequeg and ahab ahab", "about little", "sleeps", None)
+    e, shown = D.entities(lines, movie, aliases, "film", "n_id"), D.entities(movie, movie, aliases, "film", "m_id", "m_start")
+    found = D.shared_entities(D.gathered(lines, movie, "film"), aliases, "film")
+    assert rows(found.where("entity is not null"), "entity_time", "entity") == rows(D.entity_signal(e, shown, "film"), "entity_time", "entity")
+    assert rows(found, "total") == {0: (3.0,), 1: (3.5,), 2: (0.5,)}
+
+
+def test_lines_without_a_project_stay(spark, movie, aliases):
+    lines = said(spark, LINES[0]).union(spark.createDataFrame([(None, 7, 0.0, 1.0, LINES[0])], "film string, n_id int, n_start double, n_end double, text string"))
+    got = {r["n_id"]: r for r in D.matched_lines(lines, movie, aliases, "film", D.word_ratio).collect()}
+    assert got[0]["source"] == "english" and got[7]["film"] is None and got[7]["movie_start"] is None
