@@ -19,8 +19,11 @@ def hull_iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, tolerance: float = 0.0) -> DataFrame:
-    """(keys, start, end, n): overlapping or touching intervals of a key made one. A new island begins past the running end."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """(keys, start, end, n): overlapping or touching intervals of a key made one. A new island begins past the running end.
+
+    Nulls come last, as in SQL: without a start, an interval belongs to a key's last island.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(order.rowsBetween(*BEFORE))
     flagged = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + tolerance), 1).otherwise(0))
     island = flagged.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

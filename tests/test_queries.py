@@ -116,3 +116,14 @@ def test_pixel_classes_are_chosen_without_a_join(spark, tmp_path):
     out = registry.queries()["resolution_profile"](spark, str(tmp_path))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in out.collect()} == {(1, "240p", 1.08), (2, "2160p", 1125.0), (3, "240p", None)} and out.count() == 3
+
+
+def test_merged_ranges_without_ends_equal_sql(spark, tmp_path):
+    """Nulls among starts and ends; two equal intervals that open an island stay in it."""
+    rows = [(g, 7, n, q, d) for g in (1, 2) for n, q, d in ((1, 10.0, 0.05), (1, None, 0.05), (1, 10.0, None), (4, 20.0, 0.1), (4, 20.0, 0.1), (6, 5.0, None), (7, None, None))]
+    rows += [(3, 7, 1, None, 0.1), (3, 7, 2, None, None), (4, 7, 1, 5.0, None), (None, 7, 1, 5.0, 0.1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.queries()["merge_ranges"](spark, str(tmp_path)).toPandas()
+    want = duckdb.sql(registry.oracle_sql()["merge_ranges"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).df()
+    # Missing values are NaN on one side and NaN or None on the other.
+    assert plain(got.astype(float)).equals(plain(want.astype(float)))
