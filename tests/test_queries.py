@@ -127,3 +127,20 @@ def test_merged_ranges_without_ends_equal_sql(spark, tmp_path):
     want = duckdb.sql(registry.oracle_sql()["merge_ranges"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).df()
     # Missing values are NaN on one side and NaN or None on the other.
     assert plain(got.astype(float)).equals(plain(want.astype(float)))
+
+
+@pytest.mark.parametrize("name", ["knn_topk", "bucket_vote", "roundtrip_validate"])
+def test_searches_leave_out_no_row(spark, tmp_path, name):
+    """Rows without a vector, with NaN in it and without an id; for the search alone, ids that stand there several times."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist(), i % 10) for i in range(300)]
+    rows = [(i, None if i in (50, 51) or 100 < i < 290 else [float("nan"), *v[1:]] if i == 7 else v, k) for i, v, k in rows] + [(None, [9.0] * 8, 1)] * 12
+    rows += [rows[100]] * 12 if name == "knn_topk" else []
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))

@@ -65,6 +65,27 @@ def test_nearest_over_cells(spark):
             assert [(j, -s) for s, j in want] == [(j, s) for _, j, s in sorted(found)]
 
 
+def test_nearest_counts_rows_without_vectors_last(spark):
+    """Over cells: null vectors come last by id, NaN first; a query's own id is passed by however often it stands there; no id, no hit."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(120)]
+    rows = [(i, None if i in (20, 30, 31) or i > 22 and i % 3 else [float("nan"), *v[1:]] if i == 41 else v) for i, v in rows] + [(20, None)] * 9 + [(40, rows[40][1])] * 9 + [(None, [9.0] * 4)] * 9
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    known, found = [r for r in rows if r[0] is not None], {}
+    for r in nearest(df.where("vec_id in (10, 20, 40, 60)"), df.where("vec_id < 200 or vec_id is null"), 60, "vec_id", "vec_id", block=16, missing=True).collect():
+        found.setdefault(r["query"], []).append((r["rank"], r["row"], r["similarity"]))
+
+    def place(q, v):
+        score = None if q is None or v is None else round(float(np.dot(q, v)), 9)
+        return (2, 0.0) if score is None else (0, 0.0) if score != score else (1, -score)
+
+    for q in (10, 20, 40, 60):
+        want = sorted((*place(a, v), i) for j, a in known if j == q for i, v in known if i != q)[:60]
+        got = sorted(found[q])
+        assert [i for *_, i in want] == [i for _, i, _ in got] and [k for k, *_ in got] == list(range(1, 61))
+        assert [w[0] == 2 for w in want] == [s is None for *_, s in got]
+
+
 @pytest.mark.parametrize("block", [1, 7, 100, 1 << 16])
 def test_runs_go_on_over_blocks(spark, block):
     rng = random.Random(block)
