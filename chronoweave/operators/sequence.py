@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, StructType
@@ -316,17 +316,21 @@ def warp_speed(df: DataFrame, key: str, query: str, source: str, window: int = 1
 
 
 #: Limits of a line through anchors: fixed values. Tolerance is a share of the group's duration between two bounds.
-LINE_ANCHORS, LINE_APART, LINE_SPEEDS, LINE_TOLERANCE, SPEED_COST, LINE_LEAST = 24, 0.65, (0.55, 1.85), (0.16, 0.45, 1.8), 0.30, {1: 0.75, 2: 0.75, 3: 1.4}
+LINE_APART, LINE_SPEEDS, LINE_TOLERANCE, SPEED_COST, LINE_LEAST = 0.65, (0.55, 1.85), (0.16, 0.45, 1.8), 0.30, {1: 0.75, 2: 0.75, 3: 1.4}
 
 
 def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str, duration: str, source_end: str) -> DataFrame:
-    """The line y = speed * x + intercept with the best weighted inliers among a group's heaviest anchors.
+    """The line y = speed * x + intercept with the best weighted inliers among all of a group's anchors.
 
     Lines through one anchor have speed one; those through two have any speed in ``LINE_SPEEDS``, if the anchors are
-    ``LINE_APART`` or more apart. All of all groups with as many anchors are scored at once against all anchors: an anchor within the tolerance counts its
-    weight, less its share of the tolerance. The intercept then is the weighted median over the inliers, moved so that
-    the group's ``duration`` fits the source, which ends at ``source_end`` (0: unknown). A fit of one anchor may have
-    one inlier, others need two; all need the least score.
+    ``LINE_APART`` or more apart. Each is scored against all anchors: an anchor within the tolerance counts its
+    weight, less its share of the tolerance; of equal lines, the one through the heavier anchors is taken. The intercept
+    then is the weighted median over the inliers, moved so that the group's ``duration`` fits the source, which ends at
+    ``source_end`` (0: unknown). A fit of one anchor may have one inlier, others need two; all need the least score.
+    Rows without a finite x, y, weight and duration are no anchors.
+
+    All lines of all groups with as many anchors are one array; of groups beyond ``BLOCK_CELLS`` pairs of line and anchor,
+    sums along each anchor's lines leave the few that can be best.
     """
 
     def run(rows: pa.Table) -> dict:
@@ -347,35 +351,101 @@ def fit_line(df: DataFrame, key: str, x: str, y: str, weight: str, row_id: str,
         exact = lambda v: [round(k, 6) for k in v.tolist()]
         return {key: rows.column(key).take(pa.array(np.concatenate(found))), "speed": exact(speed), "intercept": exact(intercept), "inliers": inliers.astype(int), "score": exact(score)}
 
-    heaviest = [F.nanvl(F.col(weight).cast("double"), F.lit(None).cast("double")).desc_nulls_last(), F.col(row_id)]
-    top = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*heaviest))).where(F.col("__rank") <= LINE_ANCHORS)
-    top = top.select(*dict.fromkeys([key, x, y, weight, duration, source_end]), "__rank")
-    return _in_blocks(top, key, [F.col("__rank")], run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")
+    finite = lambda k: F.abs(F.col(k).cast("double")) < float("inf")
+    anchors = df.where(finite(x) & finite(y) & finite(weight) & finite(duration)).select(*dict.fromkeys([key, row_id, x, y, weight, duration, source_end]))
+    return _in_blocks(anchors, key, [F.col(weight).desc(), F.col(row_id)], run, f"{key} {dict(df.dtypes)[key]}, speed double, intercept double, inliers bigint, score double")
+
+
+def _line_scores(a: np.ndarray, b: np.ndarray, w: np.ndarray, tolerance: np.ndarray, speed: np.ndarray, through: np.ndarray) -> np.ndarray:
+    """Scores of each group's lines (groups, lines) against its anchors (groups, n); ``tolerance``: (groups, 1, 1)."""
+    off = np.abs(through[:, :, None] + speed[:, :, None] * a[:, None, :] - b[:, None, :])
+    return ((off <= tolerance) * w[:, None, :] * (1 - off / tolerance)).sum(axis=2) - SPEED_COST * np.abs(speed - 1)
+
+
+def _slopes(a: np.ndarray, b: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Speeds through the anchors ``i`` and ``j``, one where they give no line, and whether they give one."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = (b[..., j] - b[..., i]) / (a[..., j] - a[..., i])
+        ok = (np.abs(a[..., j] - a[..., i]) >= LINE_APART) & (slope >= LINE_SPEEDS[0]) & (slope <= LINE_SPEEDS[1])
+    return np.where(ok, slope, 1.0), ok
+
+
+def _best_lines(a: np.ndarray, b: np.ndarray, w: np.ndarray, tolerance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Speed, intercept and score of each group's first best line: those through one anchor first, then those through two."""
+    groups, n = a.shape
+    i, j = np.triu_indices(n, 1)
+    slope, ok = _slopes(a, b, i, j)
+    speed = np.concatenate([np.ones((groups, n)), slope], axis=1)
+    through = np.concatenate([b - a, b[:, i] - slope * a[:, i]], axis=1)
+    score = np.where(np.concatenate([np.ones((groups, n), bool), ok], axis=1), _line_scores(a, b, w, tolerance, speed, through), -np.inf)
+    own, best = np.arange(groups), np.argmax(np.round(score, 12), axis=1)
+    return speed[own, best], through[own, best], score[own, best]
+
+
+def _tents(rise: np.ndarray, run: np.ndarray, w: np.ndarray, tolerance: float, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of w * max(0, 1 - abs(run * t - rise) / tolerance) at each t of ``at``, and how far off it can be by rounding.
+
+    Each term rises from one bend to the next and falls to the third, so running sums over all bends in order give the sum anywhere.
+    """
+    level = run == 0
+    still = (w[level] * np.maximum(0, 1 - np.abs(rise[level]) / tolerance)).sum()
+    rise, run, w = rise[~level] * np.sign(run[~level]), np.abs(run[~level]), w[~level] / tolerance
+    with np.errstate(over="ignore"):
+        bends = np.concatenate([(rise - tolerance) / run, rise / run, (rise + tolerance) / run])
+    order = np.argsort(bends, kind="stable")
+    slope = np.cumsum(np.concatenate([[0.0], np.concatenate([w * run, -2 * w * run, w * run])[order]]))
+    base = np.cumsum(np.concatenate([[0.0], np.concatenate([w * (rise - tolerance), -2 * w * rise, w * (rise + tolerance)])[order]]))
+    k = np.searchsorted(bends[order], at, side="right")
+    terms = 4 * (np.abs(w) * (np.abs(rise) + tolerance)).sum() + 4 * (np.abs(w) * run).sum() * np.abs(at) + abs(still)
+    return slope[k] * at - base[k] + still, (3 * len(w) + 8) * np.finfo(float).eps * terms
+
+
+def _best_line_of_many(a: np.ndarray, b: np.ndarray, w: np.ndarray, tolerance: float) -> tuple[float, float, float]:
+    """As ``_best_lines``, of one group with many anchors: all its lines in the square of their number, no more than a few rows of them at once.
+
+    Lines that can be best, for all that rounding does to the running sums, are scored one by one; of an anchor's lines
+    that agree to twelve digits of speed only the first is.
+    """
+    n, drift, least, kept = len(a), b - a, -np.inf, []
+    for i in range(-1, n - 1):
+        if i < 0:
+            # Lines of speed one, by intercept.
+            speed, through, known = np.ones(n), drift, np.arange(n)
+            score, off = _tents(drift, np.ones(n), w, tolerance, drift)
+        else:
+            slope, ok = _slopes(a, b, i, slice(i + 1, None))
+            _, known = np.unique(np.where(ok, np.round(slope, 12), np.nan), return_index=True)
+            known = np.sort(known[ok[known]])
+            speed, through = slope[known], b[i] - slope[known] * a[i]
+            score, off = _tents(drift - drift[i], a - a[i], w, tolerance, speed - 1)
+            score = score - SPEED_COST * np.abs(speed - 1)
+        least = max(least, (score - off).max(initial=-np.inf))
+        near = score + off >= least - 1e-9
+        kept.append(np.stack([speed[near], through[near], (score + off)[near]]))
+    speed, through, most = np.concatenate(kept, axis=1)
+    speed, through = speed[most >= least - 1e-9], through[most >= least - 1e-9]
+    some = max(1, BLOCK_CELLS // n)
+    one = (a[None], b[None], w[None], np.full((1, 1, 1), tolerance))
+    score = np.concatenate([_line_scores(*one, speed[None, k : k + some], through[None, k : k + some])[0] for k in range(0, len(speed), some)])
+    best = int(np.argmax(np.round(score, 12)))
+    return speed[best], through[best], score[best]
 
 
 def _fitted(a: np.ndarray, b: np.ndarray, w: np.ndarray, length: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which groups (rows, of as many anchors each) have a line, and its speed, intercept, inliers and score."""
-    groups, n = a.shape
+    n = a.shape[1]
     tolerance = np.clip(LINE_TOLERANCE[0] * length, *LINE_TOLERANCE[1:])[:, None, None]
-    i, j = np.triu_indices(n, 1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        slope = (b[:, j] - b[:, i]) / (a[:, j] - a[:, i])
-        ok = (np.abs(a[:, j] - a[:, i]) >= LINE_APART) & (slope >= LINE_SPEEDS[0]) & (slope <= LINE_SPEEDS[1])
-        slope = np.where(ok, slope, 1.0)
-        speed = np.concatenate([np.ones((groups, n)), slope], axis=1)
-        through = np.concatenate([b - a, b[:, i] - slope * a[:, i]], axis=1)
-        off = np.abs(through[:, :, None] + speed[:, :, None] * a[:, None, :] - b[:, None, :])
-        near = off <= tolerance
-        score = (near * w[:, None, :] * (1 - off / tolerance)).sum(axis=2) - SPEED_COST * np.abs(speed - 1)
-    score = np.where(np.concatenate([np.ones((groups, n), bool), ok], axis=1), score, -np.inf)
-    best, own = np.argmax(np.round(score, 12), axis=1), np.arange(groups)
-    fits = ~((near[own, best].sum(axis=1) < min(n, 2)) | (score[own, best] < LINE_LEAST[min(n, 3)]))
-    best, own = best[fits], own[fits]
-    inliers, speed = near[own, best], speed[own, best]
+    if n**3 <= BLOCK_CELLS:
+        speed, through, score = _best_lines(a, b, w, tolerance)
+    else:
+        speed, through, score = np.array([_best_line_of_many(*some) for some in zip(a, b, w, tolerance[:, 0, 0], strict=True)]).T
+    inliers = np.abs(through[:, None] + speed[:, None] * a - b) <= tolerance[:, :, 0]
+    fits = ~((inliers.sum(axis=1) < min(n, 2)) | (score < LINE_LEAST[min(n, 3)]))
+    inliers, speed, score = inliers[fits], speed[fits], score[fits]
     offsets = np.where(inliers, b[fits] - speed[:, None] * a[fits], np.inf)
     order = np.argsort(offsets, axis=1, kind="stable")
     reach = np.cumsum(np.take_along_axis(np.where(inliers, w[fits], 0.0), order, axis=1), axis=1)
     middle = np.minimum((reach < reach[:, -1:] / 2).sum(axis=1), n - 1)
     intercept = np.take_along_axis(offsets, np.take_along_axis(order, middle[:, None], axis=1), axis=1)[:, 0]
     held = np.maximum(0.0, np.minimum(intercept, end[fits] - speed * length[fits]))
-    return fits, np.stack([speed, np.where(end[fits] > 0, held, intercept), inliers.sum(axis=1), score[own, best]])
+    return fits, np.stack([speed, np.where(end[fits] > 0, held, intercept), inliers.sum(axis=1), score])

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -198,3 +199,37 @@ def test_lines_of_many_groups_are_fitted_at_once():
     for g, line in zip(np.flatnonzero(fits), lines.T, strict=True):
         _, alone = Q._fitted(x[g : g + 1], y[g : g + 1], w[g : g + 1], length[g : g + 1], end[g : g + 1])
         assert (alone[:, 0] == line).all()
+
+
+def test_light_anchors_count_in_the_line(spark):
+    """Two dozen heavy anchors far from each other, and lighter ones on y = 1.2 x + 30 that together outweigh any of them; groups of two sizes, one with rows that are no anchors."""
+    rows, nan = [], float("nan")
+    for g, n in ((1, 20), (2, 200)):
+        rows += [(g, i, i * 0.7, 1000.0 + 97 * i * (-1) ** i, 2.0) for i in range(24)]
+        rows += [(g, 100 + i, 0.7 * i, 30 + 1.2 * 0.7 * i, 0.5) for i in range(n)]
+    rows += [(2, 900, None, 5.0, 9.0), (2, 901, 1.0, nan, 9.0), (2, 902, 1.0, 5.0, None), (2, 903, 1.0, 5.0, nan), (3, 904, nan, 5.0, 9.0)]
+    df = spark.createDataFrame([(*r, 20.0, 0.0) for r in rows], "g bigint, id bigint, x double, y double, w double, len double, stop double")
+    got = {r["g"]: r for r in Q.fit_line(df, "g", "x", "y", "w", "id", "len", "stop").collect()}
+    for g, n in ((1, 20), (2, 200)):
+        assert (got[g]["speed"], got[g]["intercept"], got[g]["inliers"]) == (pytest.approx(1.2, abs=1e-6), pytest.approx(30, abs=1e-6), n)
+        assert got[g]["score"] == pytest.approx(0.5 * n - 0.06, abs=1e-6)
+    assert set(got) == {1, 2}
+
+
+def test_best_line_of_many_equals_all_lines():
+    rng = np.random.default_rng(3)
+    for t in range(60):
+        n = int(rng.integers(1, 120))
+        a = np.round(rng.uniform(0, 40, n), 1) if t % 3 else rng.uniform(0, rng.choice([5, 700]), n)
+        b = 30 + rng.choice([1.0, 1.2, 0.8]) * a + rng.choice([0, 1e-3, 0.3]) * rng.normal(size=n) + rng.choice([0, 0, 0, 8, -30], n)
+        w, tolerance = -np.sort(-rng.uniform(-0.3, 3, n)), float(rng.choice([0.45, 1.8]))
+        whole = Q._best_lines(a[None], b[None], w[None], np.full((1, 1, 1), tolerance))
+        assert Q._best_line_of_many(a, b, w, tolerance) == pytest.approx([float(v[0]) for v in whole], abs=1e-9)
+
+
+def test_long_groups_take_little_time():
+    rng = np.random.default_rng(2)
+    a = rng.uniform(0, 700, 3_000)
+    b, began = 30 + 1.1 * a + rng.choice([0, 0, 0, 80, -30], 3_000), time.perf_counter()
+    speed, through, _ = Q._best_line_of_many(a, b, rng.uniform(0, 3, 3_000), 1.8)
+    assert (speed, through) == (pytest.approx(1.1), pytest.approx(30)) and time.perf_counter() - began < 60
