@@ -144,3 +144,36 @@ def test_searches_leave_out_no_row(spark, tmp_path, name):
     want = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_shots_are_planned_by_all_their_anchors(spark, tmp_path):
+    """Shots of more than two dozen anchors, the heaviest scattered, the lighter ones on a line: the plan is the line that a plain search over all of them finds."""
+    import datetime as dt
+
+    from chronoweave.operators import sequence as Q
+    from chronoweave.queries.decisions import _shots
+
+    at = lambda hours: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+    rows = [(600_000 * u + (37 * i + 1 if i % 4 == 0 else 600 * i), at(i), u, "click", 100.0 if i % 4 == 0 else 20.0) for u in (0, 1) for i in range(120)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    planned = {r["id"]: r["planned"] for r in registry.queries()["shot_continuity"](spark, str(tmp_path)).collect()}
+    shots = _shots(spark, str(tmp_path)).toPandas()
+    assert shots.groupby("shot").size().min() > 24
+    for _, s in shots.groupby("shot"):
+        rows = sorted(s.itertuples(), key=lambda r: (-r.weight, r.id))
+        tolerance, best = min(1.8, max(0.45, 0.16 * rows[0].duration)), (-math.inf,)
+        for i, p in enumerate(rows):
+            lines = [(1.0, p.movie - p.offset)]
+            for q in rows[i + 1 :]:
+                speed = (q.movie - p.movie) / (q.offset - p.offset)
+                lines += [(speed, p.movie - speed * p.offset)] if abs(q.offset - p.offset) >= Q.LINE_APART and 0.55 <= speed <= 1.85 else []
+            for speed, through in lines:
+                inliers = [r for r in rows if abs(through + speed * r.offset - r.movie) <= tolerance]
+                score = sum(r.weight * (1 - abs(through + speed * r.offset - r.movie) / tolerance) for r in inliers) - 0.3 * abs(speed - 1)
+                best = max(best, (round(score, 9), speed, sorted((r.movie - speed * r.offset, r.weight) for r in inliers)), key=lambda x: x[0])
+        _, speed, inliers = best
+        half, at = sum(w for _, w in inliers) / 2, 0
+        while sum(w for _, w in inliers[: at + 1]) < half:
+            at += 1
+        intercept = max(0.0, min(inliers[at][0], rows[0].source_end - speed * rows[0].duration))
+        assert {r.id: planned[r.id] for r in rows} == pytest.approx({r.id: max(0.0, speed * r.offset + intercept) for r in rows}, abs=1e-4)
